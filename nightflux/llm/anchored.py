@@ -189,8 +189,8 @@ def by_window(pieces: DataFrame, kind: Kind, within: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(c).take(of) for c in ("anchor", "piece", "places", "least")] + [pa.array(nth.astype(np.int32)), pa.array(h.view(np.int64))], ["anchor", "piece", "places", "least", "nth", "hash"])
 
     rows = C.per_batch(pieces, work, "anchor long, piece long, places long, least long, nth int, hash long")
-    totals = rows.groupBy("hash").agg(F.sum("places").alias("all_places"), F.min("least").alias("all_least"))
-    each = rows.join(totals, "hash")
+    totals = rows.groupBy("anchor", "hash").agg(F.sum("places").alias("all_places"), F.min("least").alias("all_least"))
+    each = rows.join(totals, ["anchor", "hash"])
     value = (F.col("all_places") > 1).cast("long") if within else F.col("all_least")
     listed = each.groupBy("anchor", "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", value.alias("v")))), lambda x: x.v).alias("vs"))
 
