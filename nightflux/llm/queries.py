@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from .substring_dedup import op2_substring_dedup
+from .bpe import op7_bpe
+from .decontaminate import OP6_SQL, op6_decontaminate
+from .license_scan import op10_license_scan
+from .minhash_dedup import op5_minhash_dedup
+from .pii import op9_pii
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
+from .toxicity import op1_toxicity
+from .url_filter import op3_url_filter
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_bpe": op7_bpe,
+    "op9_pii": op9_pii,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op6_decontaminate": OP6_SQL}

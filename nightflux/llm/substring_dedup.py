@@ -83,3 +83,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 3) -> DataFram
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     kept = remove_repeats(C.table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 12), ' ')) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+m AS (SELECT win, min(doc_id) AS least FROM s GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM s JOIN m USING (win) WHERE least < doc_id),
+a AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+k AS (SELECT a.doc_id, count(*) FILTER (g.p IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY a.p) FILTER (g.p IS NULL), '') AS kept FROM a LEFT JOIN g ON a.doc_id = g.doc_id AND a.p = g.p GROUP BY a.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
