@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .license_scan import op10_license_scan
+from .media import op8_media
 from .minhash_dedup import op5_minhash_dedup
 from .pii import op9_pii
 from .substring_dedup import OP2_SQL, op2_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_media": op8_media,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }
