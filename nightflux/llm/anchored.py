@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Keys with more different pieces than this are settled by window hashes.
-CROWD = 1000
+CROWD = 100
 #: Units of a block that is indexed at a time.
 BLOCK = 1 << 18
 
