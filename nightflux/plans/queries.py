@@ -1,6 +1,8 @@
-"""Registered queries over the given tables, with the same results as SQL where SQL can express them."""
+"""All registered queries, and the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import classes, colors, light_curves, models, selection, warpsets  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
