@@ -66,9 +66,9 @@ def likely_or_best(spark, d):
 DRAW = "CASE WHEN sum(greatest(sf - 0.01::DOUBLE, 0)) OVER (PARTITION BY id) > 0 THEN greatest(sf - 0.01::DOUBLE, 0) / sum(greatest(sf - 0.01::DOUBLE, 0)) OVER (PARTITION BY id) ELSE 1.0::DOUBLE / count(*) OVER (PARTITION BY id) END"
 
 
-@query(A.with_ctes("fits", f" SELECT id, model, round(0.01::DOUBLE + (1.0 - 0.01::DOUBLE * count(*) OVER (PARTITION BY id)) * {DRAW}, 6) AS draw_prob FROM fits"))
+@query(A.with_ctes("fits", f" SELECT id, model, round(0.01::DOUBLE + (1.0 - 0.01::DOUBLE * count(*) OVER (PARTITION BY id)) * {DRAW}, 9) AS draw_prob FROM fits"))
 def draw_probability(spark, d):
-    return rounded(S.draw_probability(A.fits(spark, d), "id", "sf").select("id", "model", "draw_prob"), "draw_prob")
+    return rounded(S.draw_probability(A.fits(spark, d), "id", "sf").select("id", "model", "draw_prob"), "draw_prob", digits=9)
 
 
 @query(A.with_ctes("fits", f"{GOOD}, w AS (SELECT *, exp(-(aic - min(aic) OVER (PARTITION BY id)) / 2) AS w, row_number() OVER (PARTITION BY id ORDER BY aic, model) AS nth FROM good), x AS (SELECT *, w / sum(w) OVER (PARTITION BY id) > 0.001 AS m FROM w) SELECT id, max(model) FILTER (nth = 1) AS model, count_if(m)::BIGINT AS matches, array_to_string(list_sort(list_distinct(list(class) FILTER (m))), '_') AS types, bool_and(correct) FILTER (m) AS allgood FROM x GROUP BY id"))

@@ -31,20 +31,20 @@ def warps(spark, d, prefilter: bool = True):
     return W.warp_set(good(spark, d), prefilter=prefilter)
 
 
-@query(A.with_ctes("fits", f"{WARPS} SELECT id, model, quality, round(draw_prob, 6) AS draw_prob FROM ws"))
+@query(A.with_ctes("fits", f"{WARPS} SELECT id, model, quality, round(draw_prob, 9) AS draw_prob FROM ws"))
 def warp_set(spark, d):
-    return rounded(warps(spark, d).select("id", "model", "quality", "draw_prob"), "draw_prob")
+    return rounded(warps(spark, d).select("id", "model", "quality", "draw_prob"), "draw_prob", digits=9)
 
 
-@query(A.with_ctes("fits", f"{LOOSE} SELECT id, model, quality, round(draw_prob, 6) AS draw_prob FROM ws"))
+@query(A.with_ctes("fits", f"{LOOSE} SELECT id, model, quality, round(draw_prob, 9) AS draw_prob FROM ws"))
 def warp_set_with_silver(spark, d):
     """Without the cut on first fits, so that silver can occur."""
-    return rounded(warps(spark, d, False).select("id", "model", "quality", "draw_prob"), "draw_prob")
+    return rounded(warps(spark, d, False).select("id", "model", "quality", "draw_prob"), "draw_prob", digits=9)
 
 
-@query(A.with_ctes("fits", f"{GOOD}, t AS (SELECT *, count_if(sf > 0.01) OVER (PARTITION BY id) >= 3 AS many, row_number() OVER (PARTITION BY id ORDER BY sf DESC, model) AS n FROM good WHERE correct AND nbr_bands >= 2 AND peakdet >= 6), k AS (SELECT * FROM t WHERE CASE WHEN many THEN sf > 0.01 ELSE n <= 3 END) SELECT id, model, many AS good_fit, round({DRAWN}, 6) AS draw_prob FROM k WINDOW g AS (PARTITION BY id)"))
+@query(A.with_ctes("fits", f"{GOOD}, t AS (SELECT *, count_if(sf > 0.01) OVER (PARTITION BY id) >= 3 AS many, row_number() OVER (PARTITION BY id ORDER BY sf DESC, model) AS n FROM good WHERE correct AND nbr_bands >= 2 AND peakdet >= 6), k AS (SELECT * FROM t WHERE CASE WHEN many THEN sf > 0.01 ELSE n <= 3 END) SELECT id, model, many AS good_fit, round({DRAWN}, 9) AS draw_prob FROM k WINDOW g AS (PARTITION BY id)"))
 def warp_set_simple(spark, d):
-    return rounded(W.warp_set_simple(good(spark, d)).select("id", "model", "good_fit", "draw_prob"), "draw_prob")
+    return rounded(W.warp_set_simple(good(spark, d)).select("id", "model", "good_fit", "draw_prob"), "draw_prob", digits=9)
 
 
 @query(A.with_ctes("fits", f"{WARPS}, n AS (SELECT id, count(*)::INTEGER AS n FROM ws GROUP BY 1) SELECT id, n, (SELECT count(*) FROM ws w WHERE w.id = n.id AND quality = 'gold')::INTEGER AS gold FROM n"))
