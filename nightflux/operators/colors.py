@@ -26,7 +26,7 @@ def outlier_free(df: DataFrame, column: str = "color", key: str = "class", mode:
     middle = inner.join(core, key).filter(x.between(F.col("c")[0], F.col("c")[1]))
     stats = middle.groupBy(key).agg(F.avg(column).alias("mu"), F.stddev_pop(column).alias("sd"))
     near = (x > F.col("mu") - n_sigma * F.col("sd")) & (x < F.col("mu") + n_sigma * F.col("sd"))
-    return inner.join(stats, key).filter(near | (F.lit(mode == "auto") & (F.col("n") < 5))).drop("q", "n", "mu", "sd")
+    return inner.join(stats, key, "left").filter(F.coalesce(near, F.lit(False)) | (F.lit(mode == "auto") & (F.col("n") < 5))).drop("q", "n", "mu", "sd")
 
 
 def emg_fit(df: DataFrame, column: str = "color", key: str = "class") -> DataFrame:
