@@ -14,8 +14,8 @@ from nightflux.llm import bpe, common, decontaminate, minhash_dedup, pii, toxici
 
 
 def toxicity_stage(spark, docs, sf_dir: str):
-    scored = toxicity.score(docs, toxicity.trained(spark, sf_dir))
-    return scored.filter("score < 0.5").select(docs.columns)
+    scored = toxicity.score(docs, toxicity.trained(spark, sf_dir), "__toxicity")
+    return scored.filter("__toxicity < 0.5").select(docs.columns)
 
 
 def near_dedup_stage(spark, docs, sf_dir: str):
@@ -28,7 +28,7 @@ def decontaminate_stage(spark, docs, sf_dir: str):
 
 def pii_stage(spark, docs, sf_dir: str):
     """n_chars follows the text."""
-    done = pii.replace(docs).select(docs.columns)
+    done = pii.replace(docs, column="__entities").select(docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

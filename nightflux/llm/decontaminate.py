@@ -185,8 +185,8 @@ def digests(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The rows of docs that hold no window of an item; rows without doc_id stay."""
-    dirty = find_items(docs.filter("doc_id is not null"), items, window).filter(F.size("hit") > 0).select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(C.written(dirty, "contaminated"), F.col("doc_id") == F.col("dirty_id"), "left_anti")
+    dirty = find_items(docs.filter("doc_id is not null"), items, window).filter(F.size("hit") > 0).select(F.col("doc_id").alias("__dirty")).distinct()
+    return docs.join(C.written(dirty, "contaminated"), F.col("doc_id") == F.col("__dirty"), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -194,6 +194,9 @@ def _found(column: pa.Array, hints: np.ndarray) -> list[tuple[str, list]]:
     return out
 
 
+ENTITIES = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, type, value, mentions: the entities of each text."""
     hints = _hints()
@@ -240,14 +243,14 @@ def redrawn(found: DataFrame, key: bytes, rounds: int = 16) -> DataFrame | None:
     return moved
 
 
-def replace(docs: DataFrame, key: str = "nightflux") -> DataFrame:
-    """docs with the entities of text replaced and with entities (type, start and length in the new text).
+def replace(docs: DataFrame, key: str = "nightflux", column: str = "entities") -> DataFrame:
+    """docs with the entities of text replaced, and listed in column (type, start and length in the new text).
 
-    All columns stay; a column named entities is replaced. Null texts stay null and empty ones empty. Rows without
+    All columns stay, but one of that name. Null texts stay null and empty ones empty. Rows without
     doc_id and rows that are repeated are handled like all others: a surrogate depends on key, type and value alone.
     """
     secret, hints = hashlib.sha256(key.encode()).digest(), _hints()
-    docs = docs.drop("entities")
+    docs = docs.drop(column)
     found = C.written(entities(docs), "entities")
     moved = redrawn(found, secret)
     source = docs
@@ -275,9 +278,9 @@ def replace(docs: DataFrame, key: str = "nightflux") -> DataFrame:
                 texts[i] = "".join([*new, t[done:]])
             cols = [part.column(n) for n in names]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found_, kinds)], [*names, "entities"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found_, kinds)], [*names, column])
 
-    return C.per_batch(source, work, T.StructType([*docs.schema.fields, *T._parse_datatype_string("entities array<struct<type:string,start:int,length:int>>").fields]))
+    return C.per_batch(source, work, T.StructType([*docs.schema.fields, T.StructField(column, ENTITIES)]))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

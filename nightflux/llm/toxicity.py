@@ -152,18 +152,19 @@ def descend(y, row, col, change_row, change_col, change, width: int, penalty: fl
     return w[:-1], float(w[-1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1). Null and empty texts get the score of a text without any known word."""
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs with a score (0 to 1) in column, in place of any column of that name. Null and empty texts get the score of a
+    text without any known word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most WORDS + the identity terms, and a table of 2^20 flags
 
     def work(batch):
         for part in C.slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")))], [*part.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(part.column("text")))], [*part.schema.names, column])
 
-    schema = docs.drop("score").schema
+    schema = docs.drop(column).schema
     from pyspark.sql import types as T
 
-    return C.per_batch(docs.drop("score"), work, T.StructType([*schema.fields, T.StructField("score", T.DoubleType())]))
+    return C.per_batch(docs.drop(column), work, T.StructType([*schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def held_out(column: str):
