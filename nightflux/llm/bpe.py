@@ -115,11 +115,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 def encoded_once(docs: DataFrame, shared: DataFrame, path: str) -> DataFrame:
     """key, head, tail, ids: the tokens of each shared chunk between its first and last agreeing place."""
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "size")).alias("wanted"))
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id") == F.col("wanted_id")).select("text", "wanted")
+    texts = C.packed(docs).join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id") == F.col("wanted_id")).select("packed", "wanted")
 
     def work(batch):
         own = codec(path)
-        for part in C.slices(batch, "text"):
+        for part in C.unpacked(batch):
             data, off = C.text_bytes(part.column("text"))
             out = []
             for i, wanted in enumerate(part.column("wanted").to_pylist()):
@@ -162,11 +162,11 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     shared = found.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "size")).alias("at")).filter("c > 1").select("key", "at.doc_id", "at.start", "at.size")
     once = C.written(encoded_once(named, shared, path), "encoded")
     placed = found.join(once, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "size", "head", "tail", "ids")).alias("placed")).withColumnRenamed("doc_id", "placed_id")
-    whole = docs.join(placed, F.col("doc_id") == F.col("placed_id"), "left").drop("placed_id")
+    whole = C.packed(docs).join(placed, F.col("doc_id") == F.col("placed_id"), "left").drop("placed_id")
 
     def work(batch):
         own = codec(path)
-        for part in C.slices(batch, "text"):
+        for part in C.unpacked(batch):
             data, off = C.text_bytes(part.column("text"))
             raw = data.tobytes()
             ids = [assemble(own, raw[off[i] : off[i + 1]], part.column("placed")[i].as_py()) for i in range(part.num_rows)]

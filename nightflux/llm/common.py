@@ -100,6 +100,32 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id and text compressed, for joins that shuffle whole texts; null stays null. unpacked undoes it."""
+    import zstandard
+
+    def work(batch):
+        z = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        small = [None if t is None else z.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(small, pa.binary())], ["doc_id", "packed"])
+
+    return per_batch(docs.select("doc_id", "text"), work, "doc_id long, packed binary")
+
+
+def unpacked(batch: pa.RecordBatch, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with text instead of packed, each of about limit bytes."""
+    import zstandard
+
+    z, at = zstandard.ZstdDecompressor(), batch.schema.get_field_index("packed")
+    begin, held, texts = 0, 0, []
+    for i, raw in enumerate(batch.column("packed").to_pylist()):
+        texts.append(None if raw is None else z.decompress(raw).decode())
+        held += len(texts[-1] or "")
+        if held >= limit or i == batch.num_rows - 1:
+            yield batch.slice(begin, i + 1 - begin).set_column(at, "text", pa.array(texts, pa.string()))
+            begin, held, texts = i + 1, 0, []
+
+
 # ---------------------------------------------------------------- words
 
 
