@@ -70,26 +70,42 @@ class Kind:
         text = np.searchsorted(first, at, side="right") - 1
         return key[at], C.span_hash(C.prefix_hash(units), at, at + count - 1 + w), text, at - first[text], count
 
+    def twice(self, order: np.ndarray, key: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Whether the gram of the key stands in the piece more than once: else its windows differ from each other."""
+        m = self.window - self.gram + 1
+        if not len(at):
+            return np.zeros(0, bool)
+        pad = np.full(m - 1, np.iinfo(np.uint64).max, C.U64)
+        least = ~C.sliding_min(np.concatenate([pad, ~C.sliding_min(order, m), pad]), m)
+        place = np.flatnonzero(order == least)  # grams that are the least of any window
+        lo, hi = np.searchsorted(place, at), np.searchsorted(place, at + count - 1 + m)
+        same = order[place[C.spread(lo, hi - lo)]] == np.repeat(key, hi - lo)
+        return np.bincount(np.repeat(np.arange(len(at)), hi - lo), same, len(at)) > 1
+
 
 OCCURRENCE = "anchor long, piece long, doc_id long, start int, n int"
 
 
-def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
+def occurrences(docs: DataFrame, kind: Kind, within: bool) -> DataFrame:
+    """The pieces of all texts; if within, also whether a window may start twice in the piece."""
+
     def work(batch):
         for part in C.slices(batch, "text"):
             data, off = C.text_bytes(part.column("text"))
-            key, piece, text, start, n = kind.pieces(*kind.units(data, off))
+            units, first, order = kind.units(data, off)
+            key, piece, text, start, n = kind.pieces(units, first, order)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)[text]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "piece", "doc_id", "start", "n"])
+            more = [pa.array(kind.twice(order, key, first[text] + start, n))] if within else []
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(ids), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *more], ["anchor", "piece", "doc_id", "start", "n", "twice"][: 5 + within])
 
-    return C.per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null"), work, OCCURRENCE)
+    return C.per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null"), work, OCCURRENCE + ", twice boolean" * within)
 
 
 def repeated(docs: DataFrame, kind: Kind, within: bool) -> DataFrame:
     """Pieces whose key occurs again: in another document, or anywhere if within."""
-    found = C.written(occurrences(docs, kind), "occurrences")
+    found = C.written(occurrences(docs, kind, within), "occurrences")
     if within:
-        keys = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1")
+        keys = found.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).filter("c > 1 or twice")
     else:
         keys = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z")
     keys = C.written(keys.select("anchor"), "keys")
@@ -97,11 +113,12 @@ def repeated(docs: DataFrame, kind: Kind, within: bool) -> DataFrame:
 
 
 def distinct_pieces(found: DataFrame) -> DataFrame:
-    """One row for each different piece: in how many places, the least doc_id, a place to read it, and how many
-    different pieces its key has."""
-    pieces = found.groupBy("anchor", "piece").agg(F.count("*").alias("places"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "start", "n")).alias("at"))
+    """One row for each different piece: in how many places, the least doc_id, a place to read it, how many different
+    pieces its key has, and whether a window may start twice in it (where found says so)."""
+    more = ["twice"] if "twice" in found.columns else []
+    pieces = found.groupBy("anchor", "piece").agg(F.count("*").alias("places"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "start", "n")).alias("at"), *(F.max(c).alias(c) for c in more))
     kinds = pieces.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    return C.written(pieces.join(kinds, "anchor").select("anchor", "piece", "places", "least", "kinds", "at.doc_id", "at.start", "at.n"), "pieces")
+    return C.written(pieces.join(kinds, "anchor").select("anchor", "piece", "places", "least", "kinds", "at.doc_id", "at.start", "at.n", *more), "pieces")
 
 
 FETCHED = "anchor long, piece long, places long, least long, kinds long, n int, units binary"
@@ -205,6 +222,8 @@ def verdicts(docs: DataFrame, found: DataFrame, kind: Kind, within: bool, judge)
     """anchor, piece, places, least, verdict (null where the piece is the only one of its key, or settled whole)."""
     pieces = distinct_pieces(found)
     open_ = F.col("kinds") > 1
+    if within:
+        open_ = open_ | ((F.col("places") == 1) & F.col("twice"))
     units = C.written(fetched(docs, pieces.filter(open_), kind), "units")
     judged = in_shards(units.filter(F.col("kinds") <= CROWD), kind, judge).unionByName(by_window(units.filter(F.col("kinds") > CROWD), kind, within))
     return pieces.select("anchor", "piece", "places", "least").join(judged, ["anchor", "piece"], "left")
