@@ -20,6 +20,8 @@ from .components import components
 U64 = C.U64
 #: Units below which a document's darts are thrown in one go.
 SMALL = 40
+#: Bins in which shingles are counted to rule a pair out, and pivots of the largest bucket in the first whole round.
+BINS, PIVOTS = 256, 16
 
 
 def shingle_units(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +117,38 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return C.per_batch(rows_, work, "doc_id long, text_key binary, keys array<long>")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar enough, with their similarity."""
+def possible(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those pairs (a, b) that can be similar enough: the least counts of shingles by bin are as many as a pair can share."""
+
+    def count(batch):
+        for part in C.slices(batch, "text", C.SLICE_BYTES // 2):
+            units, first = shingle_units(*C.text_bytes(part.column("text")), shingle)
+            n = np.diff(first)
+            bins = np.repeat(np.arange(len(n)) * BINS, n) + (units % U64(BINS)).astype(np.int64)
+            table = np.minimum(np.bincount(bins, minlength=len(n) * BINS), 65535).astype(np.uint16).reshape(len(n), BINS)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n.astype(np.int64)), pa.array([t.tobytes() for t in table], pa.binary())], ["doc", "n", "bins"])
+
+    def work(batch):
+        step = 4096
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            ha, hb = (np.frombuffer(C.text_bytes(part.column(c))[0].tobytes(), np.uint16).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
+            na, nb = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
+            most = np.minimum(ha, hb).sum(axis=1, dtype=np.int64)
+            keep = pa.array(np.flatnonzero((most / np.maximum(na + nb - most, 1) >= least) | (np.maximum(na, nb) >= 65535)))
+            yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], ["a", "b"])
+
+    counts = C.written(C.per_batch(texts, count, "doc long, n long, bins binary"), "bins")
+    side = lambda s: counts.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
+    return C.per_batch(pairs.join(side("a"), "a").join(side("b"), "b"), work, "a long, b long")
+
+
+def checked(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, sieve: bool = False) -> DataFrame:
+    """Those pairs (a, b) whose texts are similar enough, with their similarity; sieve: for many pairs that aren't."""
     needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
     texts = C.written(docs.join(needed.hint("merge"), docs["doc_id"] == needed["doc"]).select("doc", "text").dropDuplicates(["doc"]), "candidates")
+    if sieve:
+        pairs = C.written(possible(pairs, texts, shingle, least), "possible")
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
 
@@ -141,13 +171,44 @@ def checked(pairs: DataFrame, docs: DataFrame, shingle: int, least: float) -> Da
     return C.per_batch(pairs.join(left, "a").join(right, "b"), work, "a long, b long, similarity double")
 
 
+def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """buckets with the label of each node's class: those that hold more than one class."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    mixed = now.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band", "key")
+    return now.join(mixed, ["band", "key"])
+
+
+def joined(good: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Classes of all nodes with a link, after the links good; what is known is one link from each node to its class."""
+    links = good.select("a", "b")
+    if labels is not None:
+        links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(links)
+
+
+def across(now: DataFrame, level: int, top: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, but no class, and of which the higher node is at this level (0 to top, a
+    quarter as many nodes at each). One of a pair isn't of the bucket's largest class, so that class never meets itself."""
+    u = (F.pmod(F.xxhash64("node", F.lit("level")), F.lit(1 << 40)) + 1) / float(1 << 40)
+    now = now.withColumn("level", F.least(F.lit(top), F.floor(-F.log(u) / np.log(4.0)).cast("int"))).filter(F.col("level") <= level)
+    sizes = now.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
+    minor = now.join(largest, ["band", "key"]).filter("label <> largest").drop("largest")
+    side = lambda df, s: df.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "level")))
+    met = [side(x, "p").join(side(y, "q"), ["band", "key"]).filter("label_p <> label_q") for x, y in ((minor.filter(F.col("level") == level), now), (minor.filter(F.col("level") < level), now.filter(F.col("level") == level)))]
+    return met[0].unionByName(met[1]).select(F.least("node_p", "node_q").alias("a"), F.greatest("node_p", "node_q").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 48, rows: int = 8, partners: int = 8, rounds: int = 4) -> DataFrame:
     """doc_id, class_id for each row of docs; class_id is the least doc_id of the class.
 
     Equal texts are one node. A node's candidates are, in each of its buckets (band and key), the nodes that come first
     by doc_id and by two hashes, so a bucket of any size is summed before it is shuffled and yields a few candidates for
     each member; of these the partners that share most buckets are checked exactly. Further rounds draw other firsts in
-    the buckets that still hold several classes, until a round adds no link or rounds is reached.
+    the buckets that still hold several classes, until a round adds no link or rounds is reached. These rounds only make
+    classes quickly: after them every pair that shares a bucket, but no class, is checked, from few pivots to all nodes.
     Null texts, texts without words and rows without doc_id are classes of their own. Rows that are repeated whole fall
     in one class.
     """
@@ -161,12 +222,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands
     buckets = C.written(buckets.join(shared, ["band", "key"]), "buckets")
     labels, tried = None, None
     for turn in range(rounds):
-        if labels is None:
-            now = buckets.withColumn("label", F.col("node"))
-        else:
-            now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-            mixed = now.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band", "key")
-            now = now.join(mixed, ["band", "key"])
+        now = labelled(buckets, labels)
         orders = [F.col("node") if not turn else F.xxhash64("node", "band", F.lit(turn)), F.xxhash64("node", F.lit(turn)), F.xxhash64("node", "band", F.lit(-1 - turn))]
         firsts = now.groupBy("band", "key").agg(*(F.min(F.struct(o.alias("o"), "node", "label")).alias(f"f{i}") for i, o in enumerate(orders)))
         firsts = firsts.select("band", "key", F.array_distinct(F.array(*(F.struct(f"f{i}.node", f"f{i}.label") for i in range(len(orders))))).alias("firsts"))
@@ -180,13 +236,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands
         if pairs.isEmpty():
             break
         good = C.written(checked(pairs, named, shingle, least), "similar")
+        tried = pairs if tried is None else tried.unionByName(pairs)
         if good.isEmpty():
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = good.select("a", "b")
-        if labels is not None:  # what is known is one link from each node to its class
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = components(links)
+        labels = joined(good, labels)
+    # whatever shares a bucket and isn't in one class yet
+    most = buckets.groupBy("band", "key").count().agg(F.max("count")).first()[0] or 0
+    top = int(np.log(max(1.0, most / PIVOTS)) / np.log(4.0))
+    for level in range(top, -1, -1):
+        now = C.written(labelled(buckets, labels), "mixed")
+        if now.isEmpty():
+            break
+        pairs = across(now, level, top)
+        pairs = C.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        good = C.written(checked(pairs, named, shingle, least, sieve=True), "similar")
+        if not good.isEmpty():
+            labels = joined(good, labels)
     keyed = nodes.select("text_key", "node")
     if labels is not None:
         keyed = keyed.join(labels, "node", "left").select("text_key", F.coalesce("component", "node").alias("class"))
