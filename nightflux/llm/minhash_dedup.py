@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -20,8 +20,8 @@ from .components import components
 U64 = C.U64
 #: Units below which a document's darts are thrown in one go.
 SMALL = 40
-#: Bins in which shingles are counted to rule a pair out, and pivots of the largest bucket in the first whole round.
-BINS, PIVOTS = 256, 16
+#: Pivots of the largest bucket in the first round that looks at all pairs, and 64-bit numbers of a node's bit set.
+PIVOTS, LONGS = 32, 32
 
 
 def shingle_units(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,67 +117,55 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return C.per_batch(rows_, work, "doc_id long, text_key binary, keys array<long>")
 
 
-def possible(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those pairs (a, b) that can be similar enough: the least counts of shingles by bin are as many as a pair can share."""
+def shingled(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """node, n, units, bits, slack: the shingles of the nodes' texts as numbers, each once (the nth occurrence differs from
+    the first); a bit for each by a hash, and how many shingles have no bit of their own."""
+    texts = docs.join(nodes.hint("merge"), docs["doc_id"] == nodes["node"]).groupBy("node").agg(F.min("text").alias("text"))
 
-    def count(batch):
+    def work(batch):
         for part in C.slices(batch, "text", C.SLICE_BYTES // 2):
             units, first = shingle_units(*C.text_bytes(part.column("text")), shingle)
             n = np.diff(first)
-            bins = np.repeat(np.arange(len(n)) * BINS, n) + (units % U64(BINS)).astype(np.int64)
-            table = np.minimum(np.bincount(bins, minlength=len(n) * BINS), 65535).astype(np.uint16).reshape(len(n), BINS)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(n.astype(np.int64)), pa.array([t.tobytes() for t in table], pa.binary())], ["doc", "n", "bins"])
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(units.view(np.int64)))
+            held = np.zeros(len(n) * LONGS, U64)
+            place = np.repeat(np.arange(len(n)) * LONGS, n) + ((units >> U64(6)) % U64(LONGS)).astype(np.int64)
+            np.bitwise_or.at(held, place, U64(1) << (units & U64(63)))
+            slack = n - np.bitwise_count(held).reshape(len(n), LONGS).sum(axis=1, dtype=np.int64)
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(held.view(np.int64)), LONGS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(n), lists, bits, pa.array(slack)], ["node", "n", "units", "bits", "slack"])
 
-    def work(batch):
-        step = 4096
-        for i in range(0, batch.num_rows, step):
-            part = batch.slice(i, step)
-            ha, hb = (np.frombuffer(C.text_bytes(part.column(c))[0].tobytes(), np.uint16).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
-            na, nb = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
-            most = np.minimum(ha, hb).sum(axis=1, dtype=np.int64)
-            keep = pa.array(np.flatnonzero((most / np.maximum(na + nb - most, 1) >= least) | (np.maximum(na, nb) >= 65535)))
-            yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], ["a", "b"])
-
-    counts = C.written(C.per_batch(texts, count, "doc long, n long, bins binary"), "bins")
-    side = lambda s: counts.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}"))
-    return C.per_batch(pairs.join(side("a"), "a").join(side("b"), "b"), work, "a long, b long")
-
-
-def checked(pairs: DataFrame, docs: DataFrame, shingle: int, least: float, sieve: bool = False) -> DataFrame:
-    """Those pairs (a, b) whose texts are similar enough, with their similarity; sieve: for many pairs that aren't."""
-    needed = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    texts = C.written(docs.join(needed.hint("merge"), docs["doc_id"] == needed["doc"]).select("doc", "text").dropDuplicates(["doc"]), "candidates")
-    if sieve:
-        pairs = C.written(possible(pairs, texts, shingle, least), "possible")
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
+    return C.per_batch(texts, work, "node long, n long, units array<long>, bits array<long>, slack long")
+
+
+def hopeful(buckets: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """buckets (band, key, node) with n and known, how many of the node's n shingles any other of these nodes has: only
+    those nodes that can be similar enough to another. Shingles are counted before they are shuffled."""
+    alone = units.select("node", F.explode("units").alias("unit")).groupBy("unit").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    alone = alone.groupBy("node").agg(F.count("*").alias("alone"))
+    able = units.select("node", "n").join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("known"))
+    able = C.written(able.filter(F.col("known") >= least * F.col("n") - 1e-9), "hopeful")
+    return C.written(buckets.join(able, "node"), "buckets")
+
+
+def can_meet(n_a, known_a, n_b, known_b, least: float):
+    """Whether two nodes may be similar enough, from the counts of hopeful: they share at most the lesser known count."""
+    most = F.least(known_a, known_b) if known_a is not known_b else known_a
+    return most * (1 + least) >= least * (n_a + n_b) - 1e-9
 
-    def work(batch):
-        step = max(1, C.SLICE_BYTES * batch.num_rows // max(1, batch.nbytes))
-        for i in range(0, batch.num_rows, step):
-            part = batch.slice(i, step)
-            ua, fa = shingle_units(*C.text_bytes(part.column("text_a")), shingle)
-            ub, fb = shingle_units(*C.text_bytes(part.column("text_b")), shingle)
-            n = part.num_rows
-            both = np.concatenate([ua, ub])
-            pair = np.concatenate([np.repeat(np.arange(n), np.diff(fa)), np.repeat(np.arange(n), np.diff(fb))])
-            order = np.lexsort((both, pair))
-            both, pair = both[order], pair[order]
-            common = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-            sim = common / np.maximum(np.diff(fa) + np.diff(fb) - common, 1)
-            keep = np.flatnonzero(sim >= least)
-            yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(keep)), part.column("b").take(pa.array(keep)), pa.array(sim[keep])], ["a", "b", "similarity"])
-
-    return C.per_batch(pairs.join(left, "a").join(right, "b"), work, "a long, b long, similarity double")
+
+def checked(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) that are similar enough by their shingles, with their similarity."""
+    side = lambda s: units.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("units").alias(f"units_{s}"))
+    common = F.size(F.array_intersect("units_a", "units_b"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (common / (F.col("n_a") + F.col("n_b") - common)).alias("similarity"))
+    return both.filter(F.col("similarity") >= least)
 
 
 def labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """buckets with the label of each node's class: those that hold more than one class."""
+    """buckets with the label of each node's class."""
     if labels is None:
         return buckets.withColumn("label", F.col("node"))
-    now = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = now.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band", "key")
-    return now.join(mixed, ["band", "key"])
+    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
 
 def joined(good: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -188,29 +176,49 @@ def joined(good: DataFrame, labels: DataFrame | None) -> DataFrame:
     return components(links)
 
 
-def across(now: DataFrame, level: int, top: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a bucket, but no class, and of which the higher node is at this level (0 to top, a
-    quarter as many nodes at each). One of a pair isn't of the bucket's largest class, so that class never meets itself."""
+def with_first(now: DataFrame, order, least: float) -> DataFrame:
+    """Pairs (a, b) of each node with the first node by order of each of its buckets that hold several classes."""
+    first = F.min(F.struct(order.alias("o"), "node", "label", "n", "known")).alias("first")
+    heads = C.written(now.groupBy("band", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"), first).filter("x < y").select("band", "key", "first"), "heads")
+    met = now.join(heads, ["band", "key"]).filter("first.label <> label").filter(can_meet(F.col("n"), F.col("known"), F.col("first.n"), F.col("first.known"), least))
+    return met.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).distinct()
+
+
+def mixed(now: DataFrame, units: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with the label of the bucket's largest class, the node's bits and slack."""
+    sizes = now.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
+    heads = sizes.groupBy("band", "key").agg(F.count("*").alias("kinds"), F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("largest")).filter("kinds > 1")
+    return C.written(now.join(C.written(heads.drop("kinds"), "heads"), ["band", "key"]).join(units.select("node", "slack", "bits"), "node"), "mixed")
+
+
+def across(now: DataFrame, level: int, top: int, least: float) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket, but no class, can be similar enough, and of which the higher node is at
+    this level (0 to top, a quarter as many nodes at each). One of a pair isn't of the bucket's largest class, so that class
+    never meets itself. Two nodes share at most as many shingles as bits, and the lesser slack more."""
     u = (F.pmod(F.xxhash64("node", F.lit("level")), F.lit(1 << 40)) + 1) / float(1 << 40)
     now = now.withColumn("level", F.least(F.lit(top), F.floor(-F.log(u) / np.log(4.0)).cast("int"))).filter(F.col("level") <= level)
-    sizes = now.groupBy("band", "key", "label").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("band", "key").agg(F.max_by("label", F.struct("c", "label")).alias("largest"))
-    minor = now.join(largest, ["band", "key"]).filter("label <> largest").drop("largest")
-    side = lambda df, s: df.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "label", "level")))
-    met = [side(x, "p").join(side(y, "q"), ["band", "key"]).filter("label_p <> label_q") for x, y in ((minor.filter(F.col("level") == level), now), (minor.filter(F.col("level") < level), now.filter(F.col("level") == level)))]
+    minor = now.filter("label <> largest")
+    cols = ("node", "label", "n", "known", "slack", "bits")
+    side = lambda df, s: df.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in cols))
+    both = F.zip_with("bits_p", "bits_q", lambda x, y: F.bit_count(x.bitwiseAND(y)))
+    shared = F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x) + F.least("slack_p", "slack_q")
+    meet = lambda p, q: can_meet(F.col("n_p"), p, F.col("n_q"), q, least)
+    able = (F.col("label_p") != F.col("label_q")) & meet(F.col("known_p"), F.col("known_q")) & meet(shared, shared)
+    here = F.col("level") == level
+    met = [side(x, "p").join(side(y, "q"), ["band", "key"]).filter(able) for x, y in ((minor.filter(here), now), (minor.filter(~here), now.filter(here)))]
     return met[0].unionByName(met[1]).select(F.least("node_p", "node_q").alias("a"), F.greatest("node_p", "node_q").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 48, rows: int = 8, partners: int = 8, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 48, rows: int = 8, rounds: int = 2) -> DataFrame:
     """doc_id, class_id for each row of docs; class_id is the least doc_id of the class.
 
-    Equal texts are one node. A node's candidates are, in each of its buckets (band and key), the nodes that come first
-    by doc_id and by two hashes, so a bucket of any size is summed before it is shuffled and yields a few candidates for
-    each member; of these the partners that share most buckets are checked exactly. Further rounds draw other firsts in
-    the buckets that still hold several classes, until a round adds no link or rounds is reached. These rounds only make
-    classes quickly: after them every pair that shares a bucket, but no class, is checked, from few pivots to all nodes.
+    Equal texts are one node. Nodes that share a bucket (band and key) with another are candidates. One of which too many
+    shingles stand in no other candidate can't be similar enough to any and is settled by that. The others are first held
+    against one node of each of their buckets: in the first round the one with the largest share of shingles that others
+    have too, then one that a hash draws. These rounds only make classes quickly: after them every pair that shares a
+    bucket, but no class, is checked, from few pivots to all nodes, without a cap.
     Null texts, texts without words and rows without doc_id are classes of their own. Rows that are repeated whole fall
-    in one class.
+    in one class; of different texts under one doc_id the least stands for the node.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.filter("doc_id is not null and text is not null")
@@ -219,41 +227,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands
     nodes = C.written(nodes, "nodes")
     buckets = nodes.select("node", F.posexplode("keys").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    buckets = C.written(buckets.join(shared, ["band", "key"]), "buckets")
+    buckets = C.written(buckets.join(shared, ["band", "key"], "left_semi"), "shared")
+    units = C.written(shingled(named, buckets.select("node").distinct(), shingle), "units")
+    buckets = hopeful(buckets, units, least)
     labels, tried = None, None
-    for turn in range(rounds):
-        now = labelled(buckets, labels)
-        orders = [F.col("node") if not turn else F.xxhash64("node", "band", F.lit(turn)), F.xxhash64("node", F.lit(turn)), F.xxhash64("node", "band", F.lit(-1 - turn))]
-        firsts = now.groupBy("band", "key").agg(*(F.min(F.struct(o.alias("o"), "node", "label")).alias(f"f{i}") for i, o in enumerate(orders)))
-        firsts = firsts.select("band", "key", F.array_distinct(F.array(*(F.struct(f"f{i}.node", f"f{i}.label") for i in range(len(orders))))).alias("firsts"))
-        pairs = now.join(firsts, ["band", "key"]).select("node", "label", F.explode("firsts").alias("first")).filter("first.label <> label")
-        pairs = pairs.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"), "node").groupBy("a", "b", "node").agg(F.count("*").alias("shared"))
-        best = Window.partitionBy("node").orderBy(F.desc("shared"), "a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= partners).select("a", "b").distinct()
-        pairs = C.written(pairs, "pairs")
+
+    def settle(pairs):
+        """Whether there were pairs; the links among them go to labels."""
+        nonlocal labels, tried
+        pairs = C.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
-        good = C.written(checked(pairs, named, shingle, least), "similar")
+            return False
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if good.isEmpty():
+        good = C.written(checked(pairs, units, least), "similar")
+        if not good.isEmpty():
+            labels = joined(good, labels)
+        return True
+
+    for turn in range(rounds):
+        order = F.xxhash64("node", F.lit(turn)) if turn else 1 - F.col("known") / F.col("n")
+        if not settle(with_first(labelled(buckets, labels), order, least)):
             break
-        labels = joined(good, labels)
-    # whatever shares a bucket and isn't in one class yet
-    most = buckets.groupBy("band", "key").count().agg(F.max("count")).first()[0] or 0
+    rest = mixed(labelled(buckets, labels), units)
+    most = rest.agg(F.max("size")).first()[0] or 0
     top = int(np.log(max(1.0, most / PIVOTS)) / np.log(4.0))
     for level in range(top, -1, -1):
-        now = C.written(labelled(buckets, labels), "mixed")
-        if now.isEmpty():
+        if rest.isEmpty():
             break
-        pairs = across(now, level, top)
-        pairs = C.written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        good = C.written(checked(pairs, named, shingle, least, sieve=True), "similar")
-        if not good.isEmpty():
-            labels = joined(good, labels)
+        if settle(across(rest, level, top, least)) and level:
+            rest = mixed(labelled(buckets, labels), units)
     keyed = nodes.select("text_key", "node")
     if labels is not None:
         keyed = keyed.join(labels, "node", "left").select("text_key", F.coalesce("component", "node").alias("class"))
