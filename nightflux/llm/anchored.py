@@ -1,10 +1,15 @@
 """Long repeats without comparing every text with every shard.
 
 A text is a row of units (words or bytes). Each window of W units is keyed by the least hash of the k-grams in it: equal
-windows have equal keys. Neighbouring windows with one key form a piece. Pieces whose key occurs once can't hold a
-repeat; the others are dealt by key to small shards, where an index finds the repeated windows. Equal pieces are one row
-with counts. A key with very many different pieces is settled by the hashes of its windows, which are summed before
-they are shuffled, so that no shard grows with the corpus.
+windows have equal keys. Neighbouring windows with one key form a piece. Pieces whose key occurs once, and whose windows
+differ from each other, can't hold a repeat; the others are dealt by key to small shards, where an index finds the
+repeated windows. Equal pieces are one row with counts.
+
+A key with very many different pieces (around the edge of a very common passage) is split by context: its windows are
+told apart by how far the key's gram stands from their begin, in a few ranges of distances, and by the units that all
+windows of such a range share. Equal windows have one distance and one context, so they still meet. What is still too
+large is split again into finer ranges, at last into single distances, where the context is the whole window. Each split
+makes a few parts of a piece; equal parts are one row again, so no shard grows with a common passage.
 """
 
 from __future__ import annotations
@@ -18,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Keys with more different pieces than this are settled by window hashes.
-CROWD = 100
+#: Keys with more different pieces than this are split, into so many ranges of distances at a time.
+CROWD, WAYS = 100, 8
 #: Units of a block that is indexed at a time.
 BLOCK = 1 << 18
 
@@ -43,8 +48,32 @@ class Kind:
         s, e, first = C.words(data, off, C.NOT_SPACE)
         h = C.word_hashes(data, s, e)
         g = C.grams(h, k) >> C.U64(1)
-        long = (e[k - 1 :] - s[: len(g)]) >= 6 * k  # grams of short, frequent words come last
-        return h, first, np.where(long, g, g | C.U64(1 << 63))
+        letters = np.concatenate([[0], np.cumsum(e - s)])
+        long = letters[k:] - letters[: len(letters) - k] >= 5 * k + 1  # grams of short, frequent words come last
+        return h, first, np.where(long[: len(g)], g, g | C.U64(1 << 63))
+
+    def hashes(self, units: np.ndarray):
+        """A function that gives the hash of units[a:z] for each of many spans, of a gram or more."""
+        if self.name != "bytes":
+            pre = C.prefix_hash(units)
+            return lambda a, z: C.span_hash(pre, a, z)
+        u = np.concatenate([units, np.zeros(7, np.uint8)]).astype(C.U64)  # eight bytes at a time, mixed: no two texts of one pattern cancel out
+        for step in (1, 2, 4):
+            u = u[:-step] | u[step:] << C.U64(8 * step)
+        pre = C.prefix_hash(C.mix(u))
+        return lambda a, z: C.span_hash(pre, a, z - 7)
+
+    def places(self, units: np.ndarray, first: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Where in the pieces that begin at first the gram of each piece's key stands."""
+        k = self.gram
+        n = max(0, len(units) - k + 1)
+        if self.name == "bytes":
+            pre = C.prefix_hash(units)
+            g = C.mix((pre[k:] - pre[:n]) * C.powers(n)[1])
+        else:
+            g, key = C.grams(units, k) >> C.U64(1), key & C.U64((1 << 63) - 1)
+        piece = np.searchsorted(first, np.arange(n), side="right") - 1
+        return np.flatnonzero((g == key[piece]) & (np.arange(n) + k <= first[piece + 1]))
 
     def pieces(self, units: np.ndarray, first: np.ndarray, order: np.ndarray):
         """Key, hash, text, start (in its text) and number of windows of each piece."""
@@ -68,7 +97,7 @@ class Kind:
         nth = C.spread(np.zeros(len(at), np.int64), parts)
         at, count = np.repeat(at, parts) + nth * self.longest, np.minimum(np.repeat(count, parts) - nth * self.longest, self.longest)
         text = np.searchsorted(first, at, side="right") - 1
-        return key[at], C.span_hash(C.prefix_hash(units), at, at + count - 1 + w), text, at - first[text], count
+        return key[at], self.hashes(units)(at, at + count - 1 + w), text, at - first[text], count
 
     def twice(self, order: np.ndarray, key: np.ndarray, at: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Whether the gram of the key stands in the piece more than once: else its windows differ from each other."""
@@ -146,22 +175,30 @@ def fetched(docs: DataFrame, pieces: DataFrame, kind: Kind) -> DataFrame:
     return C.per_batch(texts, work, FETCHED)
 
 
-def in_shards(pieces: DataFrame, kind: Kind, judge) -> DataFrame:
-    """anchor, piece, verdict: judge(units, start of each piece, windows of each, places, least) gives an array with one
-    value for each window, piece after piece; a block has all pieces of its keys."""
+def in_shards(pieces: DataFrame, kind: Kind, judge, whole: bool) -> DataFrame:
+    """anchor, piece, least, verdict: judge(units, start of each piece, windows of each, places, least) gives an array with
+    one value for each window, piece after piece; a block has all pieces of its keys. Unless whole, pieces without a repeat
+    are left out, and verdict is null where all windows repeat (and have the same least)."""
     dtype = np.uint8 if kind.name == "bytes" else np.uint64
 
     def settle(parts):
-        whole = pa.Table.from_batches(parts)
-        data, off = C.text_bytes(whole.column("units").combine_chunks())
+        table = pa.Table.from_batches(parts).combine_chunks()
+        data, off = C.text_bytes(table.column("units").combine_chunks())
         units = np.frombuffer(data.tobytes(), dtype)
-        first = off // units.itemsize
-        n = whole.column("n").to_numpy()
-        verdict = judge(units, first, n, whole.column("places").to_numpy(), whole.column("least").to_numpy())
-        edges = np.concatenate([[0], np.cumsum(n)]) * verdict.itemsize
-        raw = verdict.tobytes()
-        cells = pa.array([raw[a:b] for a, b in zip(edges, edges[1:])], pa.binary())
-        return pa.RecordBatch.from_arrays([whole.column("anchor").combine_chunks(), whole.column("piece").combine_chunks(), cells], ["anchor", "piece", "verdict"])
+        n, places, least = (table.column(c).to_numpy() for c in ("n", "places", "least"))
+        verdict = judge(units, off // units.itemsize, n, places, least)
+        edges = np.concatenate([[0], np.cumsum(n)])
+        low, high = (f.reduceat(verdict, edges[:-1]) for f in (np.minimum, np.maximum))
+        raw, edges = verdict.tobytes(), edges * verdict.itemsize
+        even = (low == high) & (not whole)
+        cells = pa.array([None if e else raw[a:b] for e, a, b in zip(even.tolist(), edges, edges[1:])], pa.binary())
+        if kind.name == "bytes":
+            keep = (high > 0) | whole
+        else:
+            keep = (places > 1) | (low < least) | whole
+            least = np.where(even, low, least)
+        out = pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks(), table.column("piece").combine_chunks(), pa.array(least), cells], ["anchor", "piece", "least", "verdict"])
+        return out.filter(pa.array(keep))
 
     def run(batches):
         held, size = [], 0
@@ -183,55 +220,90 @@ def in_shards(pieces: DataFrame, kind: Kind, judge) -> DataFrame:
         if held:
             yield settle(held)
 
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(run, "anchor long, piece long, verdict binary")
+    size = pieces.agg(F.sum(F.octet_length("units"))).first()[0] or 0
+    parts = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 26)
+    dealt = pieces.select("anchor", "piece", "places", "least", "n", "units").repartition(parts, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, "anchor long, piece long, least long, verdict binary")
+
 
+PART = "anchor long, piece long, nth int, part_anchor long, part long, places long, least long, n int, at int, units binary"
 
-def by_window(pieces: DataFrame, kind: Kind, within: bool) -> DataFrame:
-    """As in_shards, for keys with very many pieces: by the hash of each window, summed before the shuffle."""
+
+def parts_of(pieces: DataFrame, kind: Kind, width: int, level: int) -> DataFrame:
+    """The parts (part_anchor, part) of pieces: their windows from nth on that have one place of the gram, at units from the
+    part's begin, and whose distances to it lie in one range of width distances."""
     dtype = np.uint8 if kind.name == "bytes" else np.uint64
-    w = kind.window
+    w, m = kind.window, kind.window - kind.gram
 
     def work(batch):
         step = max(1, (1 << 15) // kind.longest)
         for a in range(0, batch.num_rows, step):
             part = batch.slice(a, step)
             data, off = C.text_bytes(part.column("units"))
-            units = np.frombuffer(data.tobytes(), dtype)
-            n = part.column("n").to_numpy()
-            nth = C.spread(np.zeros(len(n), np.int64), n)
-            at = np.repeat(off[:-1] // units.itemsize, n) + nth
-            h = C.span_hash(C.prefix_hash(units), at, at + w)
-            of = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([part.column(c).take(of) for c in ("anchor", "piece", "places", "least")] + [pa.array(nth.astype(np.int32)), pa.array(h.view(np.int64))], ["anchor", "piece", "places", "least", "nth", "hash"])
-
-    rows = C.per_batch(pieces, work, "anchor long, piece long, places long, least long, nth int, hash long")
-    totals = rows.groupBy("anchor", "hash").agg(F.sum("places").alias("all_places"), F.min("least").alias("all_least"))
-    each = rows.join(totals, ["anchor", "hash"])
-    value = (F.col("all_places") > 1).cast("long") if within else F.col("all_least")
-    listed = each.groupBy("anchor", "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", value.alias("v")))), lambda x: x.v).alias("vs"))
-
-    def pack(batch):
-        out = [np.array(v, np.int64 if not within else np.uint8).tobytes() for v in batch.column("vs").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("piece"), pa.array(out, pa.binary())], ["anchor", "piece", "verdict"])
-
-    return C.per_batch(listed, pack, "anchor long, piece long, verdict binary")
-
-
-def verdicts(docs: DataFrame, found: DataFrame, kind: Kind, within: bool, judge) -> DataFrame:
-    """anchor, piece, places, least, verdict (null where the piece is the only one of its key, or settled whole)."""
+            units, first = np.frombuffer(data.tobytes(), dtype), off // np.dtype(dtype).itemsize
+            key, n = part.column("anchor").to_numpy().view(C.U64), part.column("n").to_numpy()
+            piece = np.repeat(np.arange(len(n)), n)
+            window = C.spread(first[:-1], n)
+            if level:
+                place = (first[:-1] + part.column("at").to_numpy())[piece]
+            else:
+                places = kind.places(units, first, key)
+                place = places[np.searchsorted(places, window)]
+            span = (place - window) // width
+            new = np.ones(len(window), bool)
+            new[1:] = (piece[1:] != piece[:-1]) | (place[1:] != place[:-1]) | (span[1:] != span[:-1])
+            run = np.flatnonzero(new)
+            count = np.diff(np.append(run, len(window)))
+            window, place, span, of = window[run], place[run], span[run], piece[run]
+            hashed = kind.hashes(units)
+            context = hashed(place - span * width, place - np.minimum(span * width + width - 1, m) + w)
+            size = count - 1 + w
+            raw = units[C.spread(window, size)]
+            cells = pa.Array.from_buffers(pa.large_binary(), len(run), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size * raw.itemsize)]).astype(np.int64)), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+            own = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("anchor").take(own), part.column("piece").take(own), pa.array((window - first[of]).astype(np.int32)), pa.array(C.mix(context ^ C.mix(span.astype(C.U64) * C.U64(8) + C.U64(level))).view(np.int64)), pa.array(hashed(window, window + size).view(np.int64)),
+                 part.column("places").take(own), part.column("least").take(own), pa.array(count.astype(np.int32)), pa.array((place - window).astype(np.int32)), cells],
+                ["anchor", "piece", "nth", "part_anchor", "part", "places", "least", "n", "at", "units"],
+            )
+
+    return C.per_batch(pieces, work, PART)
+
+
+def crowded(pieces: DataFrame, kind: Kind, judge, width: int, level: int = 0) -> DataFrame:
+    """anchor, piece, least, verdict of pieces whose keys have too many: the verdicts of their parts in a row."""
+    width = -(-width // WAYS)
+    parts = C.written(parts_of(pieces, kind, width, level), "parts")
+    same = parts.groupBy("part_anchor", "part").agg(F.sum("places").alias("places"), F.min("least").alias("least"), F.max(F.struct("n", "at", "units")).alias("one"))
+    same = C.written(same.select(F.col("part_anchor").alias("anchor"), F.col("part").alias("piece"), "places", "least", "one.n", "one.at", "one.units"), "same")
+    kinds = same.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    judged = settled(C.written(same.join(kinds, "anchor"), "kinds"), kind, judge, True, width, level + 1)
+    judged = C.written(judged.select(F.col("anchor").alias("part_anchor"), F.col("piece").alias("part"), "verdict"), "verdicts")
+    rows = parts.select("anchor", "piece", "nth", "least", "part_anchor", "part").join(judged, ["part_anchor", "part"])
+    lists = rows.groupBy("anchor", "piece").agg(F.min("least").alias("least"), F.array_sort(F.collect_list(F.struct("nth", "verdict"))).alias("vs"))
+    return lists.select("anchor", "piece", "least", F.expr("aggregate(vs, cast('' as binary), (a, x) -> concat(a, x.verdict))").alias("verdict"))
+
+
+def settled(pieces: DataFrame, kind: Kind, judge, whole: bool, width: int, level: int = 0) -> DataFrame:
+    """anchor, piece, least, verdict of pieces with all others of their keys: in shards, or split where a key has too many.
+    width: distances that a range has so far; of one distance no key has two pieces."""
+    many = pieces.filter((F.col("kinds") > CROWD) & F.lit(width > 1))
+    few = in_shards(pieces.filter((F.col("kinds") <= CROWD) | F.lit(width <= 1)), kind, judge, whole)
+    return few if width <= 1 or many.isEmpty() else few.unionByName(crowded(many, kind, judge, width, level))
+
+
+def verdicts(docs: DataFrame, found: DataFrame, kind: Kind, judge) -> DataFrame:
+    """anchor, piece, least, verdict (null: all windows) of the pieces that hold a repeated window."""
     pieces = distinct_pieces(found)
-    open_ = F.col("kinds") > 1
-    if within:
-        open_ = open_ | ((F.col("places") == 1) & F.col("twice"))
-    units = C.written(fetched(docs, pieces.filter(open_), kind), "units")
-    judged = in_shards(units.filter(F.col("kinds") <= CROWD), kind, judge).unionByName(by_window(units.filter(F.col("kinds") > CROWD), kind, within))
-    return pieces.select("anchor", "piece", "places", "least").join(judged, ["anchor", "piece"], "left")
+    able = (F.col("kinds") > 1) | (F.col("places") > 1)
+    units = C.written(fetched(docs, pieces.filter(able | F.col("twice") if "twice" in pieces.columns else able), kind), "units")
+    return C.written(settled(units, kind, judge, False, kind.window - kind.gram + 1), "judged")
 
 
-def hits(docs: DataFrame, found: DataFrame, judged: DataFrame, needed) -> DataFrame:
+def hits(docs: DataFrame, found: DataFrame, judged: DataFrame, needed=None) -> DataFrame:
     """docs with hits: the list of its pieces that may lose windows (start, n, least, verdict)."""
-    lists = found.join(judged, ["anchor", "piece"]).filter(needed).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least", "verdict")).alias("hits"))
+    mentions = found.select("anchor", "piece", "doc_id", "start", "n").join(judged, ["anchor", "piece"])
+    lists = (mentions if needed is None else mentions.filter(needed)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least", "verdict")).alias("hits"))
     lists = C.written(lists.withColumnRenamed("doc_id", "hit_id"), "hits")
     return docs.join(lists, docs["doc_id"].cast("long") == lists["hit_id"], "left").drop("hit_id")
 

@@ -53,7 +53,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 3) -> DataFram
     """
     kind = A.Kind("words", window, gram, 64)
     found = A.repeated(docs, kind, within=False)
-    judged = A.verdicts(docs, found, kind, False, least_ids(window))
+    judged = A.verdicts(docs, found, kind, least_ids(window))
     marked = A.hits(docs.select("doc_id", "text"), found, judged, (F.col("least") < F.col("doc_id")) | F.col("verdict").isNotNull())
 
     def work(batch):

@@ -50,8 +50,7 @@ def remove_long_repeats(docs: DataFrame, length: int = 400, gram: int = 160) ->
     """
     kind = A.Kind("bytes", length, gram, 2 * length)
     found = A.repeated(docs, kind, within=True)
-    judged = A.verdicts(docs, found, kind, True, starts_again(length))
-    marked = A.hits(docs.select("doc_id", "text"), found, judged, (F.col("places") > 1) | F.col("verdict").isNotNull())
+    marked = A.hits(docs.select("doc_id", "text"), found, A.verdicts(docs, found, kind, starts_again(length)))
 
     def work(batch):
         for part in C.slices(batch, "text"):
