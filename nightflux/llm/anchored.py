@@ -26,7 +26,7 @@ from . import common as C
 #: Keys with more different pieces than this are split, into so many ranges of distances at a time.
 CROWD, WAYS = 100, 8
 #: Units of a block that is indexed at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)

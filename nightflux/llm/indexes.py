@@ -8,7 +8,7 @@ U64 = np.uint64
 
 
 def suffix_array(seq: np.ndarray, depth: int, pack: int = 1, bits: int = 32) -> np.ndarray:
-    """Suffixes of seq in order, compared over at least depth symbols (prefix doubling).
+    """Suffixes of seq in order, compared over at least depth symbols (prefix doubling of those that are still equal).
 
     pack symbols of so many bits are compared at once in the first round.
     """
@@ -17,21 +17,22 @@ def suffix_array(seq: np.ndarray, depth: int, pack: int = 1, bits: int = 32) ->
     for j in range(pack):
         key <<= bits
         key[: n - j] |= seq[j:]
-    sa = np.argsort(key, kind="stable")
-    h = pack
+    sa = np.argsort(key)
+    live, key, h = np.arange(n), key[sa], pack  # places of the array that may still change, and their keys in order
+    rank = np.zeros(n + 1, np.int64)  # of a suffix: 1 + the place of the first that equals it so far; 0 behind the end
     while True:
-        ordered = key[sa]
-        new = np.empty(n, bool)
-        new[:1] = True
-        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
-        if h >= depth or new.all():
+        new = np.ones(len(live), bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(live)))
+        rank[sa[live]] = np.repeat(live[begin] + 1, size)
+        live = live[np.repeat(size > 1, size)]
+        if h >= depth or not len(live):
             return sa
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(new)
-        key = rank * (n + 1)
-        if h < n:
-            key[: n - h] += rank[h:]
-        sa = np.argsort(key, kind="stable")
+        own = sa[live]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + h, n)]
+        order = np.argsort(key)
+        sa[live], key = own[order], key[order]
         h *= 2
 
 
