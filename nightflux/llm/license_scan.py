@@ -2,8 +2,8 @@
 
 Method: template-markup matching. A template is wording with regions marked as optional or replaceable. It is compiled
 into a token automaton; a text is accepted where all mandatory words follow each other exactly, optional regions are
-there whole or not at all, and a replaceable region takes up to its number of words. Automata start only where the
-first mandatory words of their template stand.
+there whole or not at all, and a replaceable region takes up to its number of words. Automata are tried only where the
+first run of mandatory words of their template stands, and go from there both ways, to the end and to the begin.
 """
 
 from __future__ import annotations
@@ -21,27 +21,37 @@ from . import common as C
 #: Phrases and the labels that they give (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Public licence wordings in template markup: <<optional>> ... <</optional>> may be left out, <<var:n>> stands for up to n words.
+#: Public licence wordings in template markup: <<optional>> ... <</optional>> may be left out, <<var:n>> stands for up to n
+#: words. Whole licences where they are short, else the notice that the licence itself gives for use (fixed values).
 TEMPLATES = {
     "mit": """<<optional>>the mit license <<optional>>mit<</optional>><</optional>> <<optional>>copyright <<var:30>><</optional>>
         permission is hereby granted, free of charge, to any person obtaining a copy of <<var:8>> and associated documentation files
         (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
         merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
         furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
-        <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or substantial portions of the Software.""",
+        <<optional>>(including the next paragraph)<</optional>> shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<var:12>> BE LIABLE FOR ANY CLAIM,
+        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc": """permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee
-        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<var:6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var:6>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd-2-clause": """redistribution and use in source and binary forms, with or without modification, are permitted provided that the
         following conditions are met: <<optional>>1.<</optional>> redistributions of source code must retain the above copyright notice,
         this list of conditions and the following disclaimer. <<optional>>2.<</optional>> redistributions in binary form must reproduce
         the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials
-        provided with the distribution.""",
+        provided with the distribution. THIS SOFTWARE IS PROVIDED BY <<var:12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+        BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
     "apache-2": """licensed under the apache license, version 2.0 <<optional>>(the "license"); you may not use <<var:4>> except in compliance
         with the license. you may obtain a copy of the license at <<var:12>><</optional>>""",
     "gpl-3": """<<optional>>this <<var:3>> is<</optional>> licensed under the <<optional>>terms of the<</optional>> gnu general public license,
         <<optional>>either<</optional>> version 3 <<optional>>or <<optional>>(at your option)<</optional>> any later version<</optional>>""",
     "cc-by": """licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution 4.0 international <<optional>>public<</optional>> license""",
-    "cc-by-nc": """licensed under <<optional>>a<</optional>> creative commons attribution <<optional>>-<</optional>> noncommercial 4.0 international <<optional>>public<</optional>> license""",
+    "cc-by-nc": """licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution <<optional>>-<</optional>> noncommercial 4.0 international <<optional>>public<</optional>> license""",
 }
 
 
@@ -102,18 +112,52 @@ class Automaton:
                     return s, self.word[s : s + n]
         raise ValueError(f"no mandatory word in {self.label}")
 
-    def run(self, hashes, at: int) -> tuple[bool, float]:
-        """Whether the text from this place on is accepted, reading from the anchor state, and the share of the mandatory words that matched."""
-        final, states, best = len(self.word), self.closed({self.anchor_state}), 0
-        for h in hashes[at:]:
+    def back(self, hashes) -> tuple[bool, int]:
+        """Whether the words before the anchor state, the nearest first, match its wording from the begin on, and how many
+        mandatory words of it match."""
+        come: dict = {}
+        for s, ends in self.skip.items():
+            for e in ends:
+                come.setdefault(e, set()).add(s)
+
+        def closed(states):
+            todo, seen = list(states), set(states)
+            while todo:
+                for t in come.get(todo.pop(), ()):
+                    if t not in seen:
+                        seen.add(t)
+                        todo.append(t)
+            return seen
+
+        anchor = self.anchor_state
+        states = closed({anchor})
+        least = min(self.need[s] for s in states)
+        for h in hashes:
+            if 0 in states:
+                break
+            nxt = {s - 1 for s in states if s and (self.word[s - 1] is None or self.word[s - 1] == h)}
+            if not nxt:
+                break
+            states = closed(nxt)
+            least = min(least, min(self.need[s] for s in states))
+        return 0 in states, self.need[anchor] - least
+
+    def run(self, hashes, before=()) -> tuple[bool, float]:
+        """Whether a text is accepted whose words from the anchor state on are hashes, and before it, the nearest first,
+        before; and the share of the mandatory words that matched."""
+        whole, share = self.back(before)
+        final, states, best = len(self.word), self.closed({self.anchor_state}), self.need[self.anchor_state]
+        for h in hashes:
             if final in states:
-                return True, 1.0
+                break
             nxt = {s + 1 for s in states if s < final and (self.word[s] is None or self.word[s] == h)}
             if not nxt:
-                return False, best / self.need[-1]
+                break
             states = self.closed(nxt)
             best = max(best, max(self.need[s] for s in states))
-        return final in states, 1.0 if final in states else best / self.need[-1]
+        if whole and final in states:
+            return True, 1.0
+        return False, (share + best - self.need[self.anchor_state]) / self.need[-1]
 
     def __post_init__(self):
         self.anchor_state = 0
@@ -137,7 +181,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     words that matched; 1 where the automaton accepts).
 
     Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII. Null and empty texts have no words
-    and no labels.
+    and no labels. Rows that are repeated get a row each.
     """
     phrases, automata = phrases or PHRASES, compiled(templates or TEMPLATES)
     sought = [(np.array([C.hash_word(w) for w in _words(p)], C.U64), label) for p, label in phrases.items()]
@@ -170,7 +214,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
             for a in automata:
                 for at in places(h, last, a.anchor_words):
                     d = int(np.searchsorted(first, at, side="right") - 1)
-                    ok, share = a.run(h[at : first[d + 1]].tolist(), 0)
+                    ok, share = a.run(h[at : min(at + len(a.word), first[d + 1])].tolist(), h[max(at - a.anchor_state, first[d]) : at][::-1].tolist())
                     found[d].append({"label": a.label, "word": int(at - first[d]), "share": 1.0 if ok else min(share, 0.99)})
             none = count == 0
             yield pa.RecordBatch.from_arrays(

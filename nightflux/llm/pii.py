@@ -3,16 +3,21 @@
 Method: surrogate generation. A surrogate is drawn by a keyed permutation of the strings of the original's format: the
 same length, letter case, script and separators, vowels for vowels in names, a first name of the same gender and script
 for a first name, an address in range, a valid check digit where the original has one. A permutation gives different
-surrogates to different originals and the same one to each mention, on any machine, without a table of the corpus. The
-check over all distinct entities still holds them against each other and against all originals; those that meet are
-drawn again, with the next tweak, until none does.
+surrogates to different originals and the same one to each mention, on any machine, without a table of the corpus, and
+never a value to itself. The check over all distinct entities still holds them against each other and, where the format
+has room, against all originals; those that meet are drawn again, with the next tweak, until none does.
+
+The key is a secret of whoever runs it: with the key the permutation can be turned back.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
+import secrets
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,17 @@ _CLASSES = [
 ]
 _CLASS_OF = {ch: c for c in _CLASSES for ch in c}
 _HEX = "0123456789abcdef"
+#: Formats with fewer strings may have all of them in the corpus: their surrogates may be originals of other people.
+ROOM = 1 << 20
+
+
+@functools.lru_cache(1 << 12)
+def _class_of(ch: str) -> str | None:
+    """The characters that may stand for ch: of its listed class, or letters or digits of its kind near it in its script."""
+    if ch in _CLASS_OF or not ch.isalnum():
+        return _CLASS_OF.get(ch)
+    kind, begin = unicodedata.category(ch), ord(ch) & ~63
+    return "".join(c for c in map(chr, range(begin, begin + 64)) if unicodedata.category(c) == kind and c not in _CLASS_OF)
 
 _KEYWORD = r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b)[\"']?\s*[=:]\s*[\"']?"
 PATTERNS = [
@@ -56,7 +72,9 @@ _LETTER = r"[^\W\d_]"
 _NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES.split())})\.?[ ]+)?(?P<first>{'|'.join(_NAMES)})(?:[ ]+(?P<last>(?-i:[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]){_LETTER}+(?:-{_LETTER}+)?))(?!\w)|(?<!\w)(?:{'|'.join(TITLES.split())})\.?[ ]+(?P<alone>[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]{_LETTER}+)(?!\w)")
 #: Bytes without which a text can hold no entity but names: digits, @, = and :.
 _MARKS = np.zeros(256, bool)
-_MARKS[[*b"0123456789@=:"]] = True
+_MARKS[[*b"0123456789@=:_"]] = True
+#: How secrets begin that may have none of these.
+_HEADS = re.compile(rb"AKIA|(?:sk|pk|ghp|gho|xox[bap])-")
 
 
 def detect(text: str, marked: bool = True, named: bool = True) -> list[tuple[int, int, str]]:
@@ -64,7 +82,7 @@ def detect(text: str, marked: bool = True, named: bool = True) -> list[tuple[int
     found = []
     if marked:
         found += [(m.start(), m.end(), m.lastgroup) for m in _FIND.finditer(text)]
-        found += [(m.start(1), m.end(1), "secret") for m in _SAID.finditer(text)]
+        found += [(m.start(1), m.end(1), "secret") for m in _SAID.finditer(text) if any(map(str.isalnum, m[1]))]
     if named:
         for m in _NAME.finditer(text):
             if m["alone"]:
@@ -85,17 +103,32 @@ def _number(key: bytes, *parts) -> int:
 
 
 def permuted(x: int, sizes: tuple[int, int], key: bytes, tweak: str) -> int:
-    """A keyed permutation of the numbers below sizes[0] * sizes[1]: each half in turn moves by a hash of the other."""
+    """A keyed permutation of the numbers below sizes[0] * sizes[1], which leaves none in place (but for one number alone):
+    the next number in an order in which each half in turn moves by a hash of the other."""
     a, b = divmod(x, sizes[1])
+    for r in reversed(range(4)):
+        b = (b - _number(key, tweak, r, "b", a)) % sizes[1]
+        a = (a - _number(key, tweak, r, "a", b)) % sizes[0]
+    a, b = divmod((a * sizes[1] + b + 1) % (sizes[0] * sizes[1]), sizes[1])
     for r in range(4):
         a = (a + _number(key, tweak, r, "a", b)) % sizes[0]
         b = (b + _number(key, tweak, r, "b", a)) % sizes[1]
     return a * sizes[1] + b
 
 
+def room(value: str) -> int:
+    """How many strings have the format of value, as far as it matters."""
+    out = 1
+    for ch in value:
+        out *= len(_class_of(ch) or "x")
+        if out >= ROOM:
+            break
+    return out
+
+
 def same_format(value: str, key: bytes, tweak: str, alphabet: str | None = None) -> str:
     """value with each letter and digit replaced in its class; a permutation of the strings of the same format."""
-    classes = [alphabet if alphabet and ch in alphabet else _CLASS_OF.get(ch) for ch in value]
+    classes = [alphabet if alphabet and ch in alphabet else _class_of(ch) for ch in value]
     places = [i for i, c in enumerate(classes) if c]
     if not places:
         return value
@@ -104,7 +137,7 @@ def same_format(value: str, key: bytes, tweak: str, alphabet: str | None = None)
     for n, i in enumerate(places):
         x = x * len(classes[i]) + classes[i].index(value[i])
         sizes[n >= len(places) // 2 and len(places) > 1] *= len(classes[i])
-    form = "".join("#" if c is None else chr(0x100 + (_CLASSES.index(c) if c in _CLASSES else 99)) for c in classes)
+    form = "".join("#" if c is None else chr(0x100 + _CLASSES.index(c)) if c in _CLASSES else "*" if c == alphabet else f"<{c[0]}>" for c in classes)
     y = permuted(x, (sizes[0], sizes[1]), key, f"{tweak}|{form}")
     out = list(value)
     for i in reversed(places):
@@ -180,6 +213,14 @@ def _found(column: pa.Array, hints: np.ndarray) -> list[tuple[str, list]]:
     data, off = C.text_bytes(column)
     marks = np.concatenate([[0], np.cumsum(_MARKS[data])])
     marked = marks[off[1:]] > marks[off[:-1]]
+    for m in _HEADS.finditer(data.tobytes()):
+        marked[np.searchsorted(off, m.start(), side="right") - 1] = True
+    data_, data = data, data.copy()  # quotes, dashes and spaces beyond ASCII end a word too
+    follows = np.append(data[1:], np.uint8(0))
+    for size, at in ((2, data == 0xC2), (3, ((data == 0xE2) & ((follows == 0x80) | (follows == 0x81))) | ((data == 0xE3) & (follows == 0x80)))):
+        at = np.flatnonzero(at)
+        for j in range(size):
+            data[np.minimum(at + j, len(data) - 1)] = 0x20
     s, e, first = C.words(data, off, C.ALNUM)
     upper = ((data[s] >= 0x41) & (data[s] <= 0x5A)) | (data[s] >= 0xC3)
     text = np.repeat(np.arange(len(off) - 1), np.diff(first))[upper]
@@ -188,7 +229,7 @@ def _found(column: pa.Array, hints: np.ndarray) -> list[tuple[str, list]]:
     named[text[hints[(h >> C.U64(44)).astype(np.int64)]]] = True
     out = []
     for i in np.flatnonzero(marked | named).tolist():
-        t = data[off[i] : off[i + 1]].tobytes().decode()
+        t = data_[off[i] : off[i + 1]].tobytes().decode()
         if got := detect(t, bool(marked[i]), bool(named[i])):
             out.append((i, t, got))
     return out
@@ -215,35 +256,44 @@ def entities(docs: DataFrame) -> DataFrame:
     return C.per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, type string, value string, mentions int")
 
 
-def redrawn(found: DataFrame, key: bytes, rounds: int = 16) -> DataFrame | None:
-    """type, value, surrogate of those whose first surrogate meets another's or an original; None if there are none."""
+def redrawn(found: DataFrame, key: bytes, rounds: int = 200) -> DataFrame | None:
+    """type, value, surrogate of those whose first surrogate meets another's or an original; None if there are none. Where
+    a format has too few strings only surrogates are held against each other. It goes on until none meets; if that isn't
+    reached in so many rounds, as no corpus with room in its formats should need, it raises an error."""
     originals = C.written(found.select("type", "value").distinct(), "originals")
 
     def drawn(df, tweak):
         def work(batch):
-            new = [surrogate(k, v, key, tweak) for k, v in zip(batch.column("type").to_pylist(), batch.column("value").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("type"), batch.column("value"), pa.array(new, pa.string())], ["type", "value", "surrogate"])
+            kinds, values = batch.column("type").to_pylist(), batch.column("value").to_pylist()
+            new = [surrogate(k, v, key, tweak) for k, v in zip(kinds, values)]
+            wide = [k != "first_name" and room(v) >= ROOM for k, v in zip(kinds, values)]
+            yield pa.RecordBatch.from_arrays([batch.column("type"), batch.column("value"), pa.array(new, pa.string()), pa.array(wide, pa.bool_())], ["type", "value", "surrogate", "wide"])
 
-        return C.per_batch(df.select("type", "value"), work, "type string, value string, surrogate string")
+        return C.per_batch(df.select("type", "value"), work, "type string, value string, surrogate string, wide boolean")
 
     now, moved = C.written(drawn(originals, 0), "surrogates"), None
-    closed = F.col("type") == "first_name"  # a closed list: its surrogates are names of the list as well
-    for tweak in range(1, rounds + 1):
+    for tweak in itertools.count(1):
         shared = now.groupBy("type", "surrogate").agg(F.count("*").alias("c"), F.min("value").alias("keeps")).filter("c > 1").select("type", "surrogate", "keeps")
         twice = now.join(shared, ["type", "surrogate"]).filter(F.col("value") != F.col("keeps")).select("type", "value")
         real = originals.select(F.col("type"), F.col("value").alias("surrogate"))
-        meets = now.filter(~closed).join(real, ["type", "surrogate"], "left_semi").select("type", "value")
+        meets = now.filter("wide").join(real, ["type", "surrogate"], "left_semi").select("type", "value")
         bad = C.written(twice.unionByName(meets).distinct(), "collisions")
         if bad.isEmpty():
             return moved
+        if tweak > rounds:
+            raise RuntimeError(f"surrogates still meet after {rounds} rounds")
         again = drawn(bad, tweak)
         now = C.written(now.join(bad, ["type", "value"], "left_anti").unionByName(again), "surrogates")
-        fresh = now.join(bad, ["type", "value"], "left_semi")
+        fresh = now.join(bad, ["type", "value"], "left_semi").select("type", "value", "surrogate")
         moved = C.written(fresh if moved is None else moved.join(bad, ["type", "value"], "left_anti").unionByName(fresh), "redrawn")
-    return moved
 
 
-def replace(docs: DataFrame, key: str = "nightflux", column: str = "entities") -> DataFrame:
+def session_key(spark) -> str:
+    """The key of spark.nightflux.pii.key; where that is unset a new one, so that surrogates hold for one call only."""
+    return spark.conf.get("spark.nightflux.pii.key", None) or secrets.token_hex(32)
+
+
+def replace(docs: DataFrame, key: str, column: str = "entities") -> DataFrame:
     """docs with the entities of text replaced, and listed in column (type, start and length in the new text).
 
     All columns stay, but one of that name. Null texts stay null and empty ones empty. Rows without
@@ -255,8 +305,16 @@ def replace(docs: DataFrame, key: str = "nightflux", column: str = "entities") -
     moved = redrawn(found, secret)
     source = docs
     if moved is not None:
-        lists = found.join(moved, ["type", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("type", "value", "surrogate")).alias("__moved")).withColumnRenamed("doc_id", "__moved_id")
-        source = docs.join(C.written(lists, "moved"), F.col("doc_id").cast("long").eqNullSafe(F.col("__moved_id")), "left").drop("__moved_id")
+        # rows without doc_id have no join key: their redrawn values, all together, are dealt by text
+        lists = found.filter("doc_id is not null").join(moved, ["type", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("type", "value", "surrogate")).alias("__moved")).withColumnRenamed("doc_id", "__moved_id")
+        source = docs.join(C.written(lists, "moved"), F.col("doc_id").cast("long") == F.col("__moved_id"), "left").drop("__moved_id")
+        nameless = docs.filter("doc_id is null")
+        if not nameless.isEmpty():
+            keyed = nameless.select("text", F.md5(F.col("text").cast("binary")).alias("__text")).filter("__text is not null").dropDuplicates(["__text"])
+            own = C.written(entities(keyed.select(F.xxhash64("__text").alias("doc_id"), "text")), "nameless")
+            lists = own.join(moved, ["type", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("type", "value", "surrogate")).alias("__moved")).withColumnRenamed("doc_id", "__moved_id")
+            nameless = nameless.join(C.written(lists, "moved"), F.xxhash64(F.md5(F.col("text").cast("binary"))) == F.col("__moved_id"), "left").drop("__moved_id")
+            source = source.filter("doc_id is not null").unionByName(nameless)
     names = docs.columns
     at = names.index("text")
     kinds = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
@@ -284,6 +342,6 @@ def replace(docs: DataFrame, key: str = "nightflux", column: str = "entities") -
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
-    done = replace(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace(C.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda x: x.type))), ",")
     return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("types"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
