@@ -1,11 +1,14 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 Method: a rolling hash cuts each text into chunks, so that equal passages give equal chunks wherever they stand. A chunk
-that occurs more than once is encoded once. In a text, the tokens of its shared chunks are put in place and the joins
-are repaired: the text between two reused parts is encoded again, from and to places where both encodings must agree.
-Such a place is a space between an ASCII letter or digit and another one: no piece of the byte-level pattern goes across
-it, so the tokens on either side of it are those of the whole text. A chunk without two such places isn't reused, and
-one is put in place only where its bytes are there.
+that occurs more than once is encoded once, segment by segment. In a text, the tokens of its shared chunks are put in
+place and the joins are repaired: what lies between two reused parts is encoded again together with the last segment of
+the part before and the first segment of the part behind, and segment by segment further into the next part, until the
+new tokens agree exactly with those of the segments at both ends. A part whose segments never agree is encoded again.
+
+Segments end at places that the byte-level pattern can't go across whatever stands around: before a single space
+between two other characters, and before a full stop or comma of East Asian writing. A chunk is put in place only where
+its bytes are there. A text that holds the string of a special token is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -56,6 +59,7 @@ class Codec:
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self._encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self._allowed = set(self.special)
+        self.special_bytes = [t.encode() for t in self.special]
         tokens = [b""] * (max([*ranks.values(), *self.special.values()]) + 1)
         for t, i in [*ranks.items(), *((s.encode(), i) for s, i in self.special.items())]:
             tokens[i] = t
@@ -91,10 +95,24 @@ def _key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def core(raw: np.ndarray) -> tuple[int, int] | None:
-    """The first and the last place where the encodings of the chunk and of a text around it must agree."""
-    at = np.flatnonzero((raw[1:-1] == 0x20) & _PLAIN[raw[:-2]] & _PLAIN[raw[2:]]) + 1
-    return (int(at[0]), int(at[-1])) if len(at) > 1 else None
+def segment_ends(raw: np.ndarray) -> np.ndarray:
+    """Places where segments of the bytes end."""
+    b = np.concatenate([raw, np.zeros(3, np.uint8)])
+    n = len(raw)
+    if n < 4:
+        return np.zeros(0, np.int64)
+    one, two, three = b[:n], b[1 : n + 1], b[2 : n + 2]
+    odd = (one == 0xC2) | ((one >= 0xE1) & (one <= 0xE3))  # a character that begins so may be a space
+    plain = (one > 0x20) & (one != 0x7F) & ~odd
+    ends_odd = np.zeros(n, bool)  # the last byte of such a character
+    ends_odd[1:] |= one[:-1] == 0xC2
+    ends_odd[2:] |= odd[:-2] & (one[:-2] != 0xC2)
+    before = (one > 0x20) & (one != 0x7F) & ~ends_odd & (one < 0xC0)
+    space = np.zeros(n, bool)
+    space[1:-1] = (one[1:-1] == 0x20) & before[:-2] & plain[2:]
+    stop = np.zeros(n, bool)  # an ideograph, then U+3001 or U+3002
+    stop[3:] = (one[3:] == 0xE3) & (two[3:] == 0x80) & ((three[3:] == 0x81) | (three[3:] == 0x82)) & (one[:-3] >= 0xE4) & (one[:-3] <= 0xE9)
+    return np.flatnonzero(space | stop)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -112,8 +130,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     return C.per_batch(docs, work, "key binary, doc_id long, start int, size int")
 
 
+#: Segments at the begin of a chunk that a join may go into, one after the other.
+TRIED = 4
+
+
+def in_segments(own: Codec, raw: np.ndarray) -> tuple[list[int], list[int], bytes] | None:
+    """Segment ends of a chunk (the first ones, and the last two), how many tokens stand before each, and its tokens from the
+    first to the last end. None if it has too few."""
+    ends = segment_ends(raw)
+    if len(ends) < 4:
+        return None
+    ends = [*ends[: TRIED + 1].tolist(), *ends[TRIED + 1 :][-2:].tolist()]
+    ids = [own.encode(raw[a:z].tobytes().decode()) for a, z in zip(ends, ends[1:])]
+    return ends, np.cumsum([0, *map(len, ids)]).tolist(), np.concatenate(ids).astype(own.dtype).tobytes()
+
+
 def encoded_once(docs: DataFrame, shared: DataFrame, path: str) -> DataFrame:
-    """key, head, tail, ids: the tokens of each shared chunk between its first and last agreeing place."""
+    """key, ends, before, ids: the tokens of each shared chunk, as in_segments gives them."""
     wanted = shared.groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "size")).alias("wanted"))
     texts = C.packed(docs).join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id") == F.col("wanted_id")).select("packed", "wanted")
 
@@ -125,31 +158,43 @@ def encoded_once(docs: DataFrame, shared: DataFrame, path: str) -> DataFrame:
             for i, wanted in enumerate(part.column("wanted").to_pylist()):
                 for w in wanted:
                     raw = data[off[i] + w["start"] : min(off[i] + w["start"] + w["size"], off[i + 1])]
-                    if (c := core(raw)) and _key(raw.tobytes()) == w["key"]:
-                        out.append((w["key"], c[0], c[1], own.encode(raw[c[0] : c[1]].tobytes().decode()).astype(own.dtype).tobytes()))
+                    if _key(raw.tobytes()) == w["key"] and (c := in_segments(own, raw)):
+                        out.append((w["key"], *c))
             cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["key", "head", "tail", "ids"])
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], ints), pa.array(cols[2], ints), pa.array(cols[3], pa.binary())], ["key", "ends", "before", "ids"])
 
-    return C.per_batch(texts, work, "key binary, head int, tail int, ids binary")
+    return C.per_batch(texts, work, "key binary, ends array<int>, before array<int>, ids binary")
 
 
-def assemble(own: Codec, raw: bytes, placed: list | None) -> np.ndarray:
-    """Ids of the text: reused ones in place, and what lies between encoded again."""
-    done, parts = 0, []
+def assemble(own: Codec, raw: bytes, placed: list | None) -> tuple[np.ndarray, int]:
+    """Ids of the text: reused ones in place, and the joins encoded again until both sides agree; and the bytes reused."""
+    if any(t in raw for t in own.special_bytes):
+        return own.encode(raw.decode()).astype("<u4"), 0
+    parts, done, reused = [], 0, 0  # tokens up to the byte done
+    held = np.zeros(0, own.dtype)  # tokens of the segment before the join, which begins at done
     for p in sorted(placed or (), key=lambda p: p["start"]):
-        a, z = p["start"] + p["head"], p["start"] + p["tail"]
-        if a >= done and _key(raw[p["start"] : p["start"] + p["size"]]) == p["key"]:
-            if a > done:
-                parts.append(own.encode(raw[done:a].decode()))
-            parts.append(np.frombuffer(p["ids"], own.dtype))
-            done = z
+        at, ends, before, ids = p["start"], p["ends"], p["before"], np.frombuffer(p["ids"], own.dtype)
+        if at + ends[0] < done or _key(raw[at : at + p["size"]]) != p["key"]:
+            continue
+        for i in range(1, min(TRIED, len(ends) - 3) + 1):
+            join = own.encode(raw[done : at + ends[i]].decode())
+            tail = ids[before[i - 1] : before[i]]
+            if len(join) >= len(held) + len(tail) and (join[: len(held)] == held).all() and (join[len(join) - len(tail) :] == tail).all():
+                last = len(ends) - 2
+                parts += [join, ids[before[i] : before[last]]]
+                reused += ends[last] - ends[i]
+                done, held = at + ends[last], ids[before[last] :]
+                break
     if done < len(raw):
-        parts.append(own.encode(raw[done:].decode()))
-    return np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4")
+        rest = own.encode(raw[done:].decode())
+        parts.append(rest)
+    return np.concatenate(parts).astype("<u4") if parts else np.zeros(0, "<u4"), reused
 
 
 def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers), and with decoded the text that they decode to.
+    """doc_id, n_tokens, reused (bytes whose tokens come from shared chunks), ids (little-endian unsigned 32-bit numbers), and
+    with decoded the text that they decode to.
 
     Same ids as the tokenizer of the vocabulary file gives without adding special tokens; the strings of special tokens
     in a text are special tokens. Null and empty texts have no tokens. A row without doc_id is encoded for itself.
@@ -161,7 +206,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     found = C.written(chunks(named), "chunks")
     shared = found.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start", "size")).alias("at")).filter("c > 1").select("key", "at.doc_id", "at.start", "at.size")
     once = C.written(encoded_once(named, shared, path), "encoded")
-    placed = found.join(once, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "size", "head", "tail", "ids")).alias("placed")).withColumnRenamed("doc_id", "placed_id")
+    placed = found.join(once, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "size", "ends", "before", "ids")).alias("placed")).withColumnRenamed("doc_id", "placed_id")
     whole = C.packed(docs).join(placed, F.col("doc_id") == F.col("placed_id"), "left").drop("placed_id")
 
     def work(batch):
@@ -169,15 +214,16 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
         for part in C.unpacked(batch):
             data, off = C.text_bytes(part.column("text"))
             raw = data.tobytes()
-            ids = [assemble(own, raw[off[i] : off[i + 1]], part.column("placed")[i].as_py()) for i in range(part.num_rows)]
-            cols = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
-            names = ["doc_id", "n_tokens", "ids"]
+            both = [assemble(own, raw[off[i] : off[i + 1]], part.column("placed")[i].as_py()) for i in range(part.num_rows)]
+            ids = [x for x, _ in both]
+            cols = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([r for _, r in both], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            names = ["doc_id", "n_tokens", "reused", "ids"]
             if decoded:
                 cols.append(pa.array([own.decode(x) for x in ids], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return C.per_batch(whole, work, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
+    return C.per_batch(whole, work, "doc_id long, n_tokens long, reused long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

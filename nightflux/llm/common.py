@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,8 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where none is set (as in tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a new one where none is set and all tasks run in this
+    process (as in tests)."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

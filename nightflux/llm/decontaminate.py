@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Bytes of benchmark text that are broadcast at a time.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of benchmark text that are held on the driver and broadcast at a time.
+BROADCAST_BYTES = 8 << 20
 _SLOTS = 22
 _NONE = C.U64(0)
 
@@ -104,7 +104,7 @@ class TestSuffixes:
         return lo
 
 
-FOUND = "doc_id long, n_words long, hit array<struct<first:int,words:int>>, matches array<struct<item_id:long,first:int,words:int>>"
+FOUND = "doc_id long, row_key string, n_words long, hit array<struct<first:int,words:int>>, matches array<struct<item_id:long,first:int,words:int>>"
 
 
 def _spans(mask: np.ndarray) -> list[dict]:
@@ -112,8 +112,8 @@ def _spans(mask: np.ndarray) -> list[dict]:
     return [{"first": int(a), "words": int(z - a)} for a, z in zip(edge[::2], edge[1::2])]
 
 
-def _search(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tests)
+def _search(docs: DataFrame, shared) -> DataFrame:
+    """shared: a broadcast of TestSuffixes."""
 
     def work(batch):
         own = shared.value
@@ -143,7 +143,7 @@ def _search(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
             touched = np.zeros(len(n), bool)
             touched[doc] = True
             spans = [_spans(hit[first[d] : first[d + 1]]) if touched[d] else [] for d in range(len(n))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), pa.array(matches, pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int32()), ("words", pa.int32())])))], ["doc_id", "n_words", "hit", "matches"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_key"), pa.array(n), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32())]))), pa.array(matches, pa.list_(pa.struct([("item_id", pa.int64()), ("first", pa.int32()), ("words", pa.int32())])))], ["doc_id", "row_key", "n_words", "hit", "matches"])
 
     return C.per_batch(docs, work, FOUND)
 
@@ -156,20 +156,24 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame
     Items that are repeated are listed once; an item without item_id hits but is not listed. Rows that are repeated get
     a row each.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     turns = -(-size // BROADCAST_BYTES) or 1
+    same = F.md5(F.col("text").cast("binary")) if turns > 1 else F.lit("")  # equal rows find the same in each turn
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), same.alias("row_key"), "text")
     parts = []
     for turn in range(turns):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn).collect()
-        parts.append(_search(docs, TestSuffixes([r.item_id for r in rows], [r.text for r in rows], window)))
-    if turns == 1:
-        return parts[0]
+        shared = docs.sparkSession.sparkContext.broadcast(TestSuffixes([r.item_id for r in rows], [r.text for r in rows], window))
+        found = _search(docs, shared)
+        if turns == 1:
+            return found.drop("row_key")
+        parts.append(C.written(found, "turn"))
+        shared.destroy()  # one block at a time
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    joined = whole.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("matches")).alias("matches"), F.count("*").alias("copies"))
+    joined = whole.groupBy("doc_id", "row_key", "n_words").agg(F.flatten(F.collect_list("hit")).alias("hit"), F.flatten(F.collect_list("matches")).alias("matches"), F.count("*").alias("copies"))
     united = F.expr(
         "aggregate(array_sort(hit), cast(array() as array<struct<first:int,words:int>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).first + element_at(a, -1).words >= x.first"
         " then concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'words', greatest(element_at(a, -1).words, x.first + x.words - element_at(a, -1).first)))) else concat(a, array(x)) end)"
