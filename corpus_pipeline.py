@@ -27,8 +27,8 @@ def decontaminate_stage(spark, docs, sf_dir: str):
 
 
 def pii_stage(spark, docs, sf_dir: str):
-    """n_chars follows the text."""
-    done = pii.replace(docs, column="__entities").select(docs.columns)
+    """n_chars follows the text. The key is that of the session (see pii.session_key)."""
+    done = pii.replace(docs, pii.session_key(spark), column="__entities").select(docs.columns)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
