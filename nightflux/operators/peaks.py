@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nightflux.functions.astro import matern32
 
 KEYS = ("object_id", "band")
+PEAK = ("peak_flux", "peak_flux_err", "peak_time")
 
 
 def sigma_clip(phot: DataFrame, n_sigma: float = 3.0, n_iter: int = 3, keys=KEYS) -> DataFrame:
@@ -27,44 +29,45 @@ def sigma_clip(phot: DataFrame, n_sigma: float = 3.0, n_iter: int = 3, keys=KEYS
     return df
 
 
-def series(clipped: DataFrame, length_scale: float | None = None, keys=KEYS) -> DataFrame:
-    """One row for each group: its kept points in order, first and last kept time, smoothing length and counts."""
-    if length_scale is not None and length_scale <= 0:
-        raise ValueError("length_scale must be positive")
+def series(points: DataFrame, keys=KEYS) -> DataFrame:
+    """One row for each group of spans: its kept points in order and the smoothing length, for solves that need a group
+    whole: a group is the points of one object in one band."""
     own = F.when(F.col("kept"), F.struct("time", "flux", "fluxerr"))
-    base = F.max("time") - F.min("time")
-    return clipped.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(own)).alias("points"), F.min(F.when(F.col("kept"), F.col("time"))).alias("first"), F.max(F.when(F.col("kept"), F.col("time"))).alias("last"),
-        (F.lit(float(length_scale)) if length_scale is not None else base / 5).alias("length"), F.count_if(~F.col("kept")).alias("n_clipped"), F.count_if("kept").alias("n_count"),
-    )
-
-
-def grid(n: int, first="first", last="last") -> Column:
-    """i and t of n evenly spaced times."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), (F.col(first) + (F.col(last) - F.col(first)) * i / (n - 1)).alias("t")))
-
+    return points.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("points"), F.max("length").alias("length"), F.max("n_count").alias("n_count"))
 
-def smoothed(groups: DataFrame, n_grid: int = 500, keys=KEYS) -> DataFrame:
-    """Time-weighted mean of the kept points with Gaussian weights on a grid between the first and last of them; null
-    where the weights vanish. One row for each grid point."""
-    rows = groups.filter("n_count >= 2").withColumn("g", F.explode(grid(n_grid)))
 
-    def weight(p):
-        d = (F.col("g.t") - p["time"]) / F.col("length")
-        return F.exp(F.lit(-0.5) * d * d)
-
-    total = F.aggregate("points", F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("f")), lambda a, p: F.struct((a["w"] + weight(p)).alias("w"), (a["f"] + weight(p) * p["flux"]).alias("f")))
-    out = rows.withColumn("s", total)
-    return out.select(*keys, "points", "length", "n_clipped", "n_count", F.col("g.i").alias("i"), F.col("g.t").alias("t"), F.when(F.col("s.w") > 1e-12, F.col("s.f") / F.col("s.w")).alias("smooth"))
-
-
-def side_counts(peak: DataFrame, kernel: str = "gauss") -> DataFrame:
-    """n_before_peak, n_after_peak, and effective counts: kept points weighted by the kernel at their distance from the peak."""
-    d = lambda p: p["time"] - F.col("peak_time")
-    k = (lambda p: matern32(d(p), F.col("length"))) if kernel == "matern" else (lambda p: F.exp(F.lit(-0.5) * (d(p) / F.col("length")) * (d(p) / F.col("length"))))
-    before, after = F.filter("points", lambda p: d(p) < 0), F.filter("points", lambda p: d(p) > 0)
-    add = lambda ps: F.aggregate(ps, F.lit(0.0), lambda a, p: a + k(p))
-    return peak.withColumns({"n_before_peak": F.size(before), "n_after_peak": F.size(after), "n_eff_before_peak": add(before), "n_eff_after_peak": add(after)})
+def spans(clipped: DataFrame, length_scale: float | None = None, keys=KEYS) -> DataFrame:
+    """clipped with the first and last kept time, the smoothing length and the counts of its group."""
+    if length_scale is not None and length_scale <= 0:
+        raise ValueError("length_scale must be positive")
+    g, kept = Window.partitionBy(*keys), F.when(F.col("kept"), F.col("time"))
+    base = (F.max("time").over(g) - F.min("time").over(g)) / 5
+    return clipped.withColumns({
+        "first": F.min(kept).over(g), "last": F.max(kept).over(g), "length": F.lit(float(length_scale)) if length_scale is not None else base,
+        "n_clipped": F.count_if(~F.col("kept")).over(g), "n_count": F.count_if("kept").over(g),
+    })
+
+
+def smoothed(points: DataFrame, n_grid: int = 500, keys=KEYS) -> DataFrame:
+    """Keys, i, t, smooth: the time-weighted mean of the kept points of spans with Gaussian weights, on a grid between the
+    first and last of them; null where the weights vanish. Each point adds to each grid point, and what it adds is summed
+    before it is shuffled (with the points dealt by group already, nothing is)."""
+    each = points.filter("kept and n_count >= 2").select(*keys, "time", "flux", "first", "last", "length", F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("i"))
+    d = (F.col("t") - F.col("time")) / F.col("length")
+    each = each.withColumn("t", F.col("first") + (F.col("last") - F.col("first")) * F.col("i") / (n_grid - 1)).withColumn("w", F.exp(F.lit(-0.5) * d * d))
+    sums = each.groupBy(*keys, "i").agg(F.min("t").alias("t"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("flux")).alias("f"))
+    return sums.select(*keys, "i", "t", F.when(F.col("w") > 1e-12, F.col("f") / F.col("w")).alias("smooth"))
+
+
+def side_counts(points: DataFrame, peaks: DataFrame, kernel: str = "gauss", keys=KEYS) -> DataFrame:
+    """peaks with n_before_peak, n_after_peak, and effective counts: kept points weighted by the kernel at their distance
+    from the peak."""
+    d = F.col("time") - F.col("peak_time")
+    k = matern32(d, F.col("length")) if kernel == "matern" else F.exp(F.lit(-0.5) * (d / F.col("length")) * (d / F.col("length")))
+    both = points.filter("kept").select(*keys, "time", "length").join(peaks.select(*keys, "peak_time"), list(keys))
+    add = lambda side: F.coalesce(F.sum(F.when(side, k)), F.lit(0.0))
+    counts = both.groupBy(*keys).agg(F.count_if(d < 0).cast("int").alias("n_before_peak"), F.count_if(d > 0).cast("int").alias("n_after_peak"), add(d < 0).alias("n_eff_before_peak"), add(d > 0).alias("n_eff_after_peak"))
+    return peaks.join(counts, list(keys))
 
 
 def peak_flux(phot: DataFrame, method: str = "twa", n_sigma: float = 3.0, n_clip_iter: int = 3, length_scale: float | None = None, n_grid: int = 500, gp_amplitude: float | None = None, keys=KEYS) -> DataFrame:
@@ -72,22 +75,23 @@ def peak_flux(phot: DataFrame, method: str = "twa", n_sigma: float = 3.0, n_clip
     largest mean of a Gaussian process (gp). Groups with fewer than 2 kept points have null peaks."""
     if method not in ("gp", "twa", "top5"):
         raise ValueError(f"unknown method {method}")
-    groups = series(sigma_clip(phot, n_sigma, n_clip_iter, keys), length_scale, keys)
+    points = spans(sigma_clip(phot, n_sigma, n_clip_iter, keys), length_scale, keys)
     if method == "gp":
-        found = gp_peaks(groups, n_grid, gp_amplitude, keys)
+        found = gp_peaks(series(points, keys), n_grid, gp_amplitude, keys)
     else:
-        curve = smoothed(groups, n_grid, keys).filter("smooth is not null")
+        curve = smoothed(points, n_grid, keys).filter("smooth is not null")
         # rounded, so that equal values tie and the first grid point wins on any engine
         top = F.min(F.struct((-F.round("smooth", 9)).alias("o"), F.col("i"), F.col("t"), F.col("smooth"))).alias("top")
-        found = curve.groupBy(*keys).agg(top, F.percentile("smooth", F.lit(0.95)).alias("cut"), F.collect_list("smooth").alias("values"), F.first("points").alias("points"), F.first("length").alias("length"), F.first("n_clipped").alias("n_clipped"), F.first("n_count").alias("n_count"))
-        value = F.col("top.smooth")
+        cut = [F.percentile("smooth", F.lit(0.95)).alias("cut"), F.collect_list("smooth").alias("values")] if method == "top5" else []  # n_grid values at most
+        found, value = curve.groupBy(*keys).agg(top, *cut), F.col("top.smooth")
         if method == "top5":
-            high = F.array_sort(F.filter("values", lambda v: v >= F.col("cut")))
-            n = F.size(high)
-            value = (F.element_at(high, F.floor((n + 1) / 2).cast("int")) + F.element_at(high, F.floor((n + 2) / 2).cast("int"))) / 2
-        found = found.select(*keys, value.alias("peak_flux"), F.lit(0.0).alias("peak_flux_err"), F.col("top.t").alias("peak_time"), "points", "length", "n_clipped", "n_count")
-    full = side_counts(found, "matern" if method == "gp" else "gauss").drop("points", "length")
-    return groups.select(*keys, F.col("n_clipped"), F.col("n_count")).join(full.drop("n_clipped", "n_count"), list(keys), "left")
+            found = found.select(*keys, "top", F.array_sort(F.filter("values", lambda v: v >= F.col("cut"))).alias("high"))
+            n = F.size("high")
+            value = (F.element_at("high", F.floor((n + 1) / 2).cast("int")) + F.element_at("high", F.floor((n + 2) / 2).cast("int"))) / 2
+        found = found.select(*keys, value.alias("peak_flux"), F.lit(0.0).alias("peak_flux_err"), F.col("top.t").alias("peak_time"))
+    full = side_counts(points, found, "matern" if method == "gp" else "gauss", keys)
+    groups = points.groupBy(*keys).agg(F.max("n_clipped").alias("n_clipped"), F.max("n_count").alias("n_count"))
+    return groups.join(full, list(keys), "left")
 
 
 def gp_posterior(t, f, e, at, length: float, amplitude: float | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,21 +125,23 @@ def gp_peaks(groups: DataFrame, n_grid: int, amplitude: float | None, keys=KEYS)
                 mean, sd = gp_posterior(t, f, e, at, length or 1.0, amplitude)
                 i = int(np.argmax(mean))
                 out.append((mean[i], sd[i], at[i]))
-            yield pdf.assign(**dict(zip(("peak_flux", "peak_flux_err", "peak_time"), np.array(out).reshape(-1, 3).T)))
-
-    own = groups.filter("n_count >= 2").select(*keys, "points", "length", "n_clipped", "n_count")
-    from pyspark.sql import types as T
+            yield pdf[list(keys)].assign(**dict(zip(PEAK, np.array(out).reshape(-1, 3).T)))
 
-    fields = [*own.schema.fields, *(T.StructField(c, T.DoubleType()) for c in ("peak_flux", "peak_flux_err", "peak_time"))]
+    own = groups.filter("n_count >= 2").select(*keys, "points", "length")
+    fields = [*(own.schema[k] for k in keys), *(T.StructField(c, T.DoubleType()) for c in PEAK)]
     return own.mapInPandas(work, T.StructType(fields))
 
 
 def peak_colors(peaks: DataFrame, pairs=(("ztfg", "ztfr"), ("ztfr", "ztfi")), min_eff_points: float = 1) -> DataFrame:
     """One row for each object and pair of bands that it has: colour, its error, difference of peak times, and a warning
     where a band has few points before or after its peak."""
-    pair = peaks.sparkSession.createDataFrame(list(pairs), "band_1 string, band_2 string")
-    side = lambda n: peaks.select("object_id", *(F.col(c).alias(f"{c}_{n}") for c in peaks.columns if c != "object_id"))
-    both = side(1).join(F.broadcast(pair), "band_1").join(side(2), ["object_id", "band_2"])
+    rest = [c for c in peaks.columns if c not in ("object_id", "band")]
+    bands = sorted({b for p in pairs for b in p})
+    # a column for each band of one row for each object: no join of peaks with themselves
+    by = peaks.filter(F.col("band").isin(bands)).groupBy("object_id").agg(*(F.max(F.when(F.col("band") == b, F.struct(*rest))).alias(f"by_{i}") for i, b in enumerate(bands)))
+    each = F.array(*(F.struct(F.lit(a).alias("band_1"), F.lit(b).alias("band_2"), F.col(f"by_{bands.index(a)}").alias("one"), F.col(f"by_{bands.index(b)}").alias("two")) for a, b in pairs))
+    both = by.select("object_id", F.inline(each)).filter("one is not null and two is not null")
+    both = both.select("object_id", "band_1", "band_2", *(F.col(f"{side}.{c}").alias(f"{c}_{n}") for n, side in ((1, "one"), (2, "two")) for c in rest))
     rel = lambda n: F.col(f"peak_flux_err_{n}") / F.col(f"peak_flux_{n}")
     few = F.lit(False)
     for n in (1, 2):

@@ -72,10 +72,8 @@ def without_missing(df: DataFrame, *columns: str, sentinel: str = "-") -> DataFr
 def class_counts(df: DataFrame, column: str = "type") -> DataFrame:
     """level, class, n: counts at all levels in one pass (grouping sets)."""
     names = [f"{column}_{x}" for x in "neaw"] + [column]
-    sets = ", ".join(f"(`{n}`)" for n in names)
     level = F.coalesce(*(F.when(F.col(f"g_{n}") == 0, F.lit(n)) for n in names))
-    df.createOrReplaceTempView("nightflux_classes")
-    grouped = df.sparkSession.sql(f"SELECT {', '.join(f'`{n}`, grouping(`{n}`) AS `g_{n}`' for n in names)}, count(*) AS n FROM nightflux_classes GROUP BY GROUPING SETS ({sets})")
+    grouped = df.groupingSets([[F.col(n)] for n in names], *names).agg(F.count("*").alias("n"), *(F.grouping(n).alias(f"g_{n}") for n in names))
     return grouped.select(level.alias("level"), F.coalesce(*(F.when(F.col(f"g_{n}") == 0, F.col(n)) for n in names)).alias("class"), "n")
 
 

@@ -86,3 +86,16 @@ def leave_one_out(objects: DataFrame, warps: DataFrame, on: str = "class") -> Da
     """Objects with the warp models of their class that were not made from themselves."""
     w = warps.withColumnRenamed("id", "base_id")
     return objects.join(w, on).filter(F.col("base_id") != F.col("object_id"))
+
+
+def leave_one_out_counts(objects: DataFrame, warps: DataFrame, on: str = "class") -> DataFrame:
+    """object_id, n, first_base: how many pairs leave_one_out gives an object, and the least base_id among them; objects
+    without a pair are left out. From counts by class and by base, so that no pair is made."""
+    own = warps.groupBy(on, F.col("id").alias("base_id")).agg(F.count("*").alias("own"))
+    total = own.groupBy(on).agg(F.sum("own").alias("total"), F.min("base_id").alias("least"))
+    second = own.join(F.broadcast(total.select(on, "least")), on).filter("base_id > least").groupBy(on).agg(F.min("base_id").alias("second"))
+    by_class = total.join(second, on, "left")  # a row for each class
+    mine = objects.join(F.broadcast(by_class), on).join(own.withColumnRenamed("base_id", "object_id"), ["object_id", on], "left")
+    n = F.col("total") - F.coalesce("own", F.lit(0))
+    out = mine.select("object_id", n.alias("n"), F.when(F.col("least") == F.col("object_id"), F.col("second")).otherwise(F.col("least")).alias("first_base"))
+    return out.filter("n > 0")

@@ -13,7 +13,7 @@ from nightflux.sources import adapters as A
 
 from .registry import query, rounded
 
-N_GRID = 50
+N_GRID = 500
 
 
 @query(A.with_ctes("photometry catalog", " SELECT p.object_id, p.band, round(p.time, 8) AS time, p.flux, round(p.fluxerr, 8) AS fluxerr, c.type, c.redshift FROM photometry p JOIN catalog c USING (object_id) WHERE abs(flux) / fluxerr >= 5 AND object_id IN (SELECT object_id FROM catalog WHERE redshift <> '-')"))
@@ -122,8 +122,8 @@ CURVE = f"""{clip_sql()}, g AS (SELECT object_id, band, min(time) FILTER (kept)
 
 @query(A.with_ctes("photometry", f"{CURVE} SELECT object_id, band, i::INTEGER AS i, round(smooth, 6) AS smooth FROM s"))
 def smooth_curve(spark, d):
-    groups = P.series(P.sigma_clip(A.photometry(spark, d)))
-    return rounded(P.smoothed(groups, N_GRID).select("object_id", "band", "i", "smooth"), "smooth")
+    points = P.spans(P.sigma_clip(A.photometry(spark, d)))
+    return rounded(P.smoothed(points, N_GRID).select("object_id", "band", "i", "smooth"), "smooth")
 
 
 PEAK = f"""{CURVE}, p AS (SELECT object_id, band, t AS peak_time, smooth AS peak_flux FROM (SELECT *, row_number() OVER (PARTITION BY object_id, band ORDER BY round(smooth, 9) DESC, i) AS n FROM s WHERE smooth IS NOT NULL) WHERE n = 1),
@@ -154,7 +154,7 @@ def peak_flux_top5(spark, d):
 @query()
 def peak_flux_gp(spark, d):
     """Exact Gaussian process for each object and band (dense solves in Arrow batches)."""
-    p = P.peak_flux(A.photometry(spark, d), "gp", n_grid=200)
+    p = P.peak_flux(A.photometry(spark, d), "gp", n_grid=N_GRID)
     return rounded(shown(p), "peak_flux", "peak_time", digits=4)
 
 

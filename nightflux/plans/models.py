@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,7 +16,7 @@ from nightflux.operators.selection import best_per
 from nightflux.sources import adapters as A
 
 from .light_curves import MODELED, modeled
-from .registry import query, rounded
+from .registry import query, rounded, shared_folder
 
 EBV = G.EBV_NODES
 
@@ -26,7 +24,7 @@ EBV = G.EBV_NODES
 def checkpoints(spark) -> None:
     """The cluster's shared folder for checkpoints; a new one only where none is set, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 BANDS = "('ztfg', 'ztfr', 'ztfi')"

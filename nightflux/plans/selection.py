@@ -94,12 +94,12 @@ def fit_matrix(spark, d):
     return objects.join(F.broadcast(templates)).select("object_id", "template", "type", F.col("redshift").alias("z"))
 
 
-@query(A.with_ctes("catalog fits", f"{GOOD}, b AS (SELECT DISTINCT id AS base_id, class, model FROM good WHERE goodfit AND id % 97 = 0) SELECT c.object_id, count(*) AS n, min(base_id) AS first_base FROM catalog c JOIN b ON c.type = b.class WHERE base_id <> object_id GROUP BY c.object_id"))
+@query(A.with_ctes("catalog fits", f"{GOOD}, b AS (SELECT DISTINCT id AS base_id, class, model FROM good WHERE goodfit) SELECT c.object_id, count(*) AS n, min(base_id) AS first_base FROM catalog c JOIN b ON c.type = b.class WHERE base_id <> object_id GROUP BY c.object_id"))
 def leave_one_out(spark, d):
-    """Warp models of an object's class that were not made from it (bases: every 97th order, as an order is an object here)."""
-    bases = good(spark, d).filter("goodfit and id % 97 = 0").select("id", "class", "model").distinct()
+    """Warp models of an object's class that were not made from it (an order is an object here): their number and least base."""
+    bases = good(spark, d).filter("goodfit").select("id", "class", "model").distinct()
     objects = A.catalog(spark, d).select("object_id", F.col("type").alias("class"))
-    return W.leave_one_out(objects, bases).groupBy("object_id").agg(F.count("*").alias("n"), F.min("base_id").alias("first_base"))
+    return W.leave_one_out_counts(objects, bases)
 
 
 @query(A.with_ctes("fits", " SELECT o_orderkey AS object_id, o_orderkey IN (SELECT id FROM fits WHERE class = 'SN Ia') AS own_base FROM orders WHERE o_orderkey IN (SELECT id FROM fits WHERE success) AND o_orderkey NOT IN (SELECT id FROM fits WHERE sf > 0.9)"))

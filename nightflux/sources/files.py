@@ -20,9 +20,10 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(~F.col("Name").startswith("#") & ~F.col("Name").contains("salt"))
 
 
-def read_fit_records(spark: SparkSession, path: str, fields: str = FIT) -> DataFrame:
-    """Records {model: [fit, ...]} as one row for each fit, with model."""
-    raw = spark.read.text(path, wholetext=True)
+def read_fit_records(spark: SparkSession, path: str, fields: str = FIT, lines: bool = False) -> DataFrame:
+    """Records {model: [fit, ...]} as one row for each fit, with model. lines: a record ends with its line, as
+    write_fit_records writes them, so that large files are split; else a record is a whole file."""
+    raw = spark.read.text(path, wholetext=not lines)
     return flat_records(raw.select(F.col("value").alias("record")), fields)
 
 
@@ -32,8 +33,10 @@ def flat_records(df: DataFrame, fields: str = FIT) -> DataFrame:
 
 
 def write_fit_records(fits: DataFrame, path: str, mode: str = "error") -> None:
-    """One JSON object a line: model and its fits' fields. Types are Spark's own, so nothing needs converting."""
-    fits.write.mode(mode).json(path)
+    """Records {model: [fit]}, one a line for each row of fits, so that no model's fits are gathered in one place. Types are
+    Spark's own, so nothing needs converting."""
+    fit = F.struct(*(c for c in fits.columns if c != "model"))
+    fits.select(F.to_json(F.create_map("model", F.array(fit))).alias("record")).write.mode(mode).text(path)
 
 
 def write_warp_set(warps: DataFrame, path: str, version: int = 3, mode: str = "error") -> None:
@@ -55,6 +58,12 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def audit_rows(counts: DataFrame, cls: str, z_range: tuple[float, float]) -> DataFrame:
+    """Volume counts of a run as a row of its audit log: class, redshift range, counts and time."""
+    what = [F.lit(cls).alias("class"), F.lit(float(z_range[0])).alias("z_min"), F.lit(float(z_range[1])).alias("z_max")]
+    return counts.select(*what, *counts.columns, F.current_timestamp().alias("at"))
+
+
 def write_matches(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
