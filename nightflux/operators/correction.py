@@ -91,3 +91,10 @@ def surface(curves: DataFrame, first_wave: float, last_wave: float, bands=("ztfg
     own = own.join(enough, list(KEYS), "left_semi").drop("band")
     edge = own.select(*KEYS, "phase").distinct().withColumn("wave", F.explode(F.array(F.lit(float(first_wave)), F.lit(float(last_wave))))).withColumn("factor", F.lit(1.0))
     return own.unionByName(edge)
+
+
+def bulk(fits: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """The record of each pair that succeeds and has a surface: dps_init, hostebv, success, ndof, absmag, chidof, lceval and
+    corrmodel, its surface as an array of phase, wave and factor. A surface is one fixed grid, so an array of it is small."""
+    cells = surfaces.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("phase", "wave", "factor"))).alias("corrmodel"))
+    return fits.filter("success").join(cells, list(KEYS)).select(*KEYS, "dps_init", F.col("ebv").alias("hostebv"), "success", "ndof", "absmag", "chidof", "lceval", "corrmodel")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nightflux.functions.astro import chi2_survival
+
 from . import photometry as P
 from . import synphot as S
-from .selection import best_per
+from .selection import acceptable, best_per
 
-#: Nodes of the time of the peak and of the host's E(B-V).
-T0_NODES, EBV_NODES = 15, [-0.2, 0.0, 0.2, 0.4, 0.6]
+#: First round: nodes of the time of the peak, and of the host's E(B-V) over its bounds. Each finer round divides the steps
+#: of both by PARTS, so that values of E(B-V) stay exact.
+T0_NODES, EBV_NODES = 15, [float(e) for e in range(-3, 6)]
+PARTS, ROUNDS, MARGIN = 4, 2, 5.0
 
 
 def shifts(spark, z_values: DataFrame, ebv=None) -> DataFrame:
@@ -18,41 +22,73 @@ def shifts(spark, z_values: DataFrame, ebv=None) -> DataFrame:
     return z_values.select("z").distinct().withColumn("ebv", F.explode(F.array(*(F.lit(float(e)) for e in (ebv or EBV_NODES)))))
 
 
-def grid_fit(points: DataFrame, nodes: DataFrame, t0_nodes: int = T0_NODES, center: DataFrame | None = None, width: float = 0.5) -> DataFrame:
-    """Best node of each (object_id, template): t0, ebv, amplitude, chisq, ndof.
+def grid_fit(points: DataFrame, nodes: DataFrame, t0_nodes: int = T0_NODES, trials: DataFrame | None = None) -> DataFrame:
+    """Best node of each (object_id, template): z, t0, ebv, amplitude, chisq, ndof.
 
     points: object_id, z, band, time, flux, fluxerr, all of bands that nodes (template, z, ebv, band, node, ...) has.
-    t0 runs over even nodes from 5 days before the first to 5 days after the last point, or within width days around
-    center (object_id, template, t0). The amplitude of a node has a closed form, so chi2 needs sums only. Sums come before
-    the shuffle; a template or dust node is one more row for a point, never a loop.
+    t0 runs over even nodes from 5 days before the first to 5 days after the last point, with every ebv of nodes; or trials
+    (object_id, template, t0_node, t0, ebv) lists what to try. The amplitude of a node has a closed form, so chi2 needs sums
+    only. Sums come before the shuffle; a template or dust node is one more row for a point, never a loop. Nodes that
+    have a column object_id are of one object's models.
     """
-    span = points.groupBy("object_id").agg(F.min("time").alias("t_min"), F.max("time").alias("t_max"), F.sum(F.col("flux") * F.col("flux") / (F.col("fluxerr") * F.col("fluxerr"))).alias("sff"), F.count("*").alias("n"))
-    i = F.explode(F.sequence(F.lit(0), F.lit(t0_nodes - 1)))
-    if center is None:
+    span = points.groupBy("object_id").agg(F.min("time").alias("t_min"), F.max("time").alias("t_max"), F.sum(F.col("flux") * F.col("flux") / (F.col("fluxerr") * F.col("fluxerr"))).alias("sff"), F.count("*").alias("n"), F.min("z").alias("z"))
+    if trials is None:
+        i = F.explode(F.sequence(F.lit(0), F.lit(t0_nodes - 1)))
         t0s = span.select("object_id", "t_min", "t_max", i.alias("t0_node"))
-        lo, hi = F.col("t_min") - 5, F.col("t_max") + 5
-        t0s = t0s.withColumn("t0", lo + (hi - lo) * F.col("t0_node") / (t0_nodes - 1)).drop("t_min", "t_max")
-        on, keep = ["object_id"], []
+        lo, hi = F.col("t_min") - MARGIN, F.col("t_max") + MARGIN
+        t0s, keep = t0s.withColumn("t0", lo + (hi - lo) * F.col("t0_node") / (t0_nodes - 1)).drop("t_min", "t_max"), []
     else:
-        t0s = center.select("object_id", "template", F.col("t0").alias("c"), i.alias("t0_node")).withColumn("t0", F.col("c") - width + F.col("t0_node") * (2 * width) / (t0_nodes - 1)).drop("c")
-        on, keep = ["object_id"], ["template"]
-    rows = points.select("object_id", "z", "band", "time", "flux", "fluxerr").join(t0s, on)
+        t0s, keep = trials.select("object_id", "template", "t0_node", "t0", "ebv"), ["template", "ebv"]
+    own = ["object_id"] if "object_id" in nodes.columns else []
+    rows = points.select("object_id", "z", "band", "time", "flux", "fluxerr").join(t0s, "object_id")
     rows = rows.withColumn("phase", (F.col("time") - F.col("t0")) / (1 + F.col("z")))
     x = (F.col("phase") - S.PHASE_0) / S.PHASE_STEP
     rows = rows.withColumns({"node": F.floor(x).cast("int"), "part": x - F.floor(x)})
-    model = rows.join(nodes, [*keep, "z", "band", "node"])
+    model = rows.join(nodes, [*own, *keep, "z", "band", "node"])
     m = F.col("node_flux") + F.col("part") * (F.coalesce("next_flux", F.when(F.col("part") == 0, F.col("node_flux")), F.lit(0.0)) - F.col("node_flux"))
     e2 = F.col("fluxerr") * F.col("fluxerr")
     sums = model.withColumn("m", m).groupBy("object_id", "template", "t0_node", "t0", "ebv").agg(F.sum(F.col("flux") * F.col("m") / e2).alias("sfm"), F.sum(F.col("m") * F.col("m") / e2).alias("smm"))
     found = sums.filter("smm > 0").join(span, "object_id").withColumn("amplitude", F.col("sfm") / F.col("smm"))
     found = found.withColumn("chisq", F.col("sff") - F.col("amplitude") * F.col("sfm"))
     best = best_per(found.filter("amplitude > 0"), ["object_id", "template"], F.round("chisq", 4), "t0_node", "ebv")
-    return best.select("object_id", "template", "t0_node", "t0", "ebv", "amplitude", "chisq", (F.col("n") - 3).cast("int").alias("ndof"), "t_min", "t_max")
+    return best.select("object_id", "template", "z", "t0_node", "t0", "ebv", "amplitude", "chisq", (F.col("n") - 3).cast("int").alias("ndof"), "t_min", "t_max")
+
+
+def trials_around(found: DataFrame, t0_share: float, ebv_step: float, parts: int = PARTS) -> DataFrame:
+    """Nodes next to each fit, fewer than parts steps away in t0 (a share of the object's time) and in ebv, in the bounds of both."""
+    beside = F.explode(F.sequence(F.lit(1 - parts), F.lit(parts - 1)))
+    lo, hi = F.col("t_min") - MARGIN, F.col("t_max") + MARGIN
+    at = found.select("object_id", "template", "z", "t_min", "t_max", F.col("t0").alias("c"), F.col("ebv").alias("e"), beside.alias("t0_node")).withColumn("k", beside)
+    at = at.withColumns({"t0": F.col("c") + F.col("t0_node") * ((hi - lo) * t0_share), "ebv": F.col("e") + F.col("k") * ebv_step})
+    inside = (F.col("t0") >= lo - 1e-6) & (F.col("t0") <= hi + 1e-6) & F.col("ebv").between(EBV_NODES[0], EBV_NODES[-1])
+    return at.filter(inside).select("object_id", "template", "z", "t0_node", "t0", "ebv")
+
+
+def refined(points: DataFrame, nodes_at, coarse: DataFrame, rounds: int = ROUNDS, t0_nodes: int = T0_NODES, keep_table=None) -> DataFrame:
+    """Finer rounds around the best node of each pair: t0 and ebv each less than one step of the round before to either
+    side, in steps of a PARTS-th, so chisq never gets larger. After two rounds ebv is known to 1/16 and t0 to 1/224 of the object's time.
+
+    nodes_at(shifts) gives the nodes of the (z, ebv) rows that a round needs. keep_table(df) makes df a table between the
+    rounds (the session's checkpoint by default).
+    """
+    keep = keep_table or (lambda df: df.checkpoint())
+    found = coarse
+    for r in range(1, rounds + 1):
+        found = keep(found)
+        trials = trials_around(found, 1.0 / ((t0_nodes - 1) * PARTS**r), (EBV_NODES[1] - EBV_NODES[0]) / PARTS**r)
+        found = grid_fit(points, nodes_at(trials.select("z", "ebv").distinct()), trials=trials)
+    return found
 
 
-def refined(points: DataFrame, nodes: DataFrame, coarse: DataFrame, width: float, t0_nodes: int = 9) -> DataFrame:
-    """A second round of t0 nodes around the best of the first."""
-    return grid_fit(points, nodes, t0_nodes, coarse, width)
+def full_fit(points: DataFrame, nodes_at, keep_table=None) -> DataFrame:
+    """The first round over the whole bounds of t0 and ebv, then the finer ones."""
+    coarse = grid_fit(points, nodes_at(shifts(points.sparkSession, points)))
+    return refined(points, nodes_at, coarse, keep_table=keep_table)
+
+
+def nodes_of(fits: DataFrame, nodes_at) -> DataFrame:
+    """Nodes at the redshifts and the dust of fits."""
+    return nodes_at(fits.select("z", "ebv").distinct())
 
 
 def fit_metrics(points: DataFrame, fits: DataFrame, nodes: DataFrame, phase_range: float = 60.0) -> DataFrame:
@@ -68,32 +104,57 @@ def fit_metrics(points: DataFrame, fits: DataFrame, nodes: DataFrame, phase_rang
     return f.join(P.coverage(p, *keys), keys).join(P.peak_chi2(p, *keys), keys, "left").join(peak, keys, "left")
 
 
-def clean_refit(points: DataFrame, nodes: DataFrame, keep_table=None, window=(-20.0, 100.0), pull_cut: float = 10.0, max_chidof: float = 50.0, min_point_band: int = 5, min_bands: int = 2) -> DataFrame:
-    """Fit, drop points outside the phases, fit, drop points with a large pull, fit on what passes both.
+def clean_points(points: DataFrame, nodes_at, keep_table=None, window=(-20.0, 100.0), pull_cut: float = 10.0, max_chidof: float = 50.0, min_bands: int = 2, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Fit, drop points outside the phases, fit, drop points with a large pull, fit on what passes both. The second and third
+    fit search around the one before.
 
-    One row for each (object_id, template): the last fit, the cut counts, points by band, success. keep_table(df) makes
-    df a table between the rounds, so that a round isn't computed again by the next (the session's checkpoint by default).
+    Gives one row for each (object_id, template), of pairs where given: the last fit, the cut counts, points by band,
+    success; and the points that passed both cuts with phase and model_flux of the last fit. keep_table(df) makes df a table
+    between the rounds, so that a round isn't computed again by the next (the session's checkpoint by default).
     """
     keep = keep_table or (lambda df: df.checkpoint())
     keys = ["object_id", "template"]
     last = F.lit(80.0)
 
+    def modelled(fits, own=points):
+        on = keys if "template" in own.columns else ["object_id"]
+        p = own.join(fits.select(*keys, "t0", "ebv", "amplitude"), on).withColumn("phase", P.phase())
+        return S.at_phase(p, nodes_of(fits, nodes_at), "template", "z", "ebv", "band").withColumn("model_flux", F.col("amplitude") * F.col("model_flux"))
+
     def judged(fits):
-        p = points.join(fits.select(*keys, "t0", "ebv", "amplitude"), "object_id").withColumn("phase", P.phase())
-        p = S.at_phase(p, nodes, "template", "z", "ebv", "band").withColumn("model_flux", F.col("amplitude") * F.col("model_flux"))
-        return P.with_pulls(p.withColumns({"min_phase": F.lit(S.PHASE_0), "max_phase": last}), window, pull_cut)
-
-    def fit(passed):
-        """Each pair has points of its own: pairs stand for objects."""
-        own = passed.withColumn("object_id", F.struct("object_id", "template"))
-        found = grid_fit(own, nodes).filter("object_id.template = template")
+        return P.with_pulls(modelled(fits).withColumns({"min_phase": F.lit(S.PHASE_0), "max_phase": last}), window, pull_cut)
+
+    def fit(passed, before):
+        """From the fit before on, as points were only dropped. Each pair has points of its own: pairs stand for objects."""
+        pair = F.struct(*keys)
+        own = keep(passed.select(pair.alias("object_id"), "z", "band", "time", "flux", "fluxerr"))
+        found = refined(own, nodes_at, before.withColumn("object_id", pair), keep_table=keep)
         return keep(found.withColumn("object_id", F.col("object_id.object_id")))
 
-    first = keep(grid_fit(points, nodes))
-    second = fit(judged(first).filter("in_phase"))
-    both = keep(judged(first).select(*keys, "point_id", F.col("in_phase").alias("phase_ok")).join(judged(second).drop("t0", "ebv", "amplitude"), [*keys, "point_id"]))
-    third = fit(both.filter("phase_ok and in_pull"))
+    first = full_fit(points, nodes_at, keep)
+    first = keep(first if pairs is None else first.join(pairs.select(*keys).distinct(), keys, "left_semi"))
+    second = fit(judged(first).filter("in_phase"), first)
+    both = keep(judged(first).select(*keys, "point_id", F.col("in_phase").alias("phase_ok")).join(judged(second).drop("t0", "ebv", "amplitude", "phase", "model_flux"), [*keys, "point_id"]))
+    passed = both.filter("phase_ok and in_pull")
+    third = fit(passed, second)
     cuts = both.withColumn("in_phase", F.col("phase_ok"))
     counts = P.cut_counts(cuts, *keys).join(P.band_counts(cuts.filter("in_phase and in_pull"), *keys).select(*keys, "lceval", "bands_over"), keys, "left")
     out = third.join(counts, keys).withColumn("chidof", F.col("chisq") / F.col("ndof"))
-    return out.withColumn("success", (F.col("ndof") >= 1) & (F.coalesce("bands_over", F.lit(0)) >= min_bands) & (F.col("chidof") <= max_chidof))
+    out = out.withColumn("success", (F.col("ndof") >= 1) & (F.coalesce("bands_over", F.lit(0)) >= min_bands) & (F.col("chidof") <= max_chidof))
+    return out, modelled(third, passed.select(*keys, "point_id", "z", "band", "time", "flux", "fluxerr"))
+
+
+def clean_refit(points: DataFrame, nodes_at, **options) -> DataFrame:
+    """The fits of clean_points."""
+    return clean_points(points, nodes_at, **options)[0]
+
+
+def refit_warped(points: DataFrame, fits: DataFrame, spectra: DataFrame, bandpass: DataFrame, min_phase: float = S.PHASE_0) -> DataFrame:
+    """Fit of each pair's warped model (spectra: object_id, template, z, phase, wave, flux) to all points of its object, in t0
+    and ebv around the pair's fit (the warp was made there), in steps of a quarter of the first round. Only acceptable fits
+    stay; sf is the chance of a larger chisq."""
+    trials = trials_around(fits, 1.0 / ((T0_NODES - 1) * PARTS), (EBV_NODES[1] - EBV_NODES[0]) / PARTS)
+    flux = S.band_flux(spectra, bandpass, trials.select("z", "ebv").distinct(), keys=("object_id", "template"))
+    nodes = S.phase_nodes(flux, "object_id", "template", "z", "ebv", "band")
+    found = grid_fit(points, nodes, trials=trials).withColumn("minphase", F.lit(min_phase)).filter("ndof > 0")
+    return acceptable(found).withColumn("sf", chi2_survival("chisq", "ndof")).drop("minphase")

@@ -10,6 +10,8 @@ from nightflux.functions.astro import extinction, with_distance_modulus
 #: AB zero point in erg/s/cm2/Hz, speed of light in Angstrom/s, and the zero point of fluxes.
 AB, LIGHT_A, ZP = 3.631e-20, 2.99792458e18, 25.0
 WAVE_0, WAVE_STEP, PHASE_0, PHASE_STEP = 3000.0, 100.0, -20.0, 2.0
+#: Pairs of redshift and dust whose lines are broadcast (some 50 short rows each); with more, the join is salted.
+FEW, SALTS = 4096, 64
 
 
 def ab_scale(bandpass: DataFrame) -> DataFrame:
@@ -36,13 +38,19 @@ def deredden(phot: DataFrame, cat: DataFrame, bandpass: DataFrame, r_v: float =
 
 def band_flux(spectra: DataFrame, bandpass: DataFrame, shifts: DataFrame, r_v: float = 3.1, keys=("template",)) -> DataFrame:
     """keys, z, ebv, band, phase, flux: photon flux of each template in each band at zero point 25 (AB), seen at redshift z
-    through its host's dust. shifts (z, ebv) and bandpass are small grids; spectra lie on the common wavelength nodes."""
+    through its host's dust. bandpass is a small grid; shifts (z, ebv) may be one too; spectra lie on the common wavelength nodes. Spectra
+    with a z of their own are seen at that one only."""
+    own = ["z"] if "z" in spectra.columns else []
     w = Window.partitionBy(*keys, "phase").orderBy("wave")
     node = spectra.withColumns({"next": F.lead("flux").over(w), "node": F.round((F.col("wave") - WAVE_0) / WAVE_STEP).cast("int")})
-    lines = F.broadcast(bandpass.join(shifts)).select("band", "trans", "z", "ebv", "wave", (F.col("wave") / (1 + F.col("z"))).alias("rest"))
+    lines = bandpass.join(F.broadcast(shifts) if (few := shifts.limit(FEW + 1).count() <= FEW) else shifts).select("band", "trans", "z", "ebv", "wave", (F.col("wave") / (1 + F.col("z"))).alias("rest"))
     lines = lines.withColumns({"node": F.floor((F.col("rest") - WAVE_0) / WAVE_STEP).cast("int"), "part": (F.col("rest") - WAVE_0) / WAVE_STEP - F.floor((F.col("rest") - WAVE_0) / WAVE_STEP)})
     lines = lines.withColumn("dust", extinction(F.col("rest"), F.col("ebv") * r_v, r_v)).withColumnRenamed("wave", "seen")
-    both = node.join(F.broadcast(lines), "node")
+    if few or own:
+        both = node.join(F.broadcast(lines) if few else lines, [*own, "node"])
+    else:
+        salted = lines.withColumn("salt", F.pmod(F.xxhash64("z", "ebv"), F.lit(SALTS)).cast("int"))
+        both = node.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(salted, ["node", "salt"])
     value = (F.col("flux") + F.col("part") * (F.coalesce("next", "flux") - F.col("flux"))) / (1 + F.col("z")) * F.col("dust") * F.col("trans") * F.col("seen") * WAVE_STEP
     raw = both.withColumn("v", value).groupBy(*keys, "z", "ebv", "band", "phase").agg(F.sum("v").alias("v"))
     return raw.join(F.broadcast(ab_scale(bandpass)), "band").select(*keys, "z", "ebv", "band", "phase", (F.col("v") / F.col("ab") * 10 ** (0.4 * ZP)).alias("flux"))
@@ -75,33 +83,30 @@ def peak_absmag(fits: DataFrame, rest_peaks: DataFrame, band: str = "ztfg") -> D
     return out.withColumn("absmag", -2.5 * F.log10(F.col("amplitude") * F.col("rest_flux")) + ZP - F.col("distmod")).drop("rest_flux")
 
 
-def cubic_in_wave(waves: list[float], values: list, x):
+def cubic_in_wave(waves: list, values: list, x):
     """Interpolating cubic over 4 or 5 nodes as a column expression: the one cubic through 4 nodes; with 5, two cubics
-    that meet smoothly in the middle node."""
-    if len(waves) == 4:
+    that meet smoothly in the middle node. waves are numbers or columns, in ascending order."""
+    w, x = [F.lit(v) / 1000.0 if not isinstance(v, float) else v / 1000.0 for v in waves], x / 1000.0
+
+    def through(nodes, at):
         out = F.lit(0.0)
-        for i, wi in enumerate(waves):
+        for i in nodes:
             term = values[i]
-            for j, wj in enumerate(waves):
+            for j in nodes:
                 if j != i:
-                    term = term * (x - wj) / (wi - wj)
+                    term = term * (at - w[j]) / (w[i] - w[j])
             out = out + term
         return out
-    import numpy as np
-
-    # basis of cubics plus one truncated cube at the middle node; its inverse turns values into coefficients
-    w = (np.array(waves) - waves[2]) / 1000.0
-    basis = np.column_stack([w**0, w, w**2, w**3, np.maximum(w, 0) ** 3])
-    inverse = np.linalg.inv(basis)
-    u = (x - waves[2]) / 1000.0
-    powers = [F.lit(1.0), u, u * u, u * u * u, F.when(u > 0, u * u * u).otherwise(0.0)]
-    out = F.lit(0.0)
-    for k, p in enumerate(powers):
-        coefficient = F.lit(0.0)
-        for i, v in enumerate(values):
-            coefficient = coefficient + v * float(inverse[k, i])
-        out = out + coefficient * p
-    return out
+
+    if len(waves) == 4:
+        return through(range(4), x)
+    # a parabola through three nodes, plus a cubic that is 0 there and a cube that begins in the middle: two unknown factors
+    zero = lambda at: (at - w[0]) * (at - w[1]) * (at - w[2])
+    cube = lambda at: (at - w[2]) * (at - w[2]) * (at - w[2])
+    r3, r4 = values[3] - through(range(3), w[3]), values[4] - through(range(3), w[4])
+    det = zero(w[3]) * cube(w[4]) - zero(w[4]) * cube(w[3])
+    a, c = (r3 * cube(w[4]) - r4 * cube(w[3])) / det, (r4 * zero(w[3]) - r3 * zero(w[4])) / det
+    return through(range(3), x) + a * zero(x) + c * F.when(x > w[2], cube(x)).otherwise(0.0)
 
 
 def warped(spectra: DataFrame, surface: DataFrame, waves: list[float], ebv: float | None = None, r_v: float = 3.1, keys=()) -> DataFrame:
@@ -110,11 +115,28 @@ def warped(spectra: DataFrame, surface: DataFrame, waves: list[float], ebv: floa
     at = lambda w: F.max(F.when(F.col("wave") == w, F.col("factor")))
     wide = surface.groupBy(*keys, "phase").agg(*(at(w).alias(f"f{i}") for i, w in enumerate(waves)))
     out = spectra.join(wide, [*keys, "phase"]).filter(F.col("wave").between(waves[0], waves[-1]))
-    factor = cubic_in_wave(waves, [F.col(f"f{i}") for i in range(len(waves))], F.col("wave"))
+    return _times(out, cubic_in_wave(waves, [F.col(f"f{i}") for i in range(len(waves))], F.col("wave")), ebv, r_v).drop(*(f"f{i}" for i in range(len(waves))))
+
+
+def _times(spectra: DataFrame, factor, ebv: float | None, r_v: float) -> DataFrame:
     flux = F.col("flux") * factor
     if ebv is not None:
         flux = flux * extinction(F.col("wave"), F.lit(ebv * r_v), r_v)
-    return out.withColumns({"factor": factor, "flux": F.greatest(flux, F.lit(0.0))}).drop(*(f"f{i}" for i in range(len(waves))))
+    return spectra.withColumns({"factor": factor, "flux": F.greatest(flux, F.lit(0.0))})
+
+
+def warped_pairs(spectra: DataFrame, surface: DataFrame, ebv: float | None = None, r_v: float = 3.1) -> DataFrame:
+    """object_id, template, phase, wave, flux, factor: the template of each pair times its own surface (object_id, template,
+    phase, wave, factor), whose wavelengths differ by pair. A phase has 4 or 5 of them; other phases are left out."""
+    keys = ["object_id", "template", "phase"]
+    g = surface.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("wave", "factor"))).alias("g")).filter(F.size("g").isin(4, 5))
+    out = spectra.join(g, ["template", "phase"])
+    out = out.filter(F.col("wave").between(F.col("g")[0]["wave"], F.element_at("g", -1)["wave"]))
+
+    def cubic(n):
+        return cubic_in_wave([F.col("g")[i]["wave"] for i in range(n)], [F.col("g")[i]["factor"] for i in range(n)], F.col("wave"))
+
+    return _times(out, F.when(F.size("g") == 4, cubic(4)).otherwise(cubic(5)), ebv, r_v).drop("g")
 
 
 def complete_grids(surface: DataFrame, *keys: str) -> DataFrame:

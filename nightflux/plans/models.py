@@ -12,6 +12,7 @@ from nightflux.operators import fit as G
 from nightflux.operators import photometry as L
 from nightflux.operators import synphot as S
 from nightflux.operators import taxonomy as T
+from nightflux.operators import warpset as W
 from nightflux.operators.selection import best_per
 from nightflux.sources import adapters as A
 
@@ -61,13 +62,20 @@ def band_flux(spark, d):
     return fluxes(spark, d).select("template", "z", "ebv", "band", "phase", F.round(F.col("flux") / 1e18, 7).alias("flux"))
 
 
-@query(A.with_ctes("template_flux bandpass", f"{REST}, p AS (SELECT template, band, phase AS peak_phase, flux FROM (SELECT *, row_number() OVER (PARTITION BY template, band ORDER BY round(flux, 6) DESC, phase) AS n FROM bf) WHERE n = 1), k AS (SELECT 'tpl-' || CAST(o_orderkey % 4 AS VARCHAR) AS template, count(*) AS objects FROM orders GROUP BY 1) SELECT template, band, peak_phase, round(flux / 1e18, 7) AS peak_flux, round(avg(peak_phase) FILTER (band IN ('ztfg', 'ztfr')) OVER (PARTITION BY template), 6) AS avg_phase, objects FROM p JOIN k USING (template)"))
+ZS = ", zn AS (SELECT CAST(redshift AS DOUBLE) AS z, count(*) AS objects FROM catalog WHERE redshift <> '-' GROUP BY 1)"
+
+
+def objects_at(spark, d):
+    """z, objects: how many objects are at each redshift."""
+    return redshifts(spark, d).groupBy("z").agg(F.count("*").alias("objects"))
+
+
+@query(A.with_ctes("catalog template_flux bandpass", f"{flux_sql(ebv=[0.0])}{ZS}, p AS (SELECT z, template, band, phase AS peak_phase, flux FROM (SELECT *, row_number() OVER (PARTITION BY z, template, band ORDER BY round(flux, 6) DESC, phase) AS n FROM bf) WHERE n = 1) SELECT z, template, band, peak_phase, round(flux / 1e18, 7) AS peak_flux, round(avg(peak_phase) FILTER (band IN ('ztfg', 'ztfr')) OVER (PARTITION BY z, template), 6) AS avg_phase, objects FROM p JOIN zn USING (z)"))
 def template_peak_phases(spark, d):
-    """Peak of each template by band, the mean of g and r, and how many orders (as objects) stand for each template."""
-    p = S.peak_phases(rest_fluxes(spark), "template")
-    k = A.table(spark, d, "orders").groupBy(F.concat(F.lit("tpl-"), (F.col("o_orderkey") % 4).cast("string")).alias("template")).agg(F.count("*").alias("objects"))
-    avg = F.avg(F.when(F.col("band").isin("ztfg", "ztfr"), F.col("peak_phase"))).over(Window.partitionBy("template"))
-    return p.join(k, "template").select("template", "band", "peak_phase", F.round(F.col("peak_flux") / 1e18, 7).alias("peak_flux"), F.round(avg, 6).alias("avg_phase"), "objects")
+    """Peak of each template by band as seen at each redshift of the catalogue, and the mean of g and r."""
+    p = S.peak_phases(fluxes(spark, d, [0.0]), "z", "template")
+    avg = F.avg(F.when(F.col("band").isin("ztfg", "ztfr"), F.col("peak_phase"))).over(Window.partitionBy("z", "template"))
+    return p.join(objects_at(spark, d), "z").select("z", "template", "band", "peak_phase", F.round(F.col("peak_flux") / 1e18, 7).alias("peak_flux"), F.round(avg, 6).alias("avg_phase"), "objects")
 
 
 POINTS = f", pts AS (SELECT point_id, object_id, z, band, time, flux, fluxerr FROM photometry JOIN (SELECT object_id, CAST(redshift AS DOUBLE) AS z FROM catalog WHERE redshift <> '-') USING (object_id) WHERE band IN {BANDS})"
@@ -82,6 +90,11 @@ def nodes(spark, d, ebv=None):
     return S.phase_nodes(fluxes(spark, d, ebv), "template", "z", "ebv", "band")
 
 
+def nodes_at(spark):
+    """shifts -> the nodes of all templates there."""
+    return lambda shifts: S.phase_nodes(S.band_flux(A.template_flux(spark), A.bandpass(spark), shifts), "template", "z", "ebv", "band")
+
+
 @query(A.with_ctes("photometry catalog template_flux bandpass", f"{flux_sql(ebv=[0.2])}{NODES}{POINTS}, q AS (SELECT pts.*, ('tpl-' || CAST(object_id % 4 AS VARCHAR)) AS template, 0.2::DOUBLE AS ebv, (time - (min(time) OVER (PARTITION BY object_id) + 10)) / (1 + z) AS phase FROM pts), r AS (SELECT *, CAST(floor((phase + 20) / 2) AS INTEGER) AS node, (phase + 20) / 2 - floor((phase + 20) / 2) AS part FROM q) SELECT point_id, template, round(coalesce(nf + part * (coalesce(nn, CASE WHEN part = 0 THEN nf END) - nf), 0) / 1e18, 7) AS model_flux FROM r LEFT JOIN nd USING (template, z, ebv, band, node)"))
 def model_flux(spark, d):
     """Model flux at each observation, by an equi-join on the phase node."""
@@ -99,11 +112,11 @@ FITTED = f"""{flux_sql()}{NODES}{POINTS}, span AS (SELECT object_id, min(time) A
     fit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, template ORDER BY round(chisq, 4), k, ebv) AS nth FROM ff WHERE amplitude > 0) WHERE nth = 1)"""
 
 
-@query(A.with_ctes("photometry catalog template_flux bandpass", f"{FITTED} SELECT object_id, template, k::INTEGER AS t0_node, ebv, round(amplitude * 1e18, 4) AS amplitude, round(chisq, 3) AS chisq, (n - 3)::INTEGER AS ndof FROM fit"))
+@query(A.with_ctes("photometry catalog template_flux bandpass", f"{FITTED} SELECT object_id, template, k::INTEGER AS t0_node, ebv, round(log10(amplitude), 7) AS log_amplitude, round(chisq, 3) AS chisq, (n - 3)::INTEGER AS ndof FROM fit"))
 def grid_fit(spark, d):
     """Every object against every template: the best of all times of peak and dust nodes."""
     f = G.grid_fit(points(spark, d), nodes(spark, d))
-    return f.select("object_id", "template", "t0_node", "ebv", F.round(F.col("amplitude") * 1e18, 4).alias("amplitude"), F.round("chisq", 3).alias("chisq"), "ndof")
+    return f.select("object_id", "template", "t0_node", "ebv", F.round(F.log10("amplitude"), 7).alias("log_amplitude"), F.round("chisq", 3).alias("chisq"), "ndof")
 
 
 @query(A.with_ctes("photometry catalog template_flux bandpass", f"{FITTED}, b AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY round(chisq / (n - 3), 6), template) AS o FROM fit WHERE n > 3), sig AS (SELECT object_id, count_if(abs(flux) / fluxerr >= 3) AS ns FROM pts GROUP BY 1) SELECT object_id, template, round(chisq / (n - 3), 4) AS chidof FROM b JOIN sig USING (object_id) WHERE o = 1 AND n - 3 >= ns - 3"))
@@ -122,26 +135,47 @@ BF0 = flux_sql(zs="SELECT 0.0::DOUBLE AS z", ebv=[0.0], name="bf0")
 @query(A.with_ctes("photometry catalog template_flux bandpass", f"{FITTED}{BF0}, {DISTMOD_CTE}, rp AS (SELECT template, max(flux) AS rest FROM bf0 WHERE band = 'ztfg' GROUP BY 1) SELECT object_id, template, round(-2.5::DOUBLE * log10(amplitude * rest) + 25 - {distmod_sql('z')}, 4) AS absmag FROM fit JOIN (SELECT DISTINCT object_id, z FROM pts) USING (object_id) JOIN rp USING (template)"))
 def peak_absmag(spark, d):
     """Absolute magnitude of each fitted template at its rest-frame peak."""
-    f = G.grid_fit(points(spark, d), nodes(spark, d)).join(redshifts(spark, d), "object_id")
+    f = G.grid_fit(points(spark, d), nodes(spark, d))
     out = S.peak_absmag(f, S.peak_phases(rest_fluxes(spark), "template"))
     return rounded(out.select("object_id", "template", "absmag"), "absmag", digits=4)
 
 
-@query()
+def round_sql(before: str, r: int) -> str:
+    """The r-th finer round after the fits in before, as fit{r}."""
+    step = (EBV[1] - EBV[0]) / G.PARTS**r
+    lattice = [EBV[0] + step * i for i in range(round((EBV[-1] - EBV[0]) / step) + 1)]
+    near = f"(SELECT unnest(range({1 - G.PARTS}, {G.PARTS})) AS"
+    share = 1.0 / ((G.T0_NODES - 1) * G.PARTS**r)
+    return f"""{flux_sql(ebv=lattice, name=f'bf_{r}')}{NODES.replace(' nd AS', f' nd_{r} AS').replace('FROM bf)', f'FROM bf_{r})')},
+    tr_{r} AS (SELECT object_id, template, k, t0 + k * (((t_max + 5) - (t_min - 5)) * {share!r}::DOUBLE) AS t0, ebv + j * {step!r}::DOUBLE AS ebv, t_min, t_max, sff, n FROM (SELECT * EXCLUDE (k) FROM {before}), {near} k), {near} j)),
+    rr_{r} AS (SELECT object_id, template, z, band, flux, fluxerr, k, t0, ebv, ((time - t0) / (1 + z) + 20) / 2 AS x FROM pts JOIN tr_{r} USING (object_id) WHERE t0 >= t_min - 5 - 1e-6 AND t0 <= t_max + 5 + 1e-6 AND ebv BETWEEN {EBV[0]} AND {EBV[-1]}),
+    mm_{r} AS (SELECT object_id, rr.template, k, t0, rr.ebv, flux, fluxerr, nf + (x - floor(x)) * (coalesce(nn, CASE WHEN x = floor(x) THEN nf END, 0) - nf) AS m FROM rr_{r} rr JOIN nd_{r} nd ON rr.template = nd.template AND rr.ebv = nd.ebv AND rr.z = nd.z AND rr.band = nd.band AND nd.node = CAST(floor(x) AS INTEGER)),
+    ss_{r} AS (SELECT object_id, template, k, t0, ebv, sum(flux * m / (fluxerr * fluxerr)) AS sfm, sum(m * m / (fluxerr * fluxerr)) AS smm FROM mm_{r} GROUP BY ALL),
+    ff_{r} AS (SELECT *, sfm / smm AS amplitude, sff - sfm / smm * sfm AS chisq FROM ss_{r} JOIN span USING (object_id) WHERE smm > 0),
+    fit{r} AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY object_id, template ORDER BY round(chisq, 4), k, ebv) AS nth FROM ff_{r} WHERE amplitude > 0) WHERE nth = 1)"""
+
+
+REFINED = f"{FITTED}{round_sql('fit', 1)}{round_sql('fit1', 2)}"
+
+
+@query(A.with_ctes("photometry catalog template_flux bandpass", f"{REFINED} SELECT object_id, template, round(c.chisq, 3) AS coarse, round(f.chisq, 3) AS chisq, round(f.t0, 5) AS t0, f.ebv FROM fit2 f JOIN (SELECT object_id, template, chisq FROM fit) c USING (object_id, template)"))
 def refined_fit(spark, d):
-    """The coarse fit and a finer round of times around it."""
-    p, n = points(spark, d), nodes(spark, d)
-    coarse = G.grid_fit(p, n)
-    fine = G.refined(p, n, coarse, 2.0)
+    """The coarse fit and two finer rounds of times and dust around it."""
+    checkpoints(spark)
+    p = points(spark, d)
+    coarse = G.grid_fit(p, nodes(spark, d)).checkpoint()
+    fine = G.refined(p, nodes_at(spark), coarse)
     both = coarse.select("object_id", "template", F.col("chisq").alias("coarse")).join(fine, ["object_id", "template"])
-    return both.select("object_id", "template", F.round("coarse", 3).alias("coarse"), F.round(F.least("chisq", "coarse"), 3).alias("chisq"), F.round("t0", 5).alias("t0"), "ebv")
+    return both.select("object_id", "template", F.round("coarse", 3).alias("coarse"), F.round("chisq", 3).alias("chisq"), F.round("t0", 5).alias("t0"), "ebv")
 
 
 @query()
 def fit_metrics(spark, d):
     """One record for each pair: fit, coverage, counts around the peak, chi2 and residual there."""
-    p, n = points(spark, d), nodes(spark, d)
-    m = G.fit_metrics(p, G.grid_fit(p, n), n)
+    checkpoints(spark)
+    p = points(spark, d)
+    fits = G.full_fit(p, nodes_at(spark)).checkpoint()
+    m = G.fit_metrics(p, fits, G.nodes_of(fits, nodes_at(spark)))
     return rounded(m.drop("t0", "amplitude"), "chisq", "predt", "postdt", "peakduration", "peakchi", "peak_residual", digits=4)
 
 
@@ -149,8 +183,13 @@ def fit_metrics(spark, d):
 def clean_refit(spark, d):
     """Fit, cut in phase, fit, cut in pull, fit; counts and success of each pair."""
     checkpoints(spark)
-    out = G.clean_refit(points(spark, d), nodes(spark, d), max_chidof=1e4)
-    return rounded(out.select("object_id", "template", "t0_node", "ebv", "chisq", "ndof", "dps_init", "dps_tcut", "dps_fcut", "dps_allcut", "success"), "chisq", digits=3)
+    out = G.clean_refit(floored(spark, d), nodes_at(spark))
+    return rounded(out.select("object_id", "template", "ebv", "t0", "chisq", "ndof", "dps_init", "dps_tcut", "dps_fcut", "dps_allcut", "success"), "chisq", "t0", digits=3)
+
+
+def floored(spark, d):
+    """Points with the error floor before corrections; the tables' fluxes scatter by far more than their errors, so the mean."""
+    return L.error_floor(points(spark, d), 1.0)
 
 
 WAVE_EFF = ", we AS (SELECT band, sum(wave * trans) / sum(trans) AS wave_eff FROM bandpass GROUP BY band)"
@@ -222,19 +261,12 @@ def warped(spark):
     return S.warped(A.template_flux(spark), A.corr_surface(spark), [float(w) for w in A.SURFACE_WAVES])
 
 
-NATIONS = "(SELECT 'tpl-' || CAST(n_nationkey % 4 AS VARCHAR) AS template, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)"
-
-
-def weights(spark, d):
-    """How often each template is asked for, from the customers' nations."""
-    c = A.table(spark, d, "customer").join(A.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.groupBy(F.concat(F.lit("tpl-"), (F.col("n_nationkey") % 4).cast("string")).alias("template")).agg(F.count("*").alias("n"))
-
-
-@query(A.with_ctes("template_flux corr_surface", f"{WARPED} SELECT template, phase, wave, round(factor, 7) AS factor, round(flux, 7) AS flux, n FROM warped JOIN {NATIONS} USING (template)"))
+@query(A.with_ctes("catalog template_flux corr_surface", f"{WARPED}{ZS} SELECT template, z, phase, round(wave * (1 + z), 5) AS seen_wave, round(factor, 7) AS factor, round(flux / (1 + z), 7) AS flux, objects FROM warped, zn"))
 def warped_spectra(spark, d):
-    out = warped(spark).join(weights(spark, d), "template")
-    return rounded(out.select("template", "phase", "wave", "factor", "flux", "n"), "factor", "flux", digits=7)
+    """Warped spectra as seen at each redshift of the catalogue."""
+    seen = warped(spark).join(F.broadcast(objects_at(spark, d)))  # a row for each redshift, rounded to few
+    out = seen.select("template", "z", "phase", F.round(F.col("wave") * (1 + F.col("z")), 5).alias("seen_wave"), "factor", (F.col("flux") / (1 + F.col("z"))).alias("flux"), "objects")
+    return rounded(out, "factor", "flux", digits=7)
 
 
 @query(A.with_ctes("catalog template_flux corr_surface bandpass", f"{WARPED}{flux_sql('warped', ebv=[0.0, 0.3])} SELECT template, z, ebv, band, phase, round(flux / 1e18, 7) AS flux FROM bf"))
@@ -244,9 +276,55 @@ def warped_band_flux(spark, d):
     return f.select("template", "z", "ebv", "band", "phase", F.round(F.col("flux") / 1e18, 7).alias("flux"))
 
 
+PHASES = [float(p) for p in range(-20, 81, 2)]
+
+
+def corrected(spark, points, pairs=None):
+    """Fits of clean_points and the correction surfaces of those that succeed, both written once."""
+    checkpoints(spark)
+    fits, good = G.clean_points(points, nodes_at(spark), pairs=pairs)
+    fits = fits.checkpoint()
+    good = good.join(fits.filter("success").select("object_id", "template"), ["object_id", "template"], "left_semi")
+    ratios = K.correction_points(good, S.ab_scale(A.bandpass(spark)).select("band", "wave_eff"))
+    curves = K.correction_curves(K.with_edges(ratios, PHASES[0], PHASES[-1]), PHASES)
+    return fits, K.surface(curves, float(A.WAVES[0]), float(A.WAVES[1])).checkpoint()
+
+
+def matches(spark, d):
+    """The fits of the tables as matches of objects and templates."""
+    f = A.fits(spark, d).filter("success and peak_good")
+    model = F.concat(F.lit("tpl-"), (F.substring_index("model", "-", -1).cast("int") % A.TEMPLATES).cast("string"))
+    return f.groupBy(F.col("id").alias("object_id"), model.alias("template")).agg(F.min("chidof").alias("match_chidof"))
+
+
 @query()
 def bulk_corrections(spark, d):
-    """Corrections of all matched objects: successes with the fields that later steps need."""
-    fits = G.grid_fit(points(spark, d), nodes(spark, d)).filter("ndof > 0").withColumn("success", F.col("chisq") / F.col("ndof") <= 1e4)
-    s = K.surface(curves(spark, d), 3000.0, 9000.0).select("object_id").distinct()
-    return rounded(fits.filter("success").join(s, "object_id", "left_semi").select("object_id", "template", "ebv", "t0", "chisq", "ndof", "success"), "t0", "chisq", digits=4)
+    """Corrections of all matched pairs that succeed: the eight fields that later steps need, the surface as JSON."""
+    fits, surface = corrected(spark, points=floored(spark, d), pairs=matches(spark, d))
+    out = K.bulk(S.peak_absmag(fits, S.peak_phases(rest_fluxes(spark), "template")), surface)
+    text = F.array_join(F.transform(F.map_entries("lceval"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    cells = F.to_json(F.transform("corrmodel", lambda c: F.struct(c.phase, F.round(c.wave, 3).alias("wave"), F.round(c.factor, 4).alias("factor"))))
+    return rounded(out.withColumns({"lceval": text, "corrmodel": cells}), "absmag", "chidof", digits=4)
+
+
+def reworked(spark, d):
+    """Fits of warped models, one for each matched pair whose correction succeeds, with what the rules of a warp set judge."""
+    p, match = floored(spark, d), matches(spark, d)
+    fits, surface = corrected(spark, p, match)
+    spectra = S.warped_pairs(A.template_flux(spark), surface).join(redshifts(spark, d), "object_id")
+    again = G.refit_warped(p, fits.filter("success"), spectra, A.bandpass(spark)).checkpoint()
+    kinds = T.add_classes(A.catalog(spark, d)).select("object_id", F.col("type_a").alias("class"), "peakmag")
+    own = A.template_flux(spark).select("template", F.col("class").alias("type")).distinct()
+    own = T.add_classes(own).select("template", F.col("type_a").alias("model_class"))
+    out = again.join(match, ["object_id", "template"]).join(kinds, "object_id").join(F.broadcast(own), "template")
+    return out.select(
+        F.col("object_id").alias("id"), F.col("template").alias("model"), "class", "z", "peakmag", (F.col("class") == F.col("model_class")).alias("correct"), (F.col("match_chidof") <= 2).alias("goodfit"),
+        F.col("match_chidof").alias("chidof"), "sf", "t0", "ebv", "chisq", "ndof",
+    )
+
+
+@query()
+def built_warp_set(spark, d):
+    """The whole chain: matches, error floor, cleaned fits, surfaces, warped models, their fits, acceptance, survival, the set."""
+    w = W.warp_set(reworked(spark, d), prefilter=False)
+    return rounded(w.select("id", "model", "class", "quality", "priority", "chidof", "sf", "draw_prob", "t0", "ebv"), "chidof", "sf", "draw_prob", "t0", digits=5)
