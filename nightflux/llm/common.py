@@ -69,7 +69,17 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     path = f"{shared_folder(spark)}/nightflux/{name}-{uuid.uuid4().hex}"
     with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def removed(table: DataFrame) -> None:
+    """Deletes a table of written that nothing reads any more."""
+    if path := table.__dict__.get("table_path"):
+        jvm = table.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def per_batch(df: DataFrame, work, schema: str) -> DataFrame:
