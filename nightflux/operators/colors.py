@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nightflux.functions.astro import uniform
+from nightflux.functions.astro import dust_ratio, uniform
 
 
 def outlier_free(df: DataFrame, column: str = "color", key: str = "class", mode: str = "finite", k: float = 3.0, n_sigma: float = 5.0) -> DataFrame:
@@ -121,6 +126,74 @@ def solve_ebv(nodes: DataFrame, targets: DataFrame, *keys: str) -> DataFrame:
     return targets.join(n, list(keys)).groupBy(*keys, "target").agg(F.min_by(F.when(inside, value), F.when(inside, F.col("ebv"))).alias("ebv_fit"))
 
 
+#: Natural logarithm of the factor that a unit of E(B-V) takes at a dust ratio of 1.
+DIM = 0.4 * 3.1 * math.log(10.0)
+
+
+def color_lines(at_peak: DataFrame, bandpass: DataFrame, *keys: str) -> DataFrame:
+    """keys, lines: what a model's colour depends on, at redshift 0: for each wavelength of its two bands the photons that its
+    spectrum gives there over those of the AB reference, the dust ratio, and the side (1 or 2).
+
+    at_peak: keys, side, band, wave, flux, the rest-frame spectrum at the band's own peak. A model has some 40 lines.
+    """
+    from .synphot import WAVE_STEP, ab_scale
+
+    lit = at_peak.join(F.broadcast(bandpass.join(ab_scale(bandpass), "band").select("band", "wave", "trans", "ab")), ["band", "wave"])
+    line = F.struct("side", (F.col("flux") * F.col("trans") * F.col("wave") * WAVE_STEP / F.col("ab")).alias("w"), dust_ratio(F.col("wave")).alias("k"))
+    return lit.groupBy(*keys).agg(F.collect_list(line).alias("lines"))
+
+
+def colors_behind(w, k, one, first, of, ebv) -> tuple[np.ndarray, np.ndarray]:
+    """Colour of each row behind dust of its ebv, and the change of it by ebv. w, k, one: the lines of all rows in a row (photons,
+    dust ratio, whether of side 1); first: where a row's lines begin; of: the row of each line."""
+    y = w * np.exp(-DIM * ebv[of] * k)
+    s1, s2 = (np.add.reduceat(np.where(side, y, 0.0), first) for side in (one, ~one))
+    t1, t2 = (np.add.reduceat(np.where(side, y * k, 0.0), first) for side in (one, ~one))
+    return -2.5 * np.log10(s1 / s2), 2.5 / math.log(10.0) * DIM * (t1 / s1 - t2 / s2)
+
+
+def ebv_for(lines: DataFrame, targets: DataFrame, *keys: str, bounds=(-5.0, 5.0), rounds: int = 60) -> DataFrame:
+    """keys, target, ebv_fit, color: the E(B-V) within bounds at which a model's colour is the target, and the colour there; null
+    where no such dust gives it. lines: of color_lines, targets: keys, target.
+
+    Each row's colour is evaluated at its own E(B-V), by Newton steps that stay within a bracket (colours get redder with dust),
+    for the rows of an Arrow batch at a time.
+    """
+    both = targets.select(*keys, "target").join(lines.select(*keys, "lines"), list(keys)).filter("target is not null and size(lines) > 0")
+
+    def solved(batch):
+        column = batch.column("lines")
+        n = np.asarray(column.value_lengths())
+        each = column.flatten()
+        w, k, one = np.asarray(each.field("w"), float), np.asarray(each.field("k"), float), np.asarray(each.field("side")) == 1
+        first, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        target = np.asarray(batch.column("target"), float)
+        lo, hi, e = np.full(len(n), bounds[0]), np.full(len(n), bounds[1]), np.zeros(len(n))
+        with np.errstate(all="ignore"):
+            for _ in range(rounds):
+                color, slope = colors_behind(w, k, one, first, of, e)
+                off = color - target
+                lo, hi = np.where(off <= 0, e, lo), np.where(off >= 0, e, hi)
+                newton = e - off / slope
+                to = np.where((newton >= lo) & (newton <= hi), newton, (lo + hi) / 2)
+                if np.nanmax(np.abs(to - e), initial=0.0) < 1e-13:
+                    break
+                e = to
+            color = colors_behind(w, k, one, first, of, e)[0]
+        miss = ~(np.abs(color - target) < 1e-6)
+        return pa.array(e, mask=miss), pa.array(color, mask=miss)
+
+    def work(batches):
+        for batch in batches:
+            if batch.num_rows:
+                e, color = solved(batch)
+                kept = [batch.column(c) for c in (*keys, "target")]
+                yield pa.RecordBatch.from_arrays([*kept, e, color], [*keys, "target", "ebv_fit", "color"])
+
+    fields = [*(both.schema[c] for c in (*keys, "target")), T.StructField("ebv_fit", T.DoubleType()), T.StructField("color", T.DoubleType())]
+    return both.mapInArrow(work, T.StructType(fields))
+
+
 def ebv_shift(df: DataFrame, mode: str = "none", seed: int = 0, formula: str = "difference", key: str = "model"):
     """samplecorr_ebv: none; harmonize to the class's loc; draw from its ex-Gaussian. formula: the cubic of target less
     peak colour ('difference'), or the cubic of the target less the peak colour ('served')."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +143,78 @@ def warped_pairs(spectra: DataFrame, surface: DataFrame, ebv: float | None = Non
 def complete_grids(surface: DataFrame, *keys: str) -> DataFrame:
     """keys, complete: whether a surface has one factor for each of its phases and wavelengths."""
     return surface.groupBy(*keys).agg((F.count("factor") == F.count_distinct("phase") * F.count_distinct("wave")).alias("complete"))
+
+
+# ---------------------------------------------------------------- warped models
+
+
+def require_complete(surface: DataFrame, *keys: str) -> DataFrame:
+    """surface as it is; an error when a row is read of a key whose grid lacks a factor."""
+    bad = complete_grids(surface, *keys).filter("not complete").select(*keys, F.lit(True).alias("__bad"))
+    marked = surface.join(bad, list(keys), "left")
+    stop = F.when(F.col("__bad"), F.raise_error(F.concat(F.lit("incomplete surface of "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))).cast("double"))
+    return marked.withColumn("factor", F.coalesce(stop, F.col("factor"))).drop("__bad")
+
+
+def seen_flux(spectra: DataFrame, models: DataFrame, bandpass: DataFrame, *keys: str, r_v: float = 3.1, mw_r_v: float = 3.1) -> DataFrame:
+    """keys, band, phase, flux: each model as it is seen at its own z, through its own host's dust (E(B-V) hostebv, at rest) and
+    the foreground's (mwebv, at the wavelengths of the observer).
+
+    spectra: keys, phase, wave, flux on the common wavelength nodes; models: keys, z, hostebv, mwebv, one row each. Null dust
+    is an error, as a model without a foreground says mwebv = 0. A model has a row for each wavelength of a band, and meets
+    the spectrum's nodes by an equi-join; nothing is tabulated over dust or redshift.
+    """
+    known = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"{c} must be given")).cast("double")).otherwise(F.col(c))
+    w = Window.partitionBy(*keys, "phase").orderBy("wave")
+    node = spectra.withColumns({"next": F.lead("flux").over(w), "node": F.round((F.col("wave") - WAVE_0) / WAVE_STEP).cast("int")}).drop("wave")
+    lines = models.select(*keys, "z", known("hostebv").alias("hostebv"), known("mwebv").alias("mwebv")).join(F.broadcast(bandpass))  # a small grid
+    rest = F.col("wave") / (1 + F.col("z"))
+    x = (rest - WAVE_0) / WAVE_STEP
+    dust = extinction(rest, F.col("hostebv") * r_v, r_v) * extinction(F.col("wave"), F.col("mwebv") * mw_r_v, mw_r_v)
+    lines = lines.select(*keys, "band", F.floor(x).cast("int").alias("node"), (x - F.floor(x)).alias("part"), (dust * F.col("trans") * F.col("wave") * WAVE_STEP / (1 + F.col("z"))).alias("weight"))
+    value = (F.col("flux") + F.col("part") * (F.coalesce("next", "flux") - F.col("flux"))) * F.col("weight")
+    raw = node.join(lines, [*keys, "node"]).withColumn("v", value).groupBy(*keys, "band", "phase").agg(F.sum("v").alias("v"))
+    return raw.join(F.broadcast(ab_scale(bandpass)), "band").select(*keys, "band", "phase", (F.col("v") / F.col("ab") * 10 ** (0.4 * ZP)).alias("flux"))
+
+
+def wave_weights(waves: list[float]) -> np.ndarray:
+    """What each node of a surface weighs at each common wavelength: rows by wavelength, a column a node (see cubic_in_wave)."""
+    w, x = np.array(waves) / 1000.0, np.arange(waves[0], waves[-1] + WAVE_STEP / 2, WAVE_STEP) / 1000.0
+
+    def powers(at):
+        u = at - w[2]
+        return np.column_stack([u**0, u, u**2, u**3, *([np.maximum(u, 0) ** 3] if len(w) == 5 else [])])
+
+    return powers(x) @ np.linalg.inv(powers(w))
+
+
+def basis_flux(spectra: DataFrame, bandpass: DataFrame, shifts: DataFrame, waves: list[float], r_v: float = 3.1) -> DataFrame:
+    """template, z, ebv, band, phase, b: the band flux that each node of a surface with these wavelengths gives to the template.
+
+    A warped spectrum is linear in its factors as long as none of it is negative, and so is its flux in a band: it's the sum of
+    b over the nodes, times their factors. So a template's spectra are integrated once, whatever the number of surfaces.
+    """
+    parts = [F.struct(F.lit(j).alias("j"), v.alias("v")) for j, v in enumerate(cubic_in_wave(waves, [F.lit(float(i == j)) for i in range(len(waves))], F.col("wave")) for j in range(len(waves)))]
+    each = spectra.filter(F.col("wave").between(waves[0], waves[-1])).select("template", "phase", "wave", "flux", F.explode(F.array(*parts)).alias("p"))
+    split = each.select("template", F.col("p.j").alias("j"), "phase", "wave", (F.col("flux") * F.col("p.v")).alias("flux"))
+    flux = band_flux(split, bandpass, shifts, r_v, keys=("template", "j"))
+    rows = flux.groupBy("template", "z", "ebv", "band", "phase").agg(F.array_sort(F.collect_list(F.struct("j", "flux"))).alias("b"))  # a row a node
+    return rows.withColumn("b", F.transform("b", lambda x: x["flux"]))
+
+
+def warped_flux(spectra: DataFrame, factors: DataFrame, bandpass: DataFrame, shifts: DataFrame, waves: list[float], *keys: str, r_v: float = 3.1) -> DataFrame:
+    """keys, template, z, ebv, band, phase, flux of warped models, at each of shifts. factors: keys, template, phase and f, the
+    factors at waves.
+
+    Surfaces whose factors are so near to 1 that no warped flux can be negative take the sums of basis_flux; the others (a cubic
+    may swing below 0, and negative flux is cut) are warped and integrated spectrum by spectrum.
+    """
+    own = [*keys, "template"]
+    swing = float(np.abs(wave_weights(waves)).sum(axis=1).max())
+    far = factors.groupBy(*own).agg(F.max(F.array_max(F.transform("f", lambda x: F.abs(x - 1)))).alias("far")).filter(F.col("far") * swing >= 1).select(*own)
+    b = basis_flux(spectra, bandpass, shifts, waves, r_v)
+    total = sum((F.col("f")[j] * F.col("b")[j] for j in range(len(waves))), F.lit(0.0))
+    near = factors.join(far, own, "left_anti").join(b, ["template", "phase"]).select(*own, "z", "ebv", "band", "phase", total.alias("flux"))
+    wide = factors.join(far, own, "left_semi").join(spectra.filter(F.col("wave").between(waves[0], waves[-1])), ["template", "phase"])
+    cut = _times(wide, cubic_in_wave(waves, [F.col("f")[j] for j in range(len(waves))], F.col("wave")), None, r_v).select(*own, "phase", "wave", "flux")
+    return near.unionByName(band_flux(cut, bandpass, shifts, r_v, keys=tuple(own)).select(near.columns))

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nightflux.functions.astro import emg_pdf, matern32, uniform_sql
+import math
+
+from nightflux.functions.astro import dust_sql, emg_pdf, matern32, uniform_sql
 from nightflux.operators import colors as C
-from nightflux.operators import selection as S
+from nightflux.operators import fit as G
+from nightflux.operators import selection as Sel
+from nightflux.operators import synphot as S
+from nightflux.operators import taxonomy as T
+from nightflux.operators.synphot import AB, LIGHT_A, wave_weights
 from nightflux.sources import adapters as A
 
-from .models import flux_sql, rest_fluxes
+from .classes import listed
+from .models import checkpoints, flux_sql, rest_fluxes
 from .registry import query, rounded
 from .warpsets import WARPS, warps
 
@@ -117,65 +124,151 @@ def regression_mask(spark, d):
     return C.regression_rows(rows).groupBy("class").agg(F.count("*").alias("n"))
 
 
-EBVS = [-1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0]
-BY_EBV = flux_sql(zs="SELECT 0.0::DOUBLE AS z", ebv=EBVS) + ", tops AS (SELECT template, ebv, band, max(flux) AS f FROM bf GROUP BY 1, 2, 3), cn AS (SELECT a.template, a.ebv, -2.5::DOUBLE * log10(a.f / b.f) AS color FROM tops a JOIN tops b ON a.template = b.template AND a.ebv = b.ebv AND a.band = 'ztfg' AND b.band = 'ztfr')"
+WAVES = [float(w) for w in A.SURFACE_WAVES]
+#: g and r at the peaks of the plain templates, at rest: peak phase and flux of each band, and the spectrum there.
+NATURAL = flux_sql(zs="SELECT 0.0::DOUBLE AS z", ebv=[0.0]) + """, tp AS (SELECT template, band, CASE band WHEN 'ztfg' THEN 1 ELSE 2 END AS side, arg_max(phase, {'f': round(flux, 6), 'p': -phase}) AS phase, max(flux) AS f FROM bf WHERE band IN ('ztfg', 'ztfr') GROUP BY 1, 2),
+    cn AS (SELECT a.template, -2.5::DOUBLE * log10(a.f / b.f) AS color FROM tp a JOIN tp b ON a.template = b.template AND a.side = 1 AND b.side = 2)"""
 TARGETS = ", tg AS (SELECT DISTINCT 'tpl-' || CAST(p_partkey % 4 AS VARCHAR) AS template, CAST(p_size AS DOUBLE) / 40 - 0.5 AS target FROM part)"
 
 
-def color_nodes(spark):
-    return C.peak_color(rest_fluxes(spark, EBVS), "ztfg", "ztfr", "template", "ebv")
+def natural_peaks(spark):
+    return S.peak_phases(rest_fluxes(spark).filter("band in ('ztfg', 'ztfr')"), "template")
+
+
+def template_lines(spark):
+    side = F.when(F.col("band") == "ztfg", 1).otherwise(2)
+    at = natural_peaks(spark).select("template", "band", side.alias("side"), F.col("peak_phase").alias("phase"))
+    return C.color_lines(A.template_flux(spark).join(at, ["template", "phase"]), A.bandpass(spark), "template")
 
 
 def targets(spark, d):
     return A.table(spark, d, "part").select(F.concat(F.lit("tpl-"), (F.col("p_partkey") % 4).cast("string")).alias("template"), (F.col("p_size").cast("double") / 40 - 0.5).alias("target")).distinct()
 
 
-@query(A.with_ctes("template_flux bandpass", f"{BY_EBV}{TARGETS} SELECT template, target, round(color, 5) AS color FROM cn JOIN tg USING (template) WHERE ebv = 0"))
+@query(A.with_ctes("template_flux bandpass", f"{NATURAL}{TARGETS} SELECT template, target, round(color, 5) AS color FROM cn JOIN tg USING (template)"))
 def peak_color(spark, d):
     """Colour of each model at its own peaks, next to the colours asked for."""
-    natural = color_nodes(spark).filter("ebv = 0").select("template", F.round("color", 5).alias("color"))
+    natural = C.peak_color(rest_fluxes(spark), "ztfg", "ztfr", "template").select("template", F.round("color", 5).alias("color"))
     return targets(spark, d).join(natural, "template").select("template", "target", "color")
 
 
-SOLVED = f"{BY_EBV}{TARGETS}, br AS (SELECT *, lead(ebv) OVER (PARTITION BY template ORDER BY ebv) AS e2, lead(color) OVER (PARTITION BY template ORDER BY ebv) AS c2 FROM cn), so AS (SELECT template, target, arg_min(v, e) FILTER (inside) AS ebv_fit FROM (SELECT template, target, ebv AS e, ebv + (target - color) / (c2 - color) * (e2 - ebv) AS v, (target >= color AND target < c2) OR (target <= color AND target > c2) AS inside FROM tg JOIN br USING (template)) GROUP BY 1, 2)"
+DIMMED = "list_sum(list_transform(list_filter(lines, lambda x: x.side = {side}), lambda x: x.w * exp(-{dim!r}::DOUBLE * {e} * x.k)))"
+
+
+def dimmed_sql(e: str) -> str:
+    one, two = (DIMMED.format(side=n, dim=C.DIM, e=e) for n in (1, 2))
+    return f"(-2.5::DOUBLE * log10({one} / {two}))"
+
+
+def lines_sql(source: str, bands: str, keys: str, name: str = "ln") -> str:
+    """name(keys, lines): the lines of the models in source(keys, side, band, wave, flux)."""
+    return f""", {name}_ab AS (SELECT band, sum({AB!r} * {LIGHT_A!r} / (wave * wave) * wave * trans * 100) AS ab FROM {bands} GROUP BY band),
+    {name} AS (SELECT {keys}, list({{'side': side, 'w': flux * trans * wave * 100 / ab, 'k': {dust_sql('wave')}}}) AS lines FROM {source} JOIN {bands} USING (band, wave) JOIN {name}_ab USING (band) GROUP BY {keys})"""
+
+
+BISECTED = f"""{NATURAL}{TARGETS}, ts AS (SELECT t.template, side, band, wave, t.flux FROM template_flux t JOIN tp USING (template, phase)){lines_sql('ts', 'bandpass', 'template')},
+    bi AS (WITH RECURSIVE r(template, target, lines, lo, hi, i) AS (SELECT template, target, lines, -5.0::DOUBLE, 5.0::DOUBLE, 0 FROM tg JOIN ln USING (template)
+    UNION ALL SELECT template, target, lines, CASE WHEN c < target THEN e ELSE lo END, CASE WHEN c < target THEN hi ELSE e END, i + 1 FROM (SELECT *, {dimmed_sql('e')} AS c FROM (SELECT *, (lo + hi) / 2 AS e FROM r WHERE i < 45))) SELECT template, target, lines, (lo + hi) / 2 AS e FROM r WHERE i = 45),
+    so AS (SELECT template, target, CASE WHEN abs({dimmed_sql('e')} - target) < 1e-6 THEN e END AS ebv_fit, {dimmed_sql('e')} AS c FROM bi)"""
 
 
-@query(A.with_ctes("template_flux bandpass", f"{SOLVED} SELECT template, target, round(ebv_fit, 5) AS ebv_fit FROM so"))
+@query(A.with_ctes("template_flux bandpass", f"{BISECTED} SELECT template, target, round(ebv_fit, 6) AS ebv_fit FROM so"))
 def solve_ebv(spark, d):
-    return rounded(C.solve_ebv(color_nodes(spark), targets(spark, d), "template"), "ebv_fit", digits=5)
+    """The dust, from -5 to 5, behind which each model has the colour asked for."""
+    return rounded(C.ebv_for(template_lines(spark), targets(spark, d), "template").select("template", "target", "ebv_fit"), "ebv_fit")
 
 
-@query()
+@query(A.with_ctes("template_flux bandpass", f"{BISECTED} SELECT template, target, round(c, 6) AS color, abs(c - target) > 0.01 AS missed FROM so WHERE ebv_fit IS NOT NULL"))
 def verified_colors(spark, d):
-    """Colour of each model after the shift, where it misses its target by over 0.01 (the nodes are linear between)."""
-    solved = C.solve_ebv(color_nodes(spark), targets(spark, d), "template").filter("ebv_fit is not null")
-    fine = C.peak_color(rest_fluxes(spark, [round(-1 + 0.05 * i, 2) for i in range(61)]), "ztfg", "ztfr", "template", "ebv")
-    near = solved.withColumn("ebv", F.round(F.round(F.col("ebv_fit") / 0.05) * 0.05, 2)).join(fine, ["template", "ebv"])
-    return near.select("template", "target", F.round("color", 4).alias("color"), (F.abs(F.col("color") - F.col("target")) > 0.01).alias("missed"))
+    """Colour of each model behind its own solution, and whether it misses its target by over 0.01."""
+    solved = C.ebv_for(template_lines(spark), targets(spark, d), "template").filter("ebv_fit is not null")
+    return solved.select("template", "target", F.round("color", 6).alias("color"), (F.abs(F.col("color") - F.col("target")) > 0.01).alias("missed"))
 
 
+#: Targets that are drawn for each model, for the cubic of its class.
+N_TARGETS = 10
 CLASSES = "CASE class WHEN 'SN II' THEN 'click' WHEN 'SN Ib' THEN 'view' WHEN 'SN Ic' THEN 'purchase' ELSE 'signup' END"
-ENRICHED = f"{WARPS}{EMG}, en AS (SELECT ws.id, ws.model, ws.class, sf / 2 AS peakcol, loc, scale, k, 0.1::DOUBLE AS c0, 0.5::DOUBLE AS c1, -0.05::DOUBLE AS c2, 0.02::DOUBLE AS c3 FROM ws JOIN emg ON emg.class = {CLASSES.replace('class', 'ws.class')} WHERE CAST(id AS VARCHAR) || '_' || model NOT IN ('1_tpl-1', '2_tpl-2'))"
+BAND_1, BAND_2 = (f"CASE WHEN class IN ({listed(T.RED_CLASSES)}) THEN '{red}' ELSE '{usual}' END" for red, usual in (("ztfr", T.COLOR_BANDS[0]), ("ztfi", T.COLOR_BANDS[1])))
+# every warp's spectra, their flux in the two bands of its class, the peaks there
+WEIGHTS = ", ww AS (SELECT wave, " + ", ".join(f"list_extract([{', '.join(map(repr, c))}]::DOUBLE[], CAST((wave - 3000) / 100 AS INTEGER) + 1) AS w{j}" for j, c in enumerate(wave_weights(WAVES).T.tolist())) + " FROM (SELECT CAST(unnest(range(3000, 9001, 100)) AS DOUBLE) AS wave))"
+FACTOR = " + ".join(f"f{j} * w{j}" for j in range(5))
+PEAKED = f"""{WARPS}{EMG}, vs AS (SELECT * FROM ws WHERE CAST(id AS VARCHAR) || '_' || model NOT IN ('1_tpl-1', '2_tpl-2')){A.factors_sql('vs')}{WEIGHTS},
+    cb AS (SELECT id, model, class, 1 AS side, {BAND_1} AS band FROM vs UNION ALL SELECT id, model, class, 2, {BAND_2} FROM vs),
+    ab AS (SELECT band, sum({AB!r} * {LIGHT_A!r} / (wave * wave) * wave * trans * 100) AS ab FROM rest_bands GROUP BY band),
+    lit AS (SELECT t.template, t.phase, t.wave, b.band, t.flux * b.trans * t.wave * 100 / ab AS v FROM template_flux t JOIN rest_bands b USING (wave) JOIN ab USING (band)),
+    wb AS (SELECT wf.id, wf.model, cb.class, cb.side, cb.band, wf.phase, sum(v * greatest({FACTOR}, 0)) * 1e10 AS flux FROM wf JOIN cb ON cb.id = wf.id AND cb.model = wf.model JOIN lit ON lit.template = wf.template AND lit.phase = wf.phase AND lit.band = cb.band JOIN ww ON ww.wave = lit.wave GROUP BY ALL),
+    pk AS (SELECT id, model, class, side, band, arg_max(phase, {{'f': round(flux, 6), 'p': -phase}}) AS phase, arg_max(flux, {{'f': round(flux, 6), 'p': -phase}}) AS f FROM wb GROUP BY ALL),
+    pc AS (SELECT a.id, a.model, a.class, -2.5::DOUBLE * log10(a.f / b.f) AS peakcol FROM pk a JOIN pk b ON a.id = b.id AND a.model = b.model AND a.side = 1 AND b.side = 2),
+    pp AS (SELECT pc.*, loc, scale, k FROM pc JOIN emg ON emg.class = {CLASSES.replace('class', 'pc.class')})"""
+NEWTON = f"""{{'s1': {DIMMED.format(side=1, dim=C.DIM, e='e')}, 's2': {DIMMED.format(side=2, dim=C.DIM, e='e')}, 't1': {DIMMED.format(side=1, dim=C.DIM, e='e').replace('x.w *', 'x.k * x.w *')}, 't2': {DIMMED.format(side=2, dim=C.DIM, e='e').replace('x.w *', 'x.k * x.w *')}}}"""
+FITTED_CUBIC = f"""{PEAKED}, aw AS (SELECT pk.id, pk.model, side, pk.band, t.wave, t.flux * greatest({FACTOR}, 0) AS flux FROM pk JOIN wf ON wf.id = pk.id AND wf.model = pk.model AND wf.phase = pk.phase JOIN template_flux t ON t.template = wf.template AND t.phase = wf.phase JOIN ww ON ww.wave = t.wave){lines_sql('aw', 'rest_bands', 'id, model')},
+    dr0 AS (SELECT pp.*, nth, {draw_sql(11, 'id', 'model', 'nth')} AS target FROM pp, (SELECT unnest(range(0, {N_TARGETS})) AS nth)),
+    nt AS (WITH RECURSIVE r(id, model, nth, target, e, i) AS (SELECT id, model, nth, target, 0.0::DOUBLE, 0 FROM dr0
+    UNION ALL SELECT id, model, nth, target, greatest(least(e - (-2.5::DOUBLE * log10(q.s1 / q.s2) - target) / ({2.5 / math.log(10.0) * C.DIM!r}::DOUBLE * (q.t1 / q.s1 - q.t2 / q.s2)), 5), -5), i + 1 FROM (SELECT r.*, {NEWTON} AS q FROM r JOIN ln USING (id, model) WHERE i < 12)) SELECT id, model, nth, e FROM r WHERE i = 12),
+    nf AS (SELECT id, model, nth, e FROM nt JOIN ln USING (id, model) JOIN dr0 USING (id, model, nth) WHERE abs({dimmed_sql('e')} - target) < 1e-6),
+    color_pairs AS (SELECT class, target - peakcol AS x, e AS y FROM dr0 JOIN nf USING (id, model, nth) WHERE isfinite(peakcol)){cubic_sql()}"""
+ENRICHED = f"{FITTED_CUBIC}, en AS (SELECT pp.*, c0, c1, c2, c3 FROM pp JOIN k0 USING (class))"
+
+
+def colored(spark, d):
+    """Warp rows but vetoed ones with the peak colour of their model, in the bands of their class, and the class's parameters;
+    and the phases of the peaks."""
+    w = warps(spark, d).select("id", "model", "class", "sf").withColumn("pair", F.concat_ws("_", F.col("id").cast("string"), "model"))
+    w = Sel.without(w, spark.createDataFrame([("1_tpl-1",), ("2_tpl-2",)], "veto string"), "pair").drop("pair")
+    factors = A.warp_factors(w)
+    one, two = T.color_bands("class")
+    rest = A.rest_bands(spark).filter("band <> 'ztfg'")  # no class takes its colour from it
+    flux = S.warped_flux(A.template_flux(spark), factors, rest, G.shifts(spark, spark.range(1).select(F.lit(0.0).alias("z")), [0.0]), WAVES, "id", "model")
+    sides = w.select("id", "model", F.inline(F.array(F.struct(F.lit(1).alias("side"), one.alias("band")), F.struct(F.lit(2).alias("side"), two.alias("band")))))
+    peaks = S.peak_phases(flux.join(sides, ["id", "model", "band"]), "id", "model", "template", "side")
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("peak_flux")))
+    color = peaks.groupBy("id", "model").agg((-2.5 * F.log10(of(1) / of(2))).alias("peakcol"))
+    kind = F.when(F.col("class") == "SN II", "click").when(F.col("class") == "SN Ib", "view").when(F.col("class") == "SN Ic", "purchase").otherwise("signup")
+    params = C.emg_fit(A.colors(spark, d)).select(F.col("class").alias("kind"), "k", "loc", "scale")
+    return w.withColumn("kind", kind).join(F.broadcast(params), "kind").drop("kind").join(color, ["id", "model"]), peaks
+
+
+def class_cubics(spark, rows, peaks):
+    """The cubic of each class: dust that gives a target, by how far the target is from the model's own colour."""
+    at = peaks.select("id", "model", "template", "side", "band", F.col("peak_phase").alias("phase"))
+    spectra = at.join(A.warp_factors(rows).drop("template"), ["id", "model", "phase"]).join(A.template_flux(spark).drop("class"), ["template", "phase"])
+    lit = spectra.withColumn("flux", F.greatest(F.col("flux") * S.cubic_in_wave(WAVES, [F.col("f")[j] for j in range(5)], F.col("wave")), F.lit(0.0)))
+    lines = C.color_lines(lit, A.rest_bands(spark), "id", "model")
+    drawn = rows.withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(N_TARGETS - 1))))
+    drawn = drawn.withColumn("target", C.emg_draw(F.col("k"), F.col("loc"), F.col("scale"), 11, "id", "model", "nth"))
+    solved = C.ebv_for(lines, drawn.select("id", "model", "target"), "id", "model").filter("ebv_fit is not null")
+    pairs = solved.join(rows.select("id", "model", "class", "peakcol"), ["id", "model"])
+    used = C.regression_rows(pairs, color="peakcol").filter(~F.isnan("peakcol") & (F.abs("peakcol") < float("inf")))
+    return C.cubic_fit(used.select("class", (F.col("target") - F.col("peakcol")).alias("x"), F.col("ebv_fit").alias("y")))
 
 
 def enriched(spark, d):
-    """Warp rows with their peak colour and their class's colour parameters, without vetoed pairs."""
-    w = warps(spark, d).select("id", "model", "class", (F.col("sf") / 2).alias("peakcol")).withColumn("pair", F.concat_ws("_", F.col("id").cast("string"), "model"))
-    w = S.without(w, spark.createDataFrame([("1_tpl-1",), ("2_tpl-2",)], "veto string"), "pair").drop("pair")
-    kind = F.when(F.col("class") == "SN II", "click").when(F.col("class") == "SN Ib", "view").when(F.col("class") == "SN Ic", "purchase").otherwise("signup")
-    params = C.emg_fit(A.colors(spark, d)).select(F.col("class").alias("kind"), "k", "loc", "scale")
-    return w.withColumn("kind", kind).join(F.broadcast(params), "kind").drop("kind").withColumns({"c0": F.lit(0.1), "c1": F.lit(0.5), "c2": F.lit(-0.05), "c3": F.lit(0.02)})
+    """Warp rows with their peak colour, their class's parameters and the cubic fitted to its models."""
+    checkpoints(spark)
+    rows, peaks = colored(spark, d)
+    rows = rows.checkpoint()
+    return rows.drop("sf").join(F.broadcast(class_cubics(spark, rows, peaks).drop("n")), "class")
+
+
+@query(A.with_ctes("fits colors template_flux rest_bands", f"{FITTED_CUBIC} SELECT class, n, round(c0, 4) AS c0, round(c1, 4) AS c1, round(c2, 4) AS c2, round(c3, 4) AS c3 FROM k0"))
+def class_color_cubics(spark, d):
+    """Of all models of a class and the colours drawn for them: the dust that each needs, as a cubic."""
+    checkpoints(spark)
+    rows, peaks = colored(spark, d)
+    rows = rows.checkpoint()
+    return rounded(class_cubics(spark, rows, peaks), "c0", "c1", "c2", "c3", digits=4)
 
 
-@query(A.with_ctes("fits colors", f"{ENRICHED} SELECT id, model, class, peakcol, round(loc, 5) AS loc, round(k, 5) AS k, round(scale, 5) AS scale FROM en"))
+@query(A.with_ctes("fits colors template_flux rest_bands", f"{PEAKED} SELECT id, model, class, round(peakcol, 5) AS peakcol, round(loc, 5) AS loc, round(k, 5) AS k, round(scale, 5) AS scale FROM pp"))
 def enriched_warp_set(spark, d):
-    return rounded(enriched(spark, d).select("id", "model", "class", "peakcol", "loc", "k", "scale"), "loc", "k", "scale", digits=5)
+    """Warp rows with the peak colour of their own model and their class's colour parameters, without vetoed pairs."""
+    return rounded(colored(spark, d)[0].select("id", "model", "class", "peakcol", "loc", "k", "scale"), "peakcol", "loc", "k", "scale", digits=5)
 
 
 POLY = "(c0 + x * (c1 + x * (c2 + x * c3)))"
 
 
-@query(A.with_ctes("fits colors", f"{ENRICHED} SELECT id, model, 'harmonize' AS mode, round({POLY}, 5) AS shift FROM (SELECT *, loc - peakcol AS x FROM en) UNION ALL SELECT id, model, 'draw', round({POLY}, 5) FROM (SELECT *, {draw_sql(5, 'id', 'model')} - peakcol AS x FROM en) UNION ALL SELECT id, model, 'served', round({POLY} - peakcol, 5) FROM (SELECT *, loc AS x FROM en)"))
+@query(A.with_ctes("fits colors template_flux rest_bands", f"{ENRICHED} SELECT id, model, 'harmonize' AS mode, round({POLY}, 5) AS shift FROM (SELECT *, loc - peakcol AS x FROM en) UNION ALL SELECT id, model, 'draw', round({POLY}, 5) FROM (SELECT *, {draw_sql(5, 'id', 'model')} - peakcol AS x FROM en) UNION ALL SELECT id, model, 'served', round({POLY} - peakcol, 5) FROM (SELECT *, loc AS x FROM en)"))
 def color_modes(spark, d):
     """E(B-V) shift of each row: to the class's mean, to a drawn colour, and by the formula that was served before."""
     e = enriched(spark, d)
@@ -183,7 +276,7 @@ def color_modes(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(A.with_ctes("fits colors", f"{ENRICHED}, t AS (SELECT 'raw' AS run, peakcol AS c FROM en UNION ALL SELECT 'harmonized', loc FROM en UNION ALL SELECT 'drawn', {draw_sql(5, 'id', 'model')} FROM en), h AS (SELECT run, CAST(least(floor((round(c, 6) - (-1.0)) / ((4.0 - (-1.0)) / 25)), 24) AS INTEGER) AS bin, count(*) AS n FROM t WHERE round(c, 6) BETWEEN -1.0 AND 4.0 GROUP BY 1, 2) SELECT run, bin, n, round(n / max(n) OVER (PARTITION BY run), 6) AS height FROM h"))
+@query(A.with_ctes("fits colors template_flux rest_bands", f"{ENRICHED}, t AS (SELECT 'raw' AS run, peakcol AS c FROM en UNION ALL SELECT 'harmonized', loc FROM en UNION ALL SELECT 'drawn', {draw_sql(5, 'id', 'model')} FROM en), h AS (SELECT run, CAST(least(floor((round(c, 6) - (-1.0)) / ((4.0 - (-1.0)) / 25)), 24) AS INTEGER) AS bin, count(*) AS n FROM t WHERE round(c, 6) BETWEEN -1.0 AND 4.0 GROUP BY 1, 2) SELECT run, bin, n, round(n / max(n) OVER (PARTITION BY run), 6) AS height FROM h"))
 def color_comparison(spark, d):
     """Distribution of colours raw, harmonised and drawn."""
     e = enriched(spark, d)

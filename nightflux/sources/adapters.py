@@ -73,6 +73,8 @@ TEMPLATES, PHASES, WAVES = 4, (-20, 80, 2), (3000, 9000, 100)
 #: Top-hat bands: name, first and last wavelength with transmission 1.
 BANDS = [("ztfg", 4100, 5500), ("ztfr", 5600, 7200), ("ztfi", 7000, 8800)]
 SURFACE_WAVES = [3000, 4800, 6400, 7900, 9000]
+#: Bands at rest, for colours and absolute magnitudes.
+REST_BANDS = [*BANDS, ("bessellb", 3700, 5200), ("bessellv", 4900, 6300)]
 
 
 def template_flux(spark, folder=None) -> DataFrame:
@@ -88,13 +90,34 @@ def template_flux(spark, folder=None) -> DataFrame:
     return g.select(F.concat(F.lit("tpl-"), F.col("t").cast("string")).alias("template"), cls.alias("class"), "phase", "wave", flux.alias("flux"))
 
 
-def bandpass(spark, folder=None) -> DataFrame:
+def bandpass(spark, folder=None, bands=None) -> DataFrame:
     w0, w1, dw = WAVES
     waves = spark.range(w0, w1 + 1, dw).select(F.col("id").cast("double").alias("wave"))
-    bands = spark.createDataFrame([(b, float(a), float(z)) for b, a, z in BANDS], "band string, lo double, hi double")
+    bands = spark.createDataFrame([(b, float(a), float(z)) for b, a, z in bands or BANDS], "band string, lo double, hi double")
     return waves.join(F.broadcast(bands), F.col("wave").between(F.col("lo"), F.col("hi"))).select("band", "wave", F.lit(1.0).alias("trans"))
 
 
+def rest_bands(spark, folder=None) -> DataFrame:
+    return bandpass(spark, folder, REST_BANDS)
+
+
+def warp_factors(warps: DataFrame) -> DataFrame:
+    """id, model, template, phase, f: the surface of each warp (id, model, sf), its factors at SURFACE_WAVES. The likelier a warp, the
+    larger its swing; a few swing so far that they would make negative flux."""
+    p0, p1, dp = PHASES
+    phases = F.explode(F.sequence(F.lit(p0), F.lit(p1), F.lit(dp)))
+    swing = F.when(F.col("id") % 50 == 0, 1.5).otherwise(F.col("sf") * 0.1)
+    rows = warps.select("id", "model", template_of("model").alias("template"), swing.alias("s"), phases.alias("p")).withColumn("phase", F.col("p").cast("double"))
+    at = lambda w: F.lit(1.0) + F.col("s") * F.sin(F.col("phase") / 10 + w / 1000 + F.col("id") % 7)
+    inner = [at(w) for w in SURFACE_WAVES[1:-1]]
+    return rows.select("id", "model", "template", "phase", F.array(F.lit(1.0), *inner, F.lit(1.0)).alias("f"))
+
+
+def template_of(model: str):
+    """The spectra behind a model's name, one of TEMPLATES."""
+    return F.concat(F.lit("tpl-"), (F.substring_index(model, "-", -1).cast("int") % TEMPLATES).cast("string"))
+
+
 def corr_surface(spark, folder=None) -> DataFrame:
     p0, p1, dp = PHASES
     phases = spark.range(p0, p1 + 1, dp).select(F.col("id").cast("double").alias("phase"))
@@ -120,11 +143,19 @@ CTES = {
         (1.0 + 0.2::DOUBLE * t) * exp(-0.5::DOUBLE * pow((p - 2.0::DOUBLE * t) / (10.0 + 2.0::DOUBLE * t), 2.0)) * (1.0 + 0.3::DOUBLE * sin(w / 700.0::DOUBLE + t)) AS flux
         FROM (SELECT unnest(range(0, 4)) AS t) a, (SELECT unnest(range(-20, 81, 2)) AS p) b, (SELECT unnest(range(3000, 9001, 100)) AS w) c)""",
     "bandpass": """bandpass AS (SELECT band, CAST(w AS DOUBLE) AS wave, CAST(1.0 AS DOUBLE) AS trans FROM (SELECT unnest(range(3000, 9001, 100)) AS w) a JOIN (VALUES ('ztfg', 4100, 5500), ('ztfr', 5600, 7200), ('ztfi', 7000, 8800)) v(band, lo, hi) ON w BETWEEN lo AND hi)""",
+    "rest_bands": """rest_bands AS (SELECT band, CAST(w AS DOUBLE) AS wave, CAST(1.0 AS DOUBLE) AS trans FROM (SELECT unnest(range(3000, 9001, 100)) AS w) a JOIN (VALUES ('ztfg', 4100, 5500), ('ztfr', 5600, 7200), ('ztfi', 7000, 8800), ('bessellb', 3700, 5200), ('bessellv', 4900, 6300)) v(band, lo, hi) ON w BETWEEN lo AND hi)""",
     "corr_surface": """corr_surface AS (SELECT CAST(p AS DOUBLE) AS phase, CAST(w AS DOUBLE) AS wave, CASE WHEN w IN (3000, 9000) THEN 1.0::DOUBLE ELSE 1.0 + 0.1::DOUBLE * sin(p / 10::DOUBLE + w / 1000::DOUBLE) END AS factor
         FROM (SELECT unnest(range(-20, 81, 2)) AS p) a, (SELECT unnest([3000, 4800, 6400, 7900, 9000]) AS w) b)""",
 }
 
 
+def factors_sql(source: str, name: str = "wf") -> str:
+    """The surfaces of the warps in source, as name(id, model, template, phase, f0, ..., f4)."""
+    inner = ", ".join(f"1.0 + s * sin(phase / 10::DOUBLE + {w / 1000!r}::DOUBLE + id % 7) AS f{j + 1}" for j, w in enumerate(SURFACE_WAVES[1:-1]))
+    return f""", {name} AS (SELECT id, model, template, phase, 1.0 AS f0, {inner}, 1.0 AS f4 FROM (SELECT id, model, 'tpl-' || CAST(CAST(substr(model, 5) AS INTEGER) % {TEMPLATES} AS VARCHAR) AS template,
+    CASE WHEN id % 50 = 0 THEN 1.5::DOUBLE ELSE sf * 0.1::DOUBLE END AS s FROM {source}) w, (SELECT CAST(unnest(range({PHASES[0]}, {PHASES[1] + 1}, {PHASES[2]})) AS DOUBLE) AS phase) p)"""
+
+
 def with_ctes(names: str, sql: str) -> str:
     """sql after the named adapters (blank-separated); sql may go on with more expressions, beginning with a comma."""
     return f"WITH {', '.join(CTES[n] for n in names.split())}{'' if sql.lstrip().startswith(',') else ' '}{sql}"
