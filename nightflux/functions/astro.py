@@ -41,10 +41,14 @@ def dust_ratio(wave: Column, r_v: float = 3.1) -> Column:
 
 
 def dust_sql(wave: str, r_v: float = 3.1) -> str:
-    """The optical and infrared part as SQL (no wave below 3030 Angstrom)."""
-    y = f"(10000.0::DOUBLE / {wave} - 1.82::DOUBLE)"
+    """The law as SQL, down to 1250 Angstrom."""
+    x = f"(10000.0::DOUBLE / {wave})"
+    y = f"({x} - 1.82::DOUBLE)"
+    u = f"greatest({x} - 5.9::DOUBLE, 0)"
     poly = lambda cs: " + ".join(f"({c!r})::DOUBLE * pow({y}, {i})" for i, c in enumerate(cs))
-    return f"CASE WHEN 10000.0::DOUBLE / {wave} < 1.1 THEN pow(10000.0::DOUBLE / {wave}, 1.61) * {0.574 - 0.527 / r_v!r} ELSE ({poly(OPTICAL_A)}) + ({poly(OPTICAL_B)}) / {r_v!r} END"
+    ua = f"1.752::DOUBLE - 0.316::DOUBLE * {x} - 0.104::DOUBLE / (pow({x} - 4.67::DOUBLE, 2) + 0.341::DOUBLE) - 0.04473::DOUBLE * pow({u}, 2) - 0.009779::DOUBLE * pow({u}, 3)"
+    ub = f"-3.090::DOUBLE + 1.825::DOUBLE * {x} + 1.206::DOUBLE / (pow({x} - 4.62::DOUBLE, 2) + 0.263::DOUBLE) + 0.2130::DOUBLE * pow({u}, 2) + 0.1207::DOUBLE * pow({u}, 3)"
+    return f"CASE WHEN {x} < 1.1 THEN pow({x}, 1.61) * {0.574 - 0.527 / r_v!r} WHEN {x} < 3.3 THEN ({poly(OPTICAL_A)}) + ({poly(OPTICAL_B)}) / {r_v!r} ELSE ({ua}) + ({ub}) / {r_v!r}::DOUBLE END"
 
 
 def extinction(wave: Column, a_v: Column, r_v: float = 3.1) -> Column:

@@ -44,9 +44,10 @@ def light_sums(points: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def node_arrays(fluxes: DataFrame, *keys: str) -> DataFrame:
-    """keys and nodes: node -> flux, of fluxes by phase."""
+    """keys, from_node and nodes: fluxes by phase as an array from the first node on; phases have no gap."""
     node = F.round((F.col("phase") - S.PHASE_0) / S.PHASE_STEP).cast("int")
-    return fluxes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(node.alias("node"), "flux"))).alias("nodes"))
+    rows = fluxes.groupBy(*keys).agg(F.min(node).alias("from_node"), F.array_sort(F.collect_list(F.struct(node.alias("node"), "flux"))).alias("nodes"))
+    return rows.withColumn("nodes", F.transform("nodes", lambda x: x["flux"]))
 
 
 def _sum(value) -> Column:
@@ -55,12 +56,12 @@ def _sum(value) -> Column:
 
 def band_sums(both: DataFrame) -> DataFrame:
     """both (terms, nodes) with up, down and smm: sum(f m / e2) of positive and of negative fluxes, and sum(m m / e2)."""
-    n = lambda t: F.coalesce(F.element_at("nodes", t["node"]), F.lit(0.0))
-    following = lambda t: F.coalesce(F.element_at("nodes", t["node"] + 1), F.lit(0.0))
+    n = lambda t: F.coalesce(F.get("nodes", t["node"] - F.col("from_node")), F.lit(0.0))
+    following = lambda t: F.coalesce(F.get("nodes", t["node"] - F.col("from_node") + 1), F.lit(0.0))
     return both.withColumns({
         "up": _sum(lambda t: n(t) * t["up"]), "down": _sum(lambda t: n(t) * t["down"]),
         "smm": _sum(lambda t: n(t) * (n(t) * t["d"] + following(t) * t["o"] * 2)),
-    }).drop("terms", "nodes")
+    }).drop("terms", "nodes", "from_node")
 
 
 def fits_of(pairs: DataFrame, span: DataFrame, light: DataFrame, models: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -105,7 +106,7 @@ def best_warped(points: DataFrame, pairs: DataFrame, base_fluxes: DataFrame, rea
     base = span.select("object_id", "z").join(light, "object_id").join(node_arrays(base_fluxes, "template", "z", "ebv", "band"), ["z", "band"])
     base = keep(band_sums(base).groupBy(*at).agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("smm").alias("smm")).filter("smm > 0"))
     reached = keep(pairs.select("object_id", *keys).join(reach, keys))
-    probes = best_per(reached, ["object_id", "template"], F.col("hi") / F.col("lo"), *[k for k in keys if k != "template"]).select("object_id", *keys)
+    probes = best_per(reached, ["object_id", "template"], F.coalesce(F.try_divide("hi", "lo"), F.lit(float("inf"))), *[k for k in keys if k != "template"]).select("object_id", *keys)
     least = keep(fits_of(probes, span, light, models, keys, ["t0_node", "ebv"]).groupBy("object_id").agg(F.min("chisq").alias("least")))
     limit = span.select("object_id", "sff").join(least, "object_id", "left")  # without a probe that fits nothing is known
     top = F.greatest(F.col("hi") * F.col("up") + F.col("lo") * F.col("down"), F.lit(0.0))

@@ -119,10 +119,11 @@ def warped(spectra: DataFrame, surface: DataFrame, waves: list[float], ebv: floa
     return _times(out, cubic_in_wave(waves, [F.col(f"f{i}") for i in range(len(waves))], F.col("wave")), ebv, r_v).drop(*(f"f{i}" for i in range(len(waves))))
 
 
-def _times(spectra: DataFrame, factor, ebv: float | None, r_v: float) -> DataFrame:
+def _times(spectra: DataFrame, factor, ebv: float | str | None, r_v: float) -> DataFrame:
     flux = F.col("flux") * factor
     if ebv is not None:
-        flux = flux * extinction(F.col("wave"), F.lit(ebv * r_v), r_v)
+        a_v = F.lit(ebv * r_v) if not isinstance(ebv, str) else F.coalesce(ebv, F.lit(0.0)) * r_v
+        flux = flux * extinction(F.col("wave"), a_v, r_v)
     return spectra.withColumns({"factor": factor, "flux": F.greatest(flux, F.lit(0.0))})
 
 
@@ -188,15 +189,28 @@ def wave_weights(waves: list[float]) -> np.ndarray:
     return powers(x) @ np.linalg.inv(powers(w))
 
 
+def warped_rows(spectra: DataFrame, factors: DataFrame, waves: list[float], ebv: str | None = None, r_v: float = 3.1) -> DataFrame:
+    """Rows of factors (template, phase, f and any keys) with wave and flux of their warped spectrum, behind dust of the E(B-V) in the
+    column ebv (null: none); negative fluxes become 0."""
+    out = factors.join(weighed(spectra, waves), ["template", "phase"])
+    factor = sum((F.col("f")[j] * F.col("weights")[j] for j in range(len(waves))), F.lit(0.0))
+    return _times(out, factor, ebv, r_v).drop("factor", "f", "weights")
+
+
+def weighed(spectra: DataFrame, waves: list[float]) -> DataFrame:
+    """spectra within waves, with the weights of the nodes at each wavelength: a table of one row a common wavelength."""
+    each = [(waves[0] + i * WAVE_STEP, [float(v) for v in row]) for i, row in enumerate(wave_weights(waves))]
+    return spectra.join(F.broadcast(spectra.sparkSession.createDataFrame(each, "wave double, weights array<double>")), "wave")
+
+
 def basis_flux(spectra: DataFrame, bandpass: DataFrame, shifts: DataFrame, waves: list[float], r_v: float = 3.1) -> DataFrame:
     """template, z, ebv, band, phase, b: the band flux that each node of a surface with these wavelengths gives to the template.
 
     A warped spectrum is linear in its factors as long as none of it is negative, and so is its flux in a band: it's the sum of
     b over the nodes, times their factors. So a template's spectra are integrated once, whatever the number of surfaces.
     """
-    parts = [F.struct(F.lit(j).alias("j"), v.alias("v")) for j, v in enumerate(cubic_in_wave(waves, [F.lit(float(i == j)) for i in range(len(waves))], F.col("wave")) for j in range(len(waves)))]
-    each = spectra.filter(F.col("wave").between(waves[0], waves[-1])).select("template", "phase", "wave", "flux", F.explode(F.array(*parts)).alias("p"))
-    split = each.select("template", F.col("p.j").alias("j"), "phase", "wave", (F.col("flux") * F.col("p.v")).alias("flux"))
+    each = weighed(spectra, waves).select("template", "phase", "wave", "flux", F.posexplode("weights").alias("j", "weight"))
+    split = each.select("template", "j", "phase", "wave", (F.col("flux") * F.col("weight")).alias("flux"))
     flux = band_flux(split, bandpass, shifts, r_v, keys=("template", "j"))
     rows = flux.groupBy("template", "z", "ebv", "band", "phase").agg(F.array_sort(F.collect_list(F.struct("j", "flux"))).alias("b"))  # a row a node
     return rows.withColumn("b", F.transform("b", lambda x: x["flux"]))
@@ -215,6 +229,5 @@ def warped_flux(spectra: DataFrame, factors: DataFrame, bandpass: DataFrame, shi
     b = basis_flux(spectra, bandpass, shifts, waves, r_v)
     total = sum((F.col("f")[j] * F.col("b")[j] for j in range(len(waves))), F.lit(0.0))
     near = factors.join(far, own, "left_anti").join(b, ["template", "phase"]).select(*own, "z", "ebv", "band", "phase", total.alias("flux"))
-    wide = factors.join(far, own, "left_semi").join(spectra.filter(F.col("wave").between(waves[0], waves[-1])), ["template", "phase"])
-    cut = _times(wide, cubic_in_wave(waves, [F.col("f")[j] for j in range(len(waves))], F.col("wave")), None, r_v).select(*own, "phase", "wave", "flux")
+    cut = warped_rows(spectra, factors.join(far, own, "left_semi"), waves).select(*own, "phase", "wave", "flux")
     return near.unionByName(band_flux(cut, bandpass, shifts, r_v, keys=tuple(own)).select(near.columns))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightflux.functions.astro import uniform
 
+from . import photometry as P
 from . import selection as S
+from . import synphot as Syn
 
 
 def warp_set(refits: DataFrame, key: str = "id", wanted: int = 5, good: float = 0.5, least: float = 0.01, prefilter: bool = True) -> DataFrame:
@@ -71,11 +74,34 @@ def drawn_evenly(objects: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return ranked.drop("total").join(picks, "rank").select(key, "draw")
 
 
-def ranked_models(fits: DataFrame, max_chidof: float = 100, min_peakdof: int = 3, which: str = "full", per: str = "object_id", chidof=("chidof", "peakchidof"), peakdof: str = "peakdof") -> DataFrame:
+def ranked_models(fits: DataFrame, max_chidof: float = 100, min_peakdof: int = 3, which: str = "full", per: str = "object_id", chidof=("chidof", "peakchidof"), peakdof: str = "peakdof", ties=("model",)) -> DataFrame:
     """The best warped model of each object (or of each base or template) by chi2 per degree of freedom, over all points
     or those around the peak."""
     rank = F.col(chidof[0] if which == "full" else chidof[1])
-    return S.best_per(fits.withColumn("rankchi", rank).filter((F.col("rankchi") < max_chidof) & (F.col(peakdof) >= min_peakdof)), [per], "rankchi", "model")
+    return S.best_per(fits.withColumn("rankchi", rank).filter((F.col("rankchi") < max_chidof) & (F.col(peakdof) >= min_peakdof)), [per], "rankchi", *ties)
+
+
+def evaluated(points: DataFrame, fits: DataFrame, nodes: DataFrame, keys: list[str], phase_range: float = 60.0) -> DataFrame:
+    """fits (object_id, keys, z, t0, ebv, amplitude, chisq, ndof) with chidof, and peakndof and peakchidof of the points between the
+    model's first phase and phase_range days later. nodes: of the models, as photometry at a phase needs them."""
+    own = ["object_id", *keys]
+    p = points.join(fits.select(*own, "t0", "ebv", "amplitude"), "object_id").withColumn("phase", P.phase())
+    p = Syn.at_phase(p, nodes, *keys, "z", "ebv", "band").withColumn("model_flux", F.col("amplitude") * F.col("model_flux"))
+    start = F.col("t0") + Syn.PHASE_0 * (1 + F.col("z"))
+    p = p.withColumns({"t_start": start, "t_end": start + phase_range})
+    inside = p.filter("time between t_start and t_end").groupBy(*own).agg((F.count("*") - 3).alias("peakndof"))
+    out = fits.withColumn("chidof", F.col("chisq") / F.col("ndof")).join(inside, own, "left").join(P.peak_chi2(p, *own), own, "left")
+    return out.withColumn("peakndof", F.coalesce("peakndof", F.lit(-3).cast("long"))).withColumn("peakchidof", F.when(F.col("peakndof") > 0, F.col("peakchi") / F.col("peakndof")))
+
+
+def reach(factors: DataFrame, waves: list[float], *keys: str) -> DataFrame:
+    """keys, lo, hi: bounds of the ratio of a warped spectrum to its template's, from the factors at the nodes alone: a cubic
+    leaves 1 by at most the nodes' distances from 1, each times the most that it weighs at any wavelength."""
+    each = np.abs(Syn.wave_weights(waves))
+    far = F.array(*(F.abs(F.col("f")[j] - 1) for j in range(len(waves))))
+    rows = factors.withColumn("d", far).groupBy(*keys).agg(*(F.max(F.col("d")[j]).alias(f"d{j}") for j in range(len(waves))))
+    most = F.greatest(*(sum((F.col(f"d{j}") * float(row[j]) for j in range(len(waves))), F.lit(0.0)) for row in each))
+    return rows.select(*keys, F.greatest(1 - most * (1 + 1e-12), F.lit(0.0)).alias("lo"), (1 + most * (1 + 1e-12)).alias("hi"))
 
 
 def usage(best: DataFrame, column: str) -> DataFrame:

@@ -24,9 +24,9 @@ def light_curves(spark, d):
     return rounded(out.select("object_id", "band", "time", "flux", "fluxerr", "type", "redshift"), "time", "fluxerr", digits=8)
 
 
-@query("SELECT wave, round(" + dust_sql("wave") + ", 9) AS ratio, round(" + dust_sql("wave", 2.5) + ", 9) AS ratio25 FROM (SELECT DISTINCT 3100.0::DOUBLE + p_partkey % 9000 AS wave FROM part)")
+@query("SELECT wave, round(" + dust_sql("wave") + ", 9) AS ratio, round(" + dust_sql("wave", 2.5) + ", 9) AS ratio25 FROM (SELECT DISTINCT 1300.0::DOUBLE + p_partkey * 7 % 11000 AS wave FROM part)")
 def dust_law(spark, d):
-    w = A.table(spark, d, "part").select((F.lit(3100.0) + F.col("p_partkey") % 9000).alias("wave")).distinct()
+    w = A.table(spark, d, "part").select((F.lit(1300.0) + F.col("p_partkey") * 7 % 11000).alias("wave")).distinct()
     return w.select("wave", F.round(dust_ratio(F.col("wave")), 9).alias("ratio"), F.round(dust_ratio(F.col("wave"), 2.5), 9).alias("ratio25"))
 
 

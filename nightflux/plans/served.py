@@ -6,22 +6,156 @@ from pyspark.sql import functions as F
 
 from nightflux.functions.astro import dust_sql
 from nightflux.operators import colors as C
+from nightflux.operators import fit as Fit
 from nightflux.operators import photometry as L
 from nightflux.operators import search as G
 from nightflux.operators import synphot as S
+from nightflux.operators import taxonomy as T
 from nightflux.operators import warpset as W
 from nightflux.sources import adapters as A
 
-from .colors import DREW, ENRICHED, POLY, enriched
-from .models import BANDS, EBV, POINTS, WAVED, checkpoints, flux_sql, points, redshifts
-from .models import cubic_sql
+from .classes import hierarchy
+from .colors import ENRICHED, FACTOR, POLY, WAVES, WEIGHTS, draw_sql, enriched
+from .models import POINTS, checkpoints, flux_sql, fluxes, points
 from .registry import query, rounded
-from .warpsets import SAMPLE, SEED, warps
+from .warpsets import SEED, WARPS, sample_sql, warps
 
-WAVES = [float(w) for w in A.SURFACE_WAVES]
-SERVED = f"{SAMPLE}, sv AS (SELECT draw, id, nth, model, class, z, sf FROM u WHERE u >= hi - p AND (u < hi OR last)), sm AS (SELECT DISTINCT id, model, class, sf FROM sv){A.factors_sql('sm')}"
+# ---------------------------------------------------------------- spectra and models of drawn rows
 
+DRAWS, MODES = 200, ("none", "harmonize", "draw")
+RECOLORED = f"""{ENRICHED}{sample_sql(DRAWS)[len(WARPS):]}, sv AS (SELECT draw, nth, id, model, z, sf FROM u WHERE u >= hi - p AND (u < hi OR last)),
+    mx AS (SELECT sv.*, mode, c0, c1, c2, c3, CASE mode WHEN 'harmonize' THEN loc WHEN 'draw' THEN {draw_sql(SEED + 2, 'id', 'model')} END - peakcol AS x FROM sv JOIN (SELECT id, model, loc, scale, k, peakcol, c0, c1, c2, c3 FROM en) e USING (id, model), (SELECT unnest(['none', 'harmonize', 'draw']) AS mode)),
+    mv AS (SELECT draw, nth, id, model, z, sf, mode, {POLY} AS shift FROM mx), sm AS (SELECT DISTINCT id, model, sf FROM mv){A.factors_sql('sm', 'fs')},
+    sp AS (SELECT mv.mode, draw, nth, mv.id, mv.model, z, t.phase, t.wave, greatest(t.flux * ({FACTOR}) * CASE WHEN shift IS NULL THEN 1 ELSE pow(10.0, -0.4::DOUBLE * (shift * 3.1::DOUBLE) * ({dust_sql('t.wave')})) END, 0) AS flux
+    FROM mv JOIN fs ON fs.id = mv.id AND fs.model = mv.model JOIN template_flux t ON t.template = fs.template AND t.phase = fs.phase JOIN ww ON ww.wave = t.wave)"""
+RECOLORED_TABLES = "fits colors template_flux rest_bands"
 
-def served(spark, d):
-    """200 draws of objects with replacement, two warps of each."""
-    return W.serve(warps(spark, d), 200, 2, SEED)
+
+def recolored(spark, d):
+    """Drawn rows (200 objects with replacement, two warps of each) with the dust of each colour mode; only what is drawn gets a model."""
+    checkpoints(spark)
+    own = enriched(spark, d).drop("class")
+    rows = W.serve(warps(spark, d), DRAWS, 2, SEED).select("draw", "nth", "id", "model", "z", "sf").join(own, ["id", "model"]).checkpoint()
+    parts = [C.ebv_shift(rows, m, SEED + 2).select(F.lit(m).alias("mode"), "draw", "nth", "id", "model", "z", "sf", F.col("samplecorr_ebv").alias("shift")) for m in MODES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def row_spectra(spark, rows, *keys):
+    factors = A.warp_factors(rows.select("id", "model", "sf").distinct())
+    return S.warped_rows(A.template_flux(spark).drop("class"), rows.select(*keys, "id", "model", "shift").join(factors, ["id", "model"]), WAVES, "shift")
+
+
+@query(A.with_ctes(RECOLORED_TABLES, f"{RECOLORED} SELECT mode, draw, nth, id, model, phase, count(*) AS n, round(sum(flux), 6) AS total, round(sum(flux * wave) / sum(flux), 4) AS mean_wave FROM sp WHERE flux > 0 GROUP BY ALL"))
+def served_spectra(spark, d):
+    """Warped spectra of drawn rows as they are, harmonised and with drawn colours; by phase their total and mean wavelength."""
+    rows = row_spectra(spark, recolored(spark, d), "mode", "draw", "nth").filter("flux > 0")
+    by = rows.groupBy("mode", "draw", "nth", "id", "model", "phase").agg(F.count("*").alias("n"), F.sum("flux").alias("t"), F.sum(F.col("flux") * F.col("wave")).alias("w"))
+    return by.select("mode", "draw", "nth", "id", "model", "phase", "n", F.round("t", 6).alias("total"), F.round(F.col("w") / F.col("t"), 4).alias("mean_wave"))
+
+
+SEEN = """, sn AS (SELECT *, lead(flux) OVER (PARTITION BY draw, nth, phase ORDER BY wave) AS nx, CAST(round((wave - 3000) / 100) AS INTEGER) AS node FROM sp WHERE mode = 'draw'),
+    sl AS (SELECT draw, nth, band, trans, wave AS seen, wave / (1 + z) AS rest, z, (id % 4) * 0.1::DOUBLE AS host, (draw % 5) * 0.02::DOUBLE AS mw FROM bandpass, (SELECT DISTINCT draw, nth, id, z FROM sp WHERE mode = 'draw')),
+    sx AS (SELECT *, CAST(floor((rest - 3000) / 100) AS INTEGER) AS node, (rest - 3000) / 100 - floor((rest - 3000) / 100) AS part FROM sl)"""
+SEEN += f", sa AS (SELECT band, sum({S.AB!r} * {S.LIGHT_A!r} / (wave * wave) * wave * trans * 100) AS ab FROM bandpass GROUP BY band)"
+DUSTY = f"pow(10.0, -0.4::DOUBLE * (host * 3.1::DOUBLE) * ({dust_sql('rest')})) * pow(10.0, -0.4::DOUBLE * (mw * 3.1::DOUBLE) * ({dust_sql('seen')}))"
+
+
+@query(A.with_ctes(f"{RECOLORED_TABLES} bandpass", f"{RECOLORED}{SEEN} SELECT sn.draw, sn.nth, sx.band, phase, round(sum((flux + part * (coalesce(nx, flux) - flux)) / (1 + sx.z) * {DUSTY} * trans * seen * 100) / max(ab) * 1e10 / 1e18, 7) AS flux FROM sn JOIN sx ON sn.draw = sx.draw AND sn.nth = sx.nth AND sn.node = sx.node JOIN sa ON sa.band = sx.band GROUP BY sn.draw, sn.nth, sx.band, phase"))
+def seen_models(spark, d):
+    """Models of drawn rows with drawn colours, each at its own redshift, behind its own host's dust and the foreground's."""
+    rows = recolored(spark, d).filter("mode = 'draw'")
+    models = rows.select("draw", "nth", "z", ((F.col("id") % 4) * F.lit(0.1)).alias("hostebv"), ((F.col("draw") % 5) * F.lit(0.02)).alias("mwebv"))
+    flux = S.seen_flux(row_spectra(spark, rows, "draw", "nth").select("draw", "nth", "phase", "wave", "flux"), models, A.bandpass(spark), "draw", "nth")
+    return flux.select("draw", "nth", "band", "phase", F.round(F.col("flux") / 1e18, 7).alias("flux"))
+
+
+# ---------------------------------------------------------------- warped models and light curves
+
+#: Draws of a set that is fitted to objects.
+TRIED = 60
+MODELS = f"""{sample_sql(TRIED)}, sv AS (SELECT draw, nth, id, model, class, sf FROM u WHERE nth = 0 AND u >= hi - p AND (u < hi OR last)), sm AS (SELECT DISTINCT id, model, class, sf FROM sv){A.factors_sql('sm', 'fs')}{WEIGHTS},
+    msp AS (SELECT id, model, t.phase, t.wave, greatest(t.flux * ({FACTOR}), 0) AS flux FROM fs JOIN template_flux t ON t.template = fs.template AND t.phase = fs.phase JOIN ww ON ww.wave = t.wave){hierarchy(T.LEVELS)}{POINTS},
+    fp AS (SELECT * EXCLUDE (fluxerr), sqrt(mean * mean + fluxerr * fluxerr) AS fluxerr FROM (SELECT *, avg(flux) OVER (PARTITION BY object_id) AS mean FROM pts)),
+    pr AS (SELECT o.object_id, m.id, m.model FROM (SELECT DISTINCT object_id, type_w FROM l2 WHERE object_id IN (SELECT object_id FROM pts)) o JOIN sm m ON o.type_w = CASE m.class WHEN 'SN II' THEN 'SN II (w)' WHEN 'SN Ia' THEN 'SN Ia (w)' ELSE 'SN Ib/c (w)' END WHERE m.id <> o.object_id)
+    {flux_sql('msp', zs='SELECT DISTINCT z FROM pts', keys='id, model')}, nd AS (SELECT id, model, z, ebv, band, CAST(round((phase + 20) / 2) AS INTEGER) AS node, flux AS nf, lead(flux) OVER (PARTITION BY id, model, z, ebv, band ORDER BY phase) AS nn FROM bf),
+    span AS (SELECT object_id, min(time) AS t_min, max(time) AS t_max, sum(flux * flux / (fluxerr * fluxerr)) AS sff, count(*) AS n FROM fp GROUP BY 1),
+    t0s AS (SELECT object_id, k, t_min - 5 + (t_max + 5 - (t_min - 5)) * k / 14 AS t0 FROM span, (SELECT unnest(range(0, 15)) AS k)),
+    rr AS (SELECT object_id, z, band, flux, fluxerr, k, t0, ((time - t0) / (1 + z) + 20) / 2 AS x FROM fp JOIN t0s USING (object_id)),
+    mm AS (SELECT rr.object_id, nd.id, nd.model, k, t0, ebv, flux, fluxerr, nf + (x - floor(x)) * (coalesce(nn, CASE WHEN x = floor(x) THEN nf END, 0) - nf) AS m FROM rr JOIN pr ON pr.object_id = rr.object_id JOIN nd ON nd.id = pr.id AND nd.model = pr.model AND rr.z = nd.z AND rr.band = nd.band AND nd.node = CAST(floor(x) AS INTEGER)),
+    ss AS (SELECT object_id, id, model, k, t0, ebv, sum(flux * m / (fluxerr * fluxerr)) AS sfm, sum(m * m / (fluxerr * fluxerr)) AS smm FROM mm GROUP BY ALL),
+    ff AS (SELECT *, sfm / smm AS amplitude, sff - sfm / smm * sfm AS chisq FROM ss JOIN span USING (object_id) WHERE smm > 0 AND sfm > 0),
+    fit AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, id, model ORDER BY round(chisq, 4), k, ebv) AS nth FROM ff) WHERE nth = 1)"""
+MODEL_TABLES = "fits catalog photometry template_flux bandpass"
+KEYS = ["id", "model", "template"]
+
+
+def tried(spark, d):
+    """The drawn warps, and every pair of an object and one of its wide class that was not made from it."""
+    own = W.serve(warps(spark, d), TRIED, 1, SEED)
+    own = T.add_classes(own.select("id", "model", "class", "sf").distinct(), "class").withColumn("template", A.template_of("model"))
+    objects = T.add_classes(A.catalog(spark, d)).select("object_id", F.col("type_w").alias("kind"))
+    objects = objects.join(points(spark, d).select("object_id").distinct(), "object_id", "left_semi")
+    pairs = W.leave_one_out(objects.withColumnRenamed("kind", "class"), own.select("id", "model", "template", F.col("class_w").alias("class")))
+    return own, pairs.select("object_id", F.col("base_id").alias("id"), "model", "template")
+
+
+def floored(spark, d):
+    return L.error_floor(points(spark, d), 1.0)
+
+
+def shifts_of(p):
+    return Fit.shifts(p.sparkSession, p.select("z").distinct())
+
+
+def model_fluxes(spark, own, p):
+    return S.warped_flux(A.template_flux(spark).drop("class"), A.warp_factors(own), A.bandpass(spark), shifts_of(p), WAVES, "id", "model")
+
+
+@query(A.with_ctes(MODEL_TABLES, f"{MODELS}, bw AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY round(chisq / (n - 3), 6), id, model) AS o FROM fit WHERE n > 3), sig AS (SELECT object_id, count_if(abs(flux) / fluxerr >= 3) AS ns FROM fp GROUP BY 1) SELECT object_id, id, model, k::INTEGER AS t0_node, ebv, round(chisq / (n - 3), 4) AS chidof FROM bw JOIN sig USING (object_id) WHERE o = 1 AND n - 3 >= ns - 3"))
+def best_warped_model(spark, d):
+    """The served warped model that fits each object best, of those whose fit uses all significant points; most pairs are
+    never fitted (see search.best_warped)."""
+    checkpoints(spark)
+    p = floored(spark, d).checkpoint()
+    own, pairs = tried(spark, d)
+    own = own.checkpoint()
+    best = G.best_warped(p, pairs, fluxes(spark, d), W.reach(A.warp_factors(own), WAVES, *KEYS), model_fluxes(spark, own, p), KEYS)
+    sig = p.groupBy("object_id").agg(F.count_if(F.abs("flux") / F.col("fluxerr") >= 3).alias("n_significant"))
+    kept = best.join(sig, "object_id").filter("ndof >= n_significant - 3")
+    return kept.select("object_id", "id", "model", "t0_node", "ebv", F.round("chidof", 4).alias("chidof"))
+
+
+RANKED_OUT = f"""{MODELS}, pm AS (SELECT fit.object_id, fit.id, fit.model, chisq, fit.n, amplitude, t0, fit.ebv, fp.z, fp.band, time, flux, fluxerr, t0 - 20 * (1 + fp.z) AS t_start, ((time - t0) / (1 + fp.z) + 20) / 2 AS x FROM fit JOIN fp USING (object_id)),
+    pv AS (SELECT pm.*, coalesce(nf + (x - floor(x)) * (coalesce(nn, CASE WHEN x = floor(x) THEN nf END) - nf), 0) * amplitude AS mf FROM pm LEFT JOIN nd ON nd.id = pm.id AND nd.model = pm.model AND nd.z = pm.z AND nd.ebv = pm.ebv AND nd.band = pm.band AND nd.node = CAST(floor(x) AS INTEGER)),
+    pe AS (SELECT object_id, id, model, max(chisq) / (max(n) - 3) AS chidof, (count_if(time BETWEEN t_start AND t_start + 60) - 3)::BIGINT AS peakndof, sum(pow(flux - mf, 2) / (pow(0.1::DOUBLE * flux, 2) + fluxerr * fluxerr)) FILTER (time BETWEEN t_start AND t_start + 60) AS peakchi FROM pv WHERE n > 3 GROUP BY 1, 2, 3),
+    rk AS (SELECT *, 'full' AS which, round(chidof, 6) AS rankchi FROM pe UNION ALL SELECT *, 'peak', round(peakchi / peakndof, 6) FROM pe WHERE peakndof > 0),
+    rb AS (SELECT *, row_number() OVER (PARTITION BY object_id, which ORDER BY rankchi, id, model) AS o FROM rk WHERE rankchi < 100 AND peakndof >= 3)"""
+
+
+def without_own(spark, d):
+    """All pairs of objects and warped models that were not made from them, fitted, with chi2 over all points and around the peak."""
+    checkpoints(spark)
+    p = floored(spark, d).checkpoint()
+    own, pairs = tried(spark, d)
+    own = own.checkpoint()
+    flux = model_fluxes(spark, own, p).checkpoint()
+    fits = G.fit_all(p, pairs, flux, KEYS).filter("ndof > 0").checkpoint()
+    return W.evaluated(p, fits, S.phase_nodes(flux, *KEYS, "z", "ebv", "band"), KEYS)
+
+
+def best_without_own(spark, d):
+    e = without_own(spark, d).checkpoint()
+    each = [W.ranked_models(e.withColumn("rank_by", F.round(c, 6)), which="full", per="object_id", chidof=("rank_by", ""), peakdof="peakndof", ties=("id", "model")).withColumn("which", F.lit(n)) for n, c in (("full", "chidof"), ("peak", "peakchidof"))]
+    return each[0].unionByName(each[1])
+
+
+@query(A.with_ctes(MODEL_TABLES, f"{RANKED_OUT} SELECT object_id, which, id, model, round(rankchi, 4) AS rankchi, peakndof FROM rb WHERE o = 1"))
+def leave_one_out_fit(spark, d):
+    """The best model of each object that was not made from it, ranked over all points and over those around the peak."""
+    return best_without_own(spark, d).select("object_id", "which", "id", "model", F.round("rankchi", 4).alias("rankchi"), "peakndof")
+
+
+@query(A.with_ctes(MODEL_TABLES, f"{RANKED_OUT} SELECT which, 'tpl-' || CAST(CAST(substr(model, 5) AS INTEGER) % 4 AS VARCHAR) AS template, count(*) AS n, count(DISTINCT id) AS bases FROM rb WHERE o = 1 GROUP BY 1, 2"))
+def leave_one_out_usage(spark, d):
+    """Which templates those models come from, and from how many bases."""
+    return best_without_own(spark, d).groupBy("which", "template").agg(F.count("*").alias("n"), F.count_distinct("id").alias("bases"))

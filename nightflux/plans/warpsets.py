@@ -66,12 +66,16 @@ def quality_filter(spark, d):
 
 
 SEED = 7
-SAMPLE = f"""{WARPS}, o AS (SELECT DISTINCT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 256 AS block FROM ws), k AS (SELECT id, row_number() OVER (ORDER BY block, id) - 1 AS rank, count(*) OVER () AS total FROM o),
-    dr AS (SELECT draw, CAST(floor({uniform_sql(SEED, 'draw')} * (SELECT max(total) FROM k)) AS BIGINT) AS rank FROM (SELECT unnest(range(0, 200))::INTEGER AS draw)), b AS (SELECT draw, id FROM dr JOIN k USING (rank)),
+def sample_sql(draws: int) -> str:
+    return f"""{WARPS}, o AS (SELECT DISTINCT id, CAST('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 256 AS block FROM ws), k AS (SELECT id, row_number() OVER (ORDER BY block, id) - 1 AS rank, count(*) OVER () AS total FROM o),
+    dr AS (SELECT draw, CAST(floor({uniform_sql(SEED, 'draw')} * (SELECT max(total) FROM k)) AS BIGINT) AS rank FROM (SELECT unnest(range(0, {draws}))::INTEGER AS draw)), b AS (SELECT draw, id FROM dr JOIN k USING (rank)),
     q AS (SELECT *, draw_prob / sum(draw_prob) OVER (PARTITION BY draw, id) AS p FROM b JOIN ws USING (id)), h AS (SELECT *, sum(p) OVER (PARTITION BY draw, id ORDER BY model) AS hi, lead(model) OVER (PARTITION BY draw, id ORDER BY model) IS NULL AS last FROM q),
     u AS (SELECT *, {uniform_sql(SEED + 1, 'draw', 'id', 'nth')} AS u FROM (SELECT *, unnest([0, 1])::INTEGER AS nth FROM h))"""
 
 
+SAMPLE = sample_sql(200)
+
+
 @query(A.with_ctes("fits", f"{SAMPLE} SELECT draw, id, nth, model FROM u WHERE u >= hi - p AND (u < hi OR last)"))
 def served_sample(spark, d):
     """200 draws of objects with replacement, two templates for each by their probability."""
