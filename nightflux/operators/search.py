@@ -7,11 +7,11 @@ times N: these terms are summed once for each object, start time and band, and a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import synphot as S
-from .fit import MARGIN, T0_NODES
+from .fit import EBV_NODES, MARGIN, PARTS, T0_NODES
 from .selection import best_per
 
 
@@ -64,19 +64,73 @@ def band_sums(both: DataFrame) -> DataFrame:
     }).drop("terms", "nodes", "from_node")
 
 
-def fits_of(pairs: DataFrame, span: DataFrame, light: DataFrame, models: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The best node of each of pairs (object_id, keys, and what is to be tried: nothing, or t0_node and ebv): z, t0_node, t0, ebv,
-    amplitude, chisq, ndof. models: keys, z, ebv, band, nodes."""
+def sums_of(pairs: DataFrame, span: DataFrame, light: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
+    """What each of pairs (object_id, keys, and what is to be tried: nothing, or t0_node and ebv) gives at every node: t0_node, t0,
+    ebv, amplitude and chisq, with the columns of span. models: keys, z, ebv, band, nodes. Nodes of no positive amplitude are left out."""
     on = [c for c in ("t0_node",) if c in pairs.columns]
     own = pairs.join(span.select("object_id", "z"), "object_id").join(light, ["object_id", *on])
     both = own.join(models, [*keys, "z", "band", *(c for c in ("ebv",) if c in pairs.columns)])
     sums = band_sums(both).groupBy("object_id", *keys, "t0_node", "t0", "ebv").agg((F.sum("up") + F.sum("down")).alias("sfm"), F.sum("smm").alias("smm"))
     found = sums.filter("smm > 0 and sfm > 0").join(span, "object_id").withColumn("amplitude", F.col("sfm") / F.col("smm"))
-    found = found.withColumn("chisq", F.col("sff") - F.col("amplitude") * F.col("sfm"))
-    best = best_per(found, ["object_id", *keys], F.round("chisq", 4), *order)
+    return found.withColumn("chisq", F.col("sff") - F.col("amplitude") * F.col("sfm"))
+
+
+def fits_of(pairs: DataFrame, span: DataFrame, light: DataFrame, models: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The best node of each pair: z, t0_node, t0, ebv, amplitude, chisq, ndof."""
+    best = best_per(sums_of(pairs, span, light, models, keys), ["object_id", *keys], F.round("chisq", 4), *order)
     return best.select("object_id", *keys, "z", "t0_node", "t0", "ebv", "amplitude", "chisq", (F.col("n") - 3).cast("int").alias("ndof"))
 
 
+#: Days between start times over an object's whole span, and between those beside the expected one, as many to either side.
+START_STEP, WINDOW_STEP, WINDOW = 5.0, 2.0, 5
+
+
+def seeded_fit(points: DataFrame, nodes_at, seeds: DataFrame, starts: int = 3, rounds: int = 2, parts: int = PARTS, keep_table=None) -> DataFrame:
+    """Best fit of each of seeds (object_id, template, t0guess): z, t0guess, t0diff, t0, ebv, amplitude, chisq, ndof.
+
+    Times are tried around t0guess (the observed peak less the template's; null: none) and in steps of at most START_STEP over the
+    whole span of the object's data, however long, with every dust node. Up to starts local minima in time, not the best node alone,
+    are each followed through finer rounds; the best end wins. nodes_at(shifts) gives the nodes of the (z, ebv) rows that a round needs.
+    """
+    keep = keep_table or (lambda df: df.checkpoint())
+    pair = F.struct("object_id", "template")
+    seeds = keep(seeds.select("object_id", "template", "t0guess"))
+    own = keep(points.select("object_id", "z", "band", "time", "flux", "fluxerr").join(seeds.select("object_id", "template"), "object_id").withColumn("object_id", pair).drop("template"))
+    span = keep(span_of(own))
+    lo, hi = F.col("t_min") - MARGIN, F.col("t_max") + MARGIN
+    many = F.greatest(F.ceil((hi - lo) / START_STEP), F.lit(T0_NODES - 1)).cast("int")
+    even = span.withColumn("i", F.explode(F.sequence(F.lit(0), many))).select("object_id", F.col("i").alias("t0_node"), (lo + (hi - lo) * F.col("i") / many).alias("t0"))
+    j = F.explode(F.sequence(F.lit(-WINDOW), F.lit(WINDOW)))
+    near = span.join(seeds.filter("t0guess is not null").select(pair.alias("object_id"), "t0guess"), "object_id").withColumn("j", j)
+    near = near.withColumn("t0", F.col("t0guess") + F.col("j") * WINDOW_STEP).filter(F.col("t0").between(lo, hi)).select("object_id", (F.col("j") - 100).alias("t0_node"), "t0")
+    arrays = lambda at: nodes_at(at).groupBy("template", "z", "ebv", "band").agg(F.min("node").alias("from_node"), F.transform(F.array_sort(F.collect_list(F.struct("node", "node_flux"))), lambda x: x["node_flux"]).alias("nodes"))
+    every = span.select("object_id", F.col("object_id.template").alias("template"))
+    at = span.select("z").distinct().withColumn("ebv", F.explode(F.array(*(F.lit(e) for e in EBV_NODES))))
+    found = sums_of(every, span, light_sums(own, even.unionByName(near)), arrays(at), ["template"])
+    by_time = best_per(found, ["object_id", "t0_node"], F.round("chisq", 4), "ebv")
+    w = Window.partitionBy("object_id").orderBy("t0", "t0_node")
+    c = F.round("chisq", 4)
+    minima = by_time.withColumns({"l": F.lag(c).over(w), "r": F.lead(c).over(w)}).filter((F.col("l").isNull() | (c <= F.col("l"))) & (F.col("r").isNull() | (c <= F.col("r"))))
+    nth = F.row_number().over(Window.partitionBy("object_id").orderBy(c, "t0", "t0_node"))
+    found = keep(minima.withColumn("start", nth).filter(F.col("start") <= starts).select("object_id", "start", "z", "t_min", "t_max", "t0_node", "t0", "ebv", "amplitude", "chisq", "n"))
+    beside = F.explode(F.sequence(F.lit(1 - parts), F.lit(parts - 1)))
+    for r in range(1, rounds + 1):
+        step, dust = START_STEP / parts**r, (EBV_NODES[1] - EBV_NODES[0]) / parts**r
+        trial = found.select("object_id", "start", "z", "t_min", "t_max", F.col("t0").alias("c"), F.col("ebv").alias("e"), beside.alias("t0_node"))
+        trial = trial.withColumn("t0", F.col("c") + F.col("t0_node") * step).filter(F.col("t0").between(lo - 1e-6, hi + 1e-6))
+        following = F.struct(F.col("object_id"), "start")
+        each = keep(own.join(found.select("object_id", "start"), "object_id").withColumn("object_id", following).drop("start"))
+        spans = span.join(found.select("object_id", "start"), "object_id").withColumn("object_id", following).drop("start")
+        light = light_sums(each, trial.select(following.alias("object_id"), "t0_node", "t0"))
+        wanted = trial.withColumn("k", beside).withColumn("ebv", F.col("e") + F.col("k") * dust).filter(F.col("ebv").between(EBV_NODES[0], EBV_NODES[-1]))
+        wanted = keep(wanted.select(following.alias("object_id"), F.col("object_id.template").alias("template"), "t0_node", "ebv", "z"))
+        got = sums_of(wanted.drop("z"), spans, light, arrays(wanted.select("z", "ebv").distinct()), ["template"])
+        got = best_per(got, ["object_id"], c, "t0_node", "ebv")
+        found = keep(got.select("object_id.object_id", "object_id.start", "z", "t_min", "t_max", "t0_node", "t0", "ebv", "amplitude", "chisq", "n"))
+    best = best_per(found, ["object_id"], c, "start").select(F.col("object_id.object_id").alias("object_id"), F.col("object_id.template").alias("template"), "z", "t0", "ebv", "amplitude", "chisq", (F.col("n") - 3).cast("int").alias("ndof"), "t_min", "t_max")
+    return best.join(seeds, ["object_id", "template"]).withColumn("t0diff", F.abs(F.col("t0") - F.col("t0guess")))
+
+
 def fit_all(points: DataFrame, pairs: DataFrame, fluxes: DataFrame, keys: list[str], t0_nodes: int = T0_NODES, keep_table=None) -> DataFrame:
     """Best node of each pair (object_id, keys), with z, t0, ebv, amplitude, chisq and ndof. fluxes: keys, z, ebv, band, phase,
     flux of the models at the objects' redshifts; both may name one model for many objects, so none is made twice."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classes, colors, files, light_curves, models, selection, served, warpsets  # noqa: F401
+from . import classes, colors, files, light_curves, models, records, selection, served, warpsets  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
