@@ -135,12 +135,45 @@ def chi2_survival(chi2: pd.Series, dof: pd.Series) -> pd.Series:
     return out.where(ok, None)
 
 
+def erfcx(u: np.ndarray) -> np.ndarray:
+    """exp(u^2) erfc(u), without overflow for large u (for u below -26 it is infinite)."""
+    u = np.asarray(u, float)
+    near = np.clip(u, -27.0, 25.0)
+    with np.errstate(over="ignore"):
+        inner = np.exp(near * near) * np.array([math.erfc(v) for v in near.ravel()]).reshape(near.shape)
+    far = np.maximum(u, 25.0)
+    q = 1 / (2 * far * far)
+    return np.where(u < 25.0, inner, (1 - q * (1 - 3 * q * (1 - 5 * q))) / (far * math.sqrt(math.pi)))
+
+
+def emg_logpdf(x, k, loc, scale) -> np.ndarray:
+    """Logarithm of the density of the exponentially modified Gaussian with shape k = tau / scale; down to k = 0 the Gaussian."""
+    x, k, loc, scale = np.broadcast_arrays(*(np.asarray(v, float) for v in (x, k, loc, scale)))
+    z, small = (x - loc) / scale, k < 1e-6
+    safe = np.where(small, 1.0, k)
+    u = (1 / safe - z) / math.sqrt(2)
+    with np.errstate(all="ignore"):
+        above = -z * z / 2 + np.log(erfcx(np.maximum(u, 0)))  # exp(1 / 2k^2 - z / k - u^2) is exp(-z^2 / 2)
+        below = 1 / (2 * safe * safe) - z / safe + np.log([math.erfc(v) for v in np.minimum(u, 0).ravel()]).reshape(u.shape)
+    out = np.where(u > 0, above, below) - np.log(2 * safe * scale)
+    return np.where(small, -z * z / 2 - np.log(scale * math.sqrt(2 * math.pi)), out)
+
+
 @F.pandas_udf(DoubleType())
 def emg_pdf(x: pd.Series, k: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
-    """Density of the exponentially modified Gaussian with shape k = tau / scale."""
-    z = (x - loc) / scale
-    erfc = np.array([math.erfc(v) for v in (1 / k - z) / math.sqrt(2)])
-    return np.exp(1 / (2 * k * k) - z / k) * erfc / (2 * k * scale)
+    """Density of the exponentially modified Gaussian."""
+    return pd.Series(np.exp(emg_logpdf(x, k, loc, scale)))
+
+
+def emg_scores(x: np.ndarray, loc: float, log_scale: float, log_tau: float) -> np.ndarray:
+    """Derivatives of the log density by loc, log(scale) and log(tau), a column each: expectations of the exponential part given x."""
+    s, tau = math.exp(log_scale), math.exp(log_tau)
+    d = x - loc
+    m = d - s * s / tau
+    hazard = math.sqrt(2 / math.pi) / erfcx(-m / (s * math.sqrt(2)))
+    y = np.maximum(m + s * hazard, 0.0)
+    yy = m * y + s * s
+    return np.column_stack([(d - y) / (s * s), (d * d - 2 * d * y + yy) / (s * s) - 1, y / tau - 1])
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:

@@ -40,16 +40,37 @@ def smoothing_spline(x: np.ndarray, y: np.ndarray, w: np.ndarray, lam: float):
     u, back = np.unique(x, return_inverse=True)
     weight = np.bincount(back, w)
     y = np.bincount(back, w * y) / weight
-    n = len(u)
-    h = np.diff(u)
-    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        q[j, j], q[j + 1, j], q[j + 2, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        r[j, j] = (h[j] + h[j + 1]) / 3
-        if j:
-            r[j - 1, j] = r[j, j - 1] = h[j] / 6
-    gamma = np.linalg.solve(r + lam * (q.T / weight) @ q, q.T @ y)
-    return u, y - lam * (q @ gamma) / weight, np.concatenate([[0], gamma, [0]])
+    gamma, bend = banded_gamma(np.diff(u), y, lam / weight, lam)
+    return u, y - bend, np.concatenate([[0], gamma, [0]])
+
+
+def banded_gamma(h: np.ndarray, y: np.ndarray, pull: np.ndarray, lam: float) -> tuple[np.ndarray, np.ndarray]:
+    """Second derivatives at the inner nodes, and what the curve takes off y: the equations have five bands, which are kept as
+    three rows and factorised from the left (L D L' without pivots, as they are positive definite), so n nodes take n steps."""
+    a, c = 1 / h[:-1], 1 / h[1:]
+    b = -a - c
+    main = (h[:-1] + h[1:]) / 3 + pull[:-2] * a * a + pull[1:-1] * b * b + pull[2:] * c * c
+    first = h[1:-1] / 6 + pull[1:-2] * b[:-1] * a[1:] + pull[2:-1] * c[:-1] * b[1:]
+    second = pull[2:-2] * c[:-2] * a[2:]
+    right = (a * y[:-2] + b * y[1:-1] + c * y[2:]).tolist()
+    n = len(right)
+    d, one, two = main.tolist(), [*first.tolist(), 0.0], [*second.tolist(), 0.0, 0.0]
+    for i in range(n - 1):  # column i leaves its two neighbours below
+        l1, l2 = one[i] / d[i], two[i] / d[i]
+        d[i + 1] -= l1 * one[i]
+        right[i + 1] -= l1 * right[i]
+        if i + 2 < n:
+            one[i + 1] -= l1 * two[i]
+            d[i + 2] -= l2 * two[i]
+            right[i + 2] -= l2 * right[i]
+    for i in range(n - 1, -1, -1):
+        right[i] = (right[i] - (one[i] * right[i + 1] if i + 1 < n else 0.0) - (two[i] * right[i + 2] if i + 2 < n else 0.0)) / d[i]
+    gamma = np.array(right)
+    q = np.zeros(len(y))
+    q[:-2] += a * gamma
+    q[1:-1] += b * gamma
+    q[2:] += c * gamma
+    return gamma, pull * q
 
 
 def evaluate(u, f, m, at):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,8 +115,60 @@ def gp_posterior(t, f, e, at, length: float, amplitude: float | None = None) ->
     return mean, np.sqrt(np.maximum(amp**2 - (v * v).sum(axis=0), 0))
 
 
+def gp_filtered(t, f, e, at, length: float, amplitude: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What gp_posterior gives, in time and memory that grow with the number of points and not with its square: the kernel is that
+    of a process of two states (value and slope), so a Kalman filter runs through points and places in order of time, and a backward
+    pass (of adjoint variables, so nothing is inverted) smooths. t and at ascend."""
+    amp = float(amplitude if amplitude is not None else (np.std(f) or 1.0))
+    rate = math.sqrt(3.0) / length
+    times = np.concatenate([t, at])
+    order = np.argsort(times, kind="stable")
+    steps = np.diff(times[order], prepend=times[order[0]])
+    seen = order < len(t)
+    value, noise = (np.where(seen, np.concatenate([x, np.zeros(len(at))])[order], 0.0).tolist() for x in (f, e**2 + 1e-9))
+    still = [amp**2, 0.0, rate * rate * amp**2]  # variances far from any point
+    m0, m1, (p00, p01, p11) = 0.0, 0.0, still
+    past = []
+    for d, s, y, r in zip(steps.tolist(), seen.tolist(), value, noise):
+        g = math.exp(-rate * d)
+        a00, a01, a10, a11 = g * (1 + rate * d), g * d, -g * rate * rate * d, g * (1 - rate * d)
+        m0, m1 = a00 * m0 + a01 * m1, a10 * m0 + a11 * m1
+        x00, x01, x11 = p00 - still[0], p01, p11 - still[2]  # the step adds what its own part of the stationary variance lacks
+        b00, b01, b10, b11 = a00 * x00 + a01 * x01, a00 * x01 + a01 * x11, a10 * x00 + a11 * x01, a10 * x01 + a11 * x11
+        p00, p01, p11 = still[0] + b00 * a00 + b01 * a01, b00 * a10 + b01 * a11, still[2] + b10 * a10 + b11 * a11
+        off, var = y - m0, p00 + r
+        past.append((a00, a01, a10, a11, m0, p00, p01, off, var))
+        if s:
+            k0, k1 = p00 / var, p01 / var
+            m0, m1 = m0 + k0 * off, m1 + k1 * off
+            p00, p01, p11 = p00 * r / var, p01 * r / var, p11 - k1 * p01
+    mean, sd = np.zeros(len(order)), np.zeros(len(order))
+    l0 = l1 = w00 = w01 = w11 = 0.0
+    for i in range(len(order) - 1, -1, -1):
+        a00, a01, a10, a11, m, q00, q01, off, var = past[i]
+        if order[i] < len(t):
+            k0, k1, c = q00 / var, q01 / var, 1 - q00 / var
+            # C = [[c, 0], [-k1, 1]]: adjoints before the point's own gain
+            l0, l1 = c * l0 - k1 * l1 - off / var, l1
+            w00, w01, w11 = c * c * w00 - 2 * c * k1 * w01 + k1 * k1 * w11 + 1 / var, c * w01 - k1 * w11, w11
+        mean[i] = m - q00 * l0 - q01 * l1
+        sd[i] = q00 - (q00 * (q00 * w00 + q01 * w01) + q01 * (q00 * w01 + q01 * w11))
+        l0, l1 = a00 * l0 + a10 * l1, a01 * l0 + a11 * l1
+        v00, v01, v10, v11 = w00 * a00 + w01 * a10, w00 * a01 + w01 * a11, w01 * a00 + w11 * a10, w01 * a01 + w11 * a11
+        w00, w01, w11 = a00 * v00 + a10 * v10, a00 * v01 + a10 * v11, a01 * v01 + a11 * v11
+    back = np.empty(len(order), int)
+    back[order] = np.arange(len(order))
+    place = back[len(t) :]
+    return mean[place], np.sqrt(np.maximum(sd[place], 0))
+
+
+#: Points of a group up to which the dense solve is the quicker one; it takes so many squared numbers.
+DENSE = 256
+
+
 def gp_peaks(groups: DataFrame, n_grid: int, amplitude: float | None, keys=KEYS) -> DataFrame:
-    """The dense solve of each group in Arrow batches; a group is the points of one object in one band."""
+    """The process of each group in Arrow batches; a group is the points of one object in one band. Small groups are solved
+    densely, larger ones by the filter, in time and memory that grow with their points."""
 
     def work(frames):
         for pdf in frames:
@@ -122,7 +176,7 @@ def gp_peaks(groups: DataFrame, n_grid: int, amplitude: float | None, keys=KEYS)
             for ps, length in zip(pdf["points"], pdf["length"]):
                 t, f, e = (np.array([p[c] for p in ps]) for c in ("time", "flux", "fluxerr"))
                 at = np.linspace(t[0], t[-1], n_grid)
-                mean, sd = gp_posterior(t, f, e, at, length or 1.0, amplitude)
+                mean, sd = (gp_posterior if len(t) <= DENSE else gp_filtered)(t, f, e, at, length or 1.0, amplitude)
                 i = int(np.argmax(mean))
                 out.append((mean[i], sd[i], at[i]))
             yield pdf[list(keys)].assign(**dict(zip(PEAK, np.array(out).reshape(-1, 3).T)))

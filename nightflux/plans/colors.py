@@ -48,7 +48,7 @@ def emg_fit(spark, d):
 
 @query()
 def emg_likelihood(spark, d):
-    """The most likely parameters near the moment fit."""
+    """The most likely parameters of each class."""
     c = A.colors(spark, d)
     return rounded(C.emg_likelihood(c, C.emg_fit(c)), "k", "loc", "scale", "loglik", digits=4)
 
