@@ -61,7 +61,11 @@ H0, OMEGA_M, LIGHT = 67.77, 0.30712, 299792.458
 Z_STEP = 0.0005
 
 
-def distance_modulus_nodes(spark, z_max: float = 0.5) -> DataFrame:
+#: Redshifts beyond it are an error.
+Z_MAX = 10.0
+
+
+def distance_modulus_nodes(spark, z_max: float = Z_MAX) -> DataFrame:
     """i, dm: distance modulus at z = i Z_STEP, by running sums of the trapezoids of 1 / E(z). A constant table of z_max / Z_STEP rows."""
     n = int(round(z_max / Z_STEP))
     nodes = spark.range(0, n + 1, 1, 1).select(F.col("id").alias("i"), (F.col("id") * Z_STEP).alias("z"))
@@ -73,12 +77,13 @@ def distance_modulus_nodes(spark, z_max: float = 0.5) -> DataFrame:
 
 
 def with_distance_modulus(df: DataFrame, z: str = "z") -> DataFrame:
-    """distmod, linear between the nodes; null outside them and at z = 0."""
+    """distmod, linear between the nodes; null at z = 0 and below, an error beyond Z_MAX."""
     nodes = distance_modulus_nodes(df.sparkSession)
     a, b = nodes.select(F.col("i").alias("__i"), F.col("dm").alias("__a")), nodes.select(F.col("i").alias("__j"), F.col("dm").alias("__b"))
     at = F.col(z) / Z_STEP
     out = df.withColumn("__k", F.floor(at + 1e-9)).join(F.broadcast(a), F.col("__k") == F.col("__i"), "left").join(F.broadcast(b), F.col("__k") + 1 == F.col("__j"), "left")
-    return out.withColumn("distmod", F.col("__a") + (at - F.col("__k")) * (F.col("__b") - F.col("__a"))).drop("__k", "__i", "__j", "__a", "__b")
+    far = F.when(F.col(z) >= Z_MAX, F.raise_error(F.lit(f"redshifts of {Z_MAX:g} and more have no distance here")).cast("double"))
+    return out.withColumn("distmod", F.coalesce(far, F.col("__a") + (at - F.col("__k")) * (F.col("__b") - F.col("__a")))).drop("__k", "__i", "__j", "__a", "__b")
 
 
 DISTMOD_CTE = f"""dm AS (SELECT i, CASE WHEN d > 0 THEN 5 * log10(d) + 25 END AS dm FROM (SELECT i, sum(t) OVER (ORDER BY i) * {LIGHT / H0!r} * (1 + z) AS d FROM (SELECT i, z, coalesce((f + lag(f) OVER (ORDER BY i)) / 2 * {Z_STEP!r}, 0) AS t

@@ -81,3 +81,9 @@ def fail_code() -> Column:
         F.when(F.col("rejected"), 1).when(F.coalesce("ndet", F.lit(0)) == 0, 2).when(F.col("nbr_bands") < 2, 3).when(F.col("g_r").isNull(), 4)
         .when((F.col("presum") < 2) | (F.col("postsum") < 2), 5).otherwise(0)
     )
+
+
+def outcome(code: str = "code", accepted: str = "accepted", peak_good: str = "peak_good") -> Column:
+    """What became of an object: its fail_code; of those that were fitted 6 (no fit accepted), 9 (none with a well-sampled peak) or
+    99. accepted and peak_good say whether any of its fits is accepted, and any accepted one has a well-sampled peak."""
+    return F.when(F.col(code) > 0, F.col(code)).when(~F.coalesce(accepted, F.lit(False)), 6).when(~F.coalesce(peak_good, F.lit(False)), 9).otherwise(99)

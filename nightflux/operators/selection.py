@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .taxonomy import true_class
+from .taxonomy import SEED_RANGE, in_range, true_class
 
 
 def good_fits(fits: DataFrame, max_chidof: float = 3.0, target: str = "SN II (w)", peak_fit: bool = True, aic_from_peak: bool = False) -> DataFrame:
@@ -34,9 +34,11 @@ def best_per(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def seeds(summary: DataFrame, z_range=(0.01, 0.04), min_bands: int = 2, min_peakndof: int = 6, require_peak_good: bool = False) -> DataFrame:
-    ok = (F.col("z") > z_range[0]) & (F.col("z") < z_range[1]) & (F.col("nbr_bands") >= min_bands) & (F.col("peakndof") >= min_peakndof)
-    return summary.filter(ok & F.col("peak_good") if require_peak_good else ok)
+def seeds(summary: DataFrame, z_range=SEED_RANGE, min_bands: int = 2, min_peakndof: int = 6, require_peak_good: bool = False, ranges: dict | None = None, column: str = "class") -> DataFrame:
+    """Rows with enough bands and points whose redshift lies strictly within z_range, or within that of their class in column where
+    ranges has one."""
+    ok = (F.col("nbr_bands") >= min_bands) & (F.col("peakndof") >= min_peakndof)
+    return in_range(summary.filter(ok & F.col("peak_good") if require_peak_good else ok), column, "z", z_range, ranges or {}, strict=True)
 
 
 def prioritised(good: DataFrame) -> DataFrame:
@@ -136,6 +138,12 @@ def quality(sf: str = "sf", priority: str = "priority", good: float = 0.5) -> Co
     return F.when((F.col(sf) > good) & (F.col(priority) == 2), "gold").when((F.col(sf) > good) & (F.col(priority) == 1), "silver").otherwise("bronze")
 
 
+def quality_scores(warps: DataFrame, key: str = "id") -> DataFrame:
+    """key, score: gold counts 3, silver 2, bronze 1; other qualities count nothing."""
+    rank = F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), F.col("quality"))
+    return warps.groupBy(key).agg(F.sum(F.coalesce(rank + 1, F.lit(0))).alias("score"))
+
+
 def quality_sizes(warps: DataFrame) -> DataFrame:
     """Templates and objects at each least quality, and the score of the set (gold 3, silver 2, bronze 1)."""
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in QUALITY.items() for x in kv)), F.col("quality"))

@@ -78,7 +78,7 @@ def peak_phases(fluxes: DataFrame, *keys: str) -> DataFrame:
     return fluxes.groupBy(*keys, "band").agg(top).select(*keys, "band", F.col("t.phase").alias("peak_phase"), F.col("t.flux").alias("peak_flux"))
 
 
-def peak_absmag(fits: DataFrame, rest_peaks: DataFrame, band: str = "ztfg") -> DataFrame:
+def peak_absmag(fits: DataFrame, rest_peaks: DataFrame, band: str = "bessellb") -> DataFrame:
     """absmag of a fitted template: its rest-frame peak flux in band, scaled by the amplitude, less the distance modulus."""
     out = with_distance_modulus(fits.join(rest_peaks.filter(F.col("band") == band).select("template", F.col("peak_flux").alias("rest_flux")), "template"))
     return out.withColumn("absmag", -2.5 * F.log10(F.col("amplitude") * F.col("rest_flux")) + ZP - F.col("distmod")).drop("rest_flux")

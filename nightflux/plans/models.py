@@ -31,12 +31,12 @@ def checkpoints(spark) -> None:
 BANDS = "('ztfg', 'ztfr', 'ztfi')"
 
 
-def flux_sql(source: str = "template_flux", zs: str = "SELECT DISTINCT TRY_CAST(redshift AS DOUBLE) AS z FROM catalog WHERE redshift <> '-'", ebv=EBV, name: str = "bf", keys: str = "template") -> str:
+def flux_sql(source: str = "template_flux", zs: str = "SELECT DISTINCT TRY_CAST(redshift AS DOUBLE) AS z FROM catalog WHERE redshift <> '-'", ebv=EBV, name: str = "bf", keys: str = "template", bands: str = "bandpass") -> str:
     es = ", ".join(f"{e!r}::DOUBLE" for e in ebv)
     return f""", {name}_n AS (SELECT *, lead(flux) OVER (PARTITION BY {keys}, phase ORDER BY wave) AS nx, CAST(round((wave - 3000) / 100) AS INTEGER) AS node FROM {source}),
-    {name}_r AS (SELECT band, trans, z, ebv, wave AS seen, wave / (1 + z) AS rest FROM bandpass, ({zs}), (SELECT unnest([{es}]) AS ebv)),
+    {name}_r AS (SELECT band, trans, z, ebv, wave AS seen, wave / (1 + z) AS rest FROM {bands}, ({zs}), (SELECT unnest([{es}]) AS ebv)),
     {name}_l AS (SELECT *, CAST(floor((rest - 3000) / 100) AS INTEGER) AS node, (rest - 3000) / 100 - floor((rest - 3000) / 100) AS part, pow(10.0, -0.4::DOUBLE * (ebv * 3.1::DOUBLE) * ({dust_sql('rest')})) AS dust FROM {name}_r),
-    {name}_a AS (SELECT band, sum({S.AB!r} * {S.LIGHT_A!r} / (wave * wave) * wave * trans * 100) AS ab FROM bandpass GROUP BY band),
+    {name}_a AS (SELECT band, sum({S.AB!r} * {S.LIGHT_A!r} / (wave * wave) * wave * trans * 100) AS ab FROM {bands} GROUP BY band),
     {name} AS (SELECT {keys}, z, ebv, l.band, phase, sum((flux + part * (coalesce(nx, flux) - flux)) / (1 + z) * dust * trans * seen * 100) / max(ab) * 1e10 AS flux FROM {name}_n n JOIN {name}_l l ON n.node = l.node JOIN {name}_a a ON a.band = l.band GROUP BY {keys}, z, ebv, l.band, phase)"""
 
 
@@ -49,9 +49,9 @@ def fluxes(spark, d, ebv=None):
     return S.band_flux(A.template_flux(spark), A.bandpass(spark), G.shifts(spark, redshifts(spark, d), ebv))
 
 
-def rest_fluxes(spark, ebv=(0.0,)):
+def rest_fluxes(spark, ebv=(0.0,), bands=A.bandpass):
     zero = spark.range(1).select(F.lit(0.0).alias("z"))
-    return S.band_flux(A.template_flux(spark), A.bandpass(spark), G.shifts(spark, zero, ebv))
+    return S.band_flux(A.template_flux(spark), bands(spark), G.shifts(spark, zero, ebv))
 
 
 REST = flux_sql(zs="SELECT 0.0::DOUBLE AS z", ebv=[0.0])
@@ -129,14 +129,14 @@ def best_model(spark, d):
     return best.filter("ndof >= n_significant - 3").select("object_id", "template", F.round("chidof", 4).alias("chidof"))
 
 
-BF0 = flux_sql(zs="SELECT 0.0::DOUBLE AS z", ebv=[0.0], name="bf0")
+BF0 = flux_sql(zs="SELECT 0.0::DOUBLE AS z", ebv=[0.0], name="bf0", bands="rest_bands")
 
 
-@query(A.with_ctes("photometry catalog template_flux bandpass", f"{FITTED}{BF0}, {DISTMOD_CTE}, rp AS (SELECT template, max(flux) AS rest FROM bf0 WHERE band = 'ztfg' GROUP BY 1) SELECT object_id, template, round(-2.5::DOUBLE * log10(amplitude * rest) + 25 - {distmod_sql('z')}, 4) AS absmag FROM fit JOIN (SELECT DISTINCT object_id, z FROM pts) USING (object_id) JOIN rp USING (template)"))
+@query(A.with_ctes("photometry catalog template_flux bandpass rest_bands", f"{FITTED}{BF0}, {DISTMOD_CTE}, rp AS (SELECT template, max(flux) AS rest FROM bf0 WHERE band = 'bessellb' GROUP BY 1) SELECT object_id, template, round(-2.5::DOUBLE * log10(amplitude * rest) + 25 - {distmod_sql('z')}, 4) AS absmag FROM fit JOIN (SELECT DISTINCT object_id, z FROM pts) USING (object_id) JOIN rp USING (template)"))
 def peak_absmag(spark, d):
     """Absolute magnitude of each fitted template at its rest-frame peak."""
     f = G.grid_fit(points(spark, d), nodes(spark, d))
-    out = S.peak_absmag(f, S.peak_phases(rest_fluxes(spark), "template"))
+    out = S.peak_absmag(f, S.peak_phases(rest_fluxes(spark, bands=A.rest_bands), "template"))
     return rounded(out.select("object_id", "template", "absmag"), "absmag", digits=4)
 
 
@@ -301,7 +301,7 @@ def matches(spark, d):
 def bulk_corrections(spark, d):
     """Corrections of all matched pairs that succeed: the eight fields that later steps need, the surface as JSON."""
     fits, surface = corrected(spark, points=floored(spark, d), pairs=matches(spark, d))
-    out = K.bulk(S.peak_absmag(fits, S.peak_phases(rest_fluxes(spark), "template")), surface)
+    out = K.bulk(S.peak_absmag(fits, S.peak_phases(rest_fluxes(spark, bands=A.rest_bands), "template")), surface)
     text = F.array_join(F.transform(F.map_entries("lceval"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
     cells = F.to_json(F.transform("corrmodel", lambda c: F.struct(c.phase, F.round(c.wave, 3).alias("wave"), F.round(c.factor, 4).alias("factor"))))
     return rounded(out.withColumns({"lceval": text, "corrmodel": cells}), "absmag", "chidof", digits=4)

@@ -76,13 +76,13 @@ RECORD = f"""{SEEDED}, nf AS (SELECT template, z, ebv, band, node, nf, nn FROM n
     sd AS (SELECT a.object_id, a.n_eff_before_peak + b.n_eff_before_peak AS presum, a.n_eff_after_peak + b.n_eff_after_peak AS postsum FROM q a JOIN q b ON a.object_id = b.object_id AND a.band = 'ztfg' AND b.band = 'ztfr')"""
 
 
-@query(A.with_ctes(SEED_TABLES, f"""{RECORD} SELECT c.object_id, ph.template, f.chisq IS NOT NULL AND f.n > 3 AS success, f.ebv, round(f.chisq, 3) AS chisq, round(f.t0diff, 5) AS t0diff, premod, postmod, round(predt, 4) AS predt, round(postdt, 4) AS postdt, peakdet, peakbands, round(peakduration, 4) AS peakduration,
+RECORDS = f"""{RECORD}, rec AS (SELECT c.object_id, ph.template, f.chisq IS NOT NULL AND f.n > 3 AS success, f.ebv, round(f.chisq, 3) AS chisq, round(f.t0diff, 5) AS t0diff, premod, postmod, round(predt, 4) AS predt, round(postdt, 4) AS postdt, peakdet, peakbands, round(peakduration, 4) AS peakduration,
     earlydet, thendet, postdet, latedet, round(peakchi, 3) AS peakchi, round(peak_residual, 4) AS peak_residual, round(presum, 4) AS presum, round(postsum, 4) AS postsum, coalesce(premod <= 1 AND postmod <= 1 AND predt >= -3 AND postdt <= 3 AND 1 - peak_residual BETWEEN 0.5 AND 1.5, false) AS accepted,
-    NOT (t0diff > 15 OR presum < 3 OR postsum < 3 OR earlydet < 2 OR postdet < 2 OR latedet < 2) AS peak_good FROM (SELECT DISTINCT object_id FROM catalog WHERE redshift <> '-') c JOIN ph ON true LEFT JOIN sfit f ON f.object_id = c.object_id AND f.template = ph.template LEFT JOIN me ON me.object_id = c.object_id AND me.template = ph.template LEFT JOIN re ON re.object_id = c.object_id AND re.template = ph.template LEFT JOIN sd ON sd.object_id = c.object_id"""))
-def fit_record(spark, d):
-    """One record for each object and template: the seeded fit, coverage and counts around its peak, acceptance and the flag of a
-    well-sampled peak; a pair that can't be fitted keeps a row without success. The brightest point counts as met where the model there
-    is between half and one and a half times as bright."""
+    NOT (t0diff > 15 OR presum < 3 OR postsum < 3 OR earlydet < 2 OR postdet < 2 OR latedet < 2) AS peak_good FROM (SELECT DISTINCT object_id FROM catalog WHERE redshift <> '-') c JOIN ph ON true LEFT JOIN sfit f ON f.object_id = c.object_id AND f.template = ph.template LEFT JOIN me ON me.object_id = c.object_id AND me.template = ph.template LEFT JOIN re ON re.object_id = c.object_id AND re.template = ph.template LEFT JOIN sd ON sd.object_id = c.object_id)"""
+
+
+def records(spark, d):
+    """fit_record's rows, unrounded, and the bands' peaks."""
     p, found, fits = seeded(spark, d)
     fits = fits.checkpoint()
     m = Fit.fit_metrics(p, fits, Fit.nodes_of(fits, nodes_at(spark))).drop("t0", "ebv", "amplitude", "chisq", "ndof")
@@ -91,6 +91,30 @@ def fit_record(spark, d):
     keys = ["object_id", "template"]
     r = every.join(fits.select(*keys, "ebv", "chisq", "ndof", "t0diff"), keys, "left").join(m, keys, "left").join(sums, "object_id", "left")
     ok = F.expr("premod <= 1 and postmod <= 1 and predt >= -3 and postdt <= 3 and 1 - peak_residual between 0.5 and 1.5")
-    r = r.withColumns({"success": F.col("chisq").isNotNull() & (F.col("ndof") > 0), "accepted": F.coalesce(ok, F.lit(False)), "peak_good": S.peak_good()})
+    return r.withColumns({"success": F.col("chisq").isNotNull() & (F.col("ndof") > 0), "accepted": F.coalesce(ok, F.lit(False)), "peak_good": S.peak_good()}), found
+
+
+@query(A.with_ctes(SEED_TABLES, f"{RECORDS} SELECT * FROM rec"))
+def fit_record(spark, d):
+    """One record for each object and template: the seeded fit, coverage and counts around its peak, acceptance and the flag of a
+    well-sampled peak; a pair that can't be fitted keeps a row without success. The brightest point counts as met where the model there
+    is between half and one and a half times as bright."""
+    r, keys = records(spark, d)[0], ["object_id", "template"]
     r = rounded(rounded(rounded(r, "t0diff", digits=5), "chisq", "peakchi", digits=3), "predt", "postdt", "peakduration", "peak_residual", "presum", "postsum", digits=4)
     return r.select(*keys, "success", "ebv", "chisq", "t0diff", "premod", "postmod", "predt", "postdt", "peakdet", "peakbands", "peakduration", "earlydet", "thendet", "postdet", "latedet", "peakchi", "peak_residual", "presum", "postsum", "accepted", "peak_good")
+
+
+CODES = """, n AS (SELECT object_id, count(*) AS ndet, count(DISTINCT band) AS nb FROM photometry GROUP BY 1), gr AS (SELECT a.object_id, -2.5::DOUBLE * log10(a.peak_flux / b.peak_flux) AS g_r FROM q a JOIN q b ON a.object_id = b.object_id AND a.band = 'ztfg' AND b.band = 'ztfr'),
+    an AS (SELECT object_id, bool_or(accepted) AS any_accepted, bool_or(accepted AND coalesce(peak_good, false)) AS any_good FROM rec GROUP BY 1),
+    oc AS (SELECT CASE WHEN object_id % 10 = 0 THEN 1 WHEN coalesce(ndet, 0) = 0 THEN 2 WHEN nb < 2 THEN 3 WHEN g_r IS NULL THEN 4 WHEN presum < 2 OR postsum < 2 THEN 5 WHEN NOT coalesce(any_accepted, false) THEN 6 WHEN NOT coalesce(any_good, false) THEN 9 ELSE 99 END AS code FROM catalog LEFT JOIN n USING (object_id) LEFT JOIN gr USING (object_id) LEFT JOIN sd USING (object_id) LEFT JOIN an USING (object_id))"""
+
+
+@query(A.with_ctes(SEED_TABLES, f"{RECORDS}{CODES} SELECT code, count(*) AS n FROM oc GROUP BY code"))
+def outcome_codes(spark, d):
+    """What became of each object of the catalogue, counted: why it wasn't fitted, or how its fits did."""
+    r, found = records(spark, d)
+    fitted = r.groupBy("object_id").agg(F.bool_or("accepted").alias("accepted"), F.bool_or(F.col("accepted") & F.coalesce("peak_good", F.lit(False))).alias("peak_good"))
+    c = P.peak_colors(found, (("ztfg", "ztfr"),)).select("object_id", F.col("color").alias("g_r"), "presum", "postsum")
+    n = A.photometry(spark, d).groupBy("object_id").agg(F.count("*").alias("ndet"), F.count_distinct("band").alias("nbr_bands"))
+    rows = A.catalog(spark, d).select("object_id", (F.col("object_id") % 10 == 0).alias("rejected")).join(n, "object_id", "left").join(c, "object_id", "left").join(fitted, "object_id", "left")
+    return rows.withColumn("code", L.fail_code()).select(L.outcome().alias("code")).groupBy("code").agg(F.count("*").alias("n"))

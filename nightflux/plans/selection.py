@@ -50,6 +50,18 @@ def seed_matches(spark, d):
     return rounded(seeds.join(g.filter("correct").select("id", "model", "chidof"), "id"), "chidof", digits=9)
 
 
+def _side(i: int) -> str:
+    return "CASE type " + " ".join(f"WHEN '{c}' THEN {r[i]!r}" for c, r in T.SEED_RANGES.items()) + f" ELSE {T.SEED_RANGE[i]!r} END"
+
+
+@query(A.with_ctes("photometry catalog", f", n AS (SELECT object_id, count(DISTINCT band) AS nbr_bands, count(*) - 3 AS peakndof FROM photometry GROUP BY 1) SELECT object_id, type, CAST(redshift AS DOUBLE) AS z, nbr_bands, peakndof FROM catalog JOIN n USING (object_id) WHERE redshift <> '-' AND CAST(redshift AS DOUBLE) > {_side(0)} AND CAST(redshift AS DOUBLE) < {_side(1)} AND nbr_bands >= 2 AND peakndof >= 6"))
+def class_seeds(spark, d):
+    """Objects that may seed corrections: enough bands and points, and a redshift within the range of their own class."""
+    n = A.photometry(spark, d).groupBy("object_id").agg(F.count_distinct("band").alias("nbr_bands"), (F.count("*") - 3).alias("peakndof"))
+    objects = T.numeric(T.without_missing(A.catalog(spark, d), "redshift"), "redshift").select("object_id", "type", F.col("redshift").alias("z"))
+    return S.seeds(objects.join(n, "object_id"), ranges=T.SEED_RANGES, column="type").select("object_id", "type", "z", "nbr_bands", "peakndof")
+
+
 @query(A.with_ctes("fits", f"{GOOD}{ORDERED} SELECT id, model, priority, nth FROM (SELECT id, model, priority, coalesce(sum(CAST(sf > 0.5 AS INTEGER)) OVER (PARTITION BY id ORDER BY priority DESC, chidof, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY id ORDER BY priority DESC, chidof, model)::INTEGER AS nth FROM ordered) WHERE before < 2"))
 def early_stop(spark, d):
     """Pairs in order of priority until two are good."""

@@ -59,6 +59,12 @@ def warp_set_sizes(spark, d):
     return S.quality_sizes(warps(spark, d, False))
 
 
+@query(A.with_ctes("fits", f"{LOOSE} SELECT id, CAST(sum(CASE quality WHEN 'gold' THEN 3 WHEN 'silver' THEN 2 ELSE 1 END) AS BIGINT) AS score FROM ws GROUP BY id"))
+def warp_scores(spark, d):
+    """Score of each object by the quality of its warps."""
+    return S.quality_scores(warps(spark, d, False))
+
+
 @query(A.with_ctes("fits", f"{LOOSE} SELECT id, model, quality FROM ws WHERE quality IN ('gold', 'silver') AND model NOT IN ('tpl-1', 'tpl-2')"))
 def quality_filter(spark, d):
     w = S.min_quality(warps(spark, d, False), "Silver").filter(~F.col("model").isin("tpl-1", "tpl-2"))
