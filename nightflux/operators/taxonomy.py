@@ -82,6 +82,12 @@ def true_class(column: str, target: str, close=None) -> Column:
     return F.col(column).isin([t for t, classes in (close or CLOSE_TYPES).items() if target in classes])
 
 
+def true_for(template_type: str, target: str, close=None) -> Column:
+    """true_class for a target that differs by row: whether a template of the class in one column may stand for the class in the other."""
+    lookup = F.create_map(*(x for t, classes in (close or CLOSE_TYPES).items() for x in (F.lit(t), F.array(*map(F.lit, classes)))))
+    return F.coalesce(F.array_contains(F.element_at(lookup, F.col(template_type)), F.col(target)), F.lit(False))
+
+
 # Redshift ranges by class (inclusive for fits, strict for seeds), colour bands, classes and objects left out.
 Z_RANGE = (0.0, 0.07)
 Z_RANGES = {"SLSN-II": (0.0, 0.3), "SLSN-I": (0.0, 0.3), "SN Ia-91bg": (0.01, 0.055), "SN Ia-91T": (0.01, 0.10), "SN Ia-CSM": (0.01, 0.10), "SN IIn": (0.0, 0.10), "SN Ia-SC": (0.01, 0.10), "SN Ia-pec": (0.01, 0.055), "SN Iax": (0.0, 0.055)}

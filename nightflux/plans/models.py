@@ -294,7 +294,7 @@ def matches(spark, d):
     """The fits of the tables as matches of objects and templates."""
     f = A.fits(spark, d).filter("success and peak_good")
     model = F.concat(F.lit("tpl-"), (F.substring_index("model", "-", -1).cast("int") % A.TEMPLATES).cast("string"))
-    return f.groupBy(F.col("id").alias("object_id"), model.alias("template")).agg(F.min("chidof").alias("match_chidof"))
+    return f.groupBy(F.col("id").alias("object_id"), model.alias("template")).agg(F.min("chidof").alias("match_chidof"), F.max("nbr_bands").alias("nbr_bands"), F.max("peakdet").alias("peakdet"))
 
 
 @query()
@@ -314,17 +314,23 @@ def reworked(spark, d):
     spectra = S.warped_pairs(A.template_flux(spark), surface).join(redshifts(spark, d), "object_id")
     again = G.refit_warped(p, fits.filter("success"), spectra, A.bandpass(spark)).checkpoint()
     kinds = T.add_classes(A.catalog(spark, d)).select("object_id", F.col("type_a").alias("class"), "peakmag")
-    own = A.template_flux(spark).select("template", F.col("class").alias("type")).distinct()
-    own = T.add_classes(own).select("template", F.col("type_a").alias("model_class"))
-    out = again.join(match, ["object_id", "template"]).join(kinds, "object_id").join(F.broadcast(own), "template")
+    own = A.template_flux(spark).select("template", F.col("class").alias("model_class")).distinct()
+    out = again.join(match, ["object_id", "template"]).join(kinds, "object_id").join(F.broadcast(own), "template")  # a row for each template
     return out.select(
-        F.col("object_id").alias("id"), F.col("template").alias("model"), "class", "z", "peakmag", (F.col("class") == F.col("model_class")).alias("correct"), (F.col("match_chidof") <= 2).alias("goodfit"),
-        F.col("match_chidof").alias("chidof"), "sf", "t0", "ebv", "chisq", "ndof",
+        F.col("object_id").alias("id"), F.col("template").alias("model"), "class", "z", "peakmag", T.true_for("model_class", "class").alias("correct"), (F.col("match_chidof") < 6).alias("goodfit"),
+        F.col("match_chidof").alias("chidof"), "nbr_bands", "peakdet", "sf", "t0", "ebv", "chisq", "ndof",
     )
 
 
 @query()
 def built_warp_set(spark, d):
     """The whole chain: matches, error floor, cleaned fits, surfaces, warped models, their fits, acceptance, survival, the set."""
-    w = W.warp_set(reworked(spark, d), prefilter=False)
+    w = W.warp_set(reworked(spark, d))
     return rounded(w.select("id", "model", "class", "quality", "priority", "chidof", "sf", "draw_prob", "t0", "ebv"), "chidof", "sf", "draw_prob", "t0", digits=5)
+
+
+@query()
+def built_warp_set_simple(spark, d):
+    """The same chain under the older rule: true classes with enough points, those likely enough or the best three."""
+    w = W.warp_set_simple(reworked(spark, d))
+    return rounded(w.select("id", "model", "class", "good_fit", "chidof", "sf", "draw_prob", "t0", "ebv"), "chidof", "sf", "draw_prob", "t0", digits=5)
