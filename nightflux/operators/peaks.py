@@ -11,14 +11,24 @@ from pyspark.sql import types as T
 
 from nightflux.functions.astro import matern32
 
+from . import hot
+
 KEYS = ("object_id", "band")
 PEAK = ("peak_flux", "peak_flux_err", "peak_time")
 
 
-def sigma_clip(phot: DataFrame, n_sigma: float = 3.0, n_iter: int = 3, keys=KEYS) -> DataFrame:
+def sigma_clip(phot: DataFrame, n_sigma: float = 3.0, n_iter: int = 3, keys=KEYS, hot_rows: int = hot.ROWS) -> DataFrame:
     """phot with kept. Each round keeps points nearer to the median of the kept ones than n_sigma robust deviations
     (1.4826 times the median absolute deviation) or their own error, whichever is larger; groups of fewer than 3 kept
-    points stay as they are. All rounds share one shuffle."""
+    points stay as they are. All rounds share one shuffle; hot groups (see hot) stay where they lie."""
+    groups = hot.hot_groups(phot, keys, hot_rows)
+    if groups is None:
+        return _clipped(phot, n_sigma, n_iter, keys)
+    cold, rest = hot.split(phot, groups, keys)
+    return _clipped(cold, n_sigma, n_iter, keys).unionByName(_clipped_in_place(rest, n_sigma, n_iter, keys))
+
+
+def _clipped(phot: DataFrame, n_sigma: float, n_iter: int, keys) -> DataFrame:
     g = Window.partitionBy(*keys)
     df = phot.withColumn("kept", F.lit(True))
     for _ in range(n_iter):
@@ -31,6 +41,20 @@ def sigma_clip(phot: DataFrame, n_sigma: float = 3.0, n_iter: int = 3, keys=KEYS
     return df
 
 
+def _clipped_in_place(phot: DataFrame, n_sigma: float, n_iter: int, keys) -> DataFrame:
+    """The same for a few groups of any size: medians by counts, joined to the points where they are."""
+    df = phot.withColumn("kept", F.lit(True))
+    for _ in range(n_iter):
+        m = hot.medians(df.filter("kept"), keys, "flux").withColumnRenamed("median", "__m")
+        df = df.join(F.broadcast(m), list(keys), "left").withColumn("__d", F.abs(F.col("flux") - F.col("__m")))
+        own = df.filter("kept").groupBy(*keys).agg(F.count("*").alias("__n"))
+        s = hot.medians(df.filter("kept"), keys, "__d").withColumnRenamed("median", "__s").join(own, list(keys))
+        df = df.join(F.broadcast(s), list(keys), "left")
+        near = F.col("__d") < F.greatest(F.col("__s") * 1.4826 * n_sigma, F.col("fluxerr"))
+        df = df.withColumn("kept", F.when(F.col("__n") < 3, F.col("kept")).otherwise(F.col("kept") & near)).drop("__m", "__n", "__d", "__s").select(*phot.columns, "kept")
+    return df
+
+
 def series(points: DataFrame, keys=KEYS) -> DataFrame:
     """One row for each group of spans: its kept points in order and the smoothing length, for solves that need a group
     whole: a group is the points of one object in one band."""
@@ -38,16 +62,21 @@ def series(points: DataFrame, keys=KEYS) -> DataFrame:
     return points.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("points"), F.max("length").alias("length"), F.max("n_count").alias("n_count"))
 
 
-def spans(clipped: DataFrame, length_scale: float | None = None, keys=KEYS) -> DataFrame:
-    """clipped with the first and last kept time, the smoothing length and the counts of its group."""
+def spans(clipped: DataFrame, length_scale: float | None = None, keys=KEYS, groups: DataFrame | None = None) -> DataFrame:
+    """clipped with the first and last kept time, the smoothing length and the counts of its group. groups: the hot ones (see hot),
+    whose numbers are joined to the points where they are."""
     if length_scale is not None and length_scale <= 0:
         raise ValueError("length_scale must be positive")
-    g, kept = Window.partitionBy(*keys), F.when(F.col("kept"), F.col("time"))
-    base = (F.max("time").over(g) - F.min("time").over(g)) / 5
-    return clipped.withColumns({
-        "first": F.min(kept).over(g), "last": F.max(kept).over(g), "length": F.lit(float(length_scale)) if length_scale is not None else base,
-        "n_clipped": F.count_if(~F.col("kept")).over(g), "n_count": F.count_if("kept").over(g),
-    })
+    kept = F.when(F.col("kept"), F.col("time"))
+    base = lambda lo, hi: F.lit(float(length_scale)) if length_scale is not None else (hi - lo) / 5
+    numbers = {"first": F.min(kept), "last": F.max(kept), "n_clipped": F.count_if(~F.col("kept")), "n_count": F.count_if("kept")}
+    order = [*clipped.columns, "first", "last", "length", "n_clipped", "n_count"]
+    if groups is not None:
+        cold, rest = hot.split(clipped, groups, keys)
+        by = rest.groupBy(*keys).agg(*(v.alias(n) for n, v in numbers.items()), base(F.min("time"), F.max("time")).alias("length"))
+        return spans(cold, length_scale, keys).select(order).unionByName(rest.join(F.broadcast(by), list(keys)).select(order))
+    g = Window.partitionBy(*keys)
+    return clipped.withColumns({**{n: v.over(g) for n, v in numbers.items()}, "length": base(F.min("time").over(g), F.max("time").over(g))}).select(order)
 
 
 def smoothed(points: DataFrame, n_grid: int = 500, keys=KEYS) -> DataFrame:
@@ -72,12 +101,19 @@ def side_counts(points: DataFrame, peaks: DataFrame, kernel: str = "gauss", keys
     return peaks.join(counts, list(keys))
 
 
-def peak_flux(phot: DataFrame, method: str = "twa", n_sigma: float = 3.0, n_clip_iter: int = 3, length_scale: float | None = None, n_grid: int = 500, gp_amplitude: float | None = None, keys=KEYS) -> DataFrame:
+def peak_flux(phot: DataFrame, method: str = "twa", n_sigma: float = 3.0, n_clip_iter: int = 3, length_scale: float | None = None, n_grid: int = 500, gp_amplitude: float | None = None, keys=KEYS, hot_rows: int = hot.ROWS) -> DataFrame:
     """Peak of each group: the largest smoothed value (twa), the median of the top twentieth of the grid (top5), or the
-    largest mean of a Gaussian process (gp). Groups with fewer than 2 kept points have null peaks."""
+    largest mean of a Gaussian process (gp). Groups with fewer than 2 kept points have null peaks. Points of hot groups are clipped
+    and smoothed where they lie, each task adding up what its own give to the grid; the process takes a group whole."""
     if method not in ("gp", "twa", "top5"):
         raise ValueError(f"unknown method {method}")
-    points = spans(sigma_clip(phot, n_sigma, n_clip_iter, keys), length_scale, keys)
+    groups = hot.hot_groups(phot, keys, hot_rows)
+    if groups is None:
+        clipped = _clipped(phot, n_sigma, n_clip_iter, keys)
+    else:
+        cold, rest = hot.split(phot, groups, keys)
+        clipped = _clipped(cold, n_sigma, n_clip_iter, keys).unionByName(_clipped_in_place(rest, n_sigma, n_clip_iter, keys))
+    points = spans(clipped, length_scale, keys, groups)
     if method == "gp":
         found = gp_peaks(series(points, keys), n_grid, gp_amplitude, keys)
     else:
