@@ -31,12 +31,14 @@ RECOLORED = f"""{ENRICHED}{sample_sql(DRAWS)[len(WARPS):]}, sv AS (SELECT draw,
 RECOLORED_TABLES = "fits colors template_flux rest_bands"
 
 
-def recolored(spark, d):
+def recolored(spark, d, *also):
     """Drawn rows (200 objects with replacement, two warps of each) with the dust of each colour mode; only what is drawn gets a model."""
     checkpoints(spark)
-    own = enriched(spark, d).drop("class")
+    own = enriched(spark, d)
     rows = W.serve(warps(spark, d), DRAWS, 2, SEED).select("draw", "nth", "id", "model", "z", "sf").join(own, ["id", "model"]).checkpoint()
-    parts = [C.ebv_shift(rows, m, SEED + 2).select(F.lit(m).alias("mode"), "draw", "nth", "id", "model", "z", "sf", F.col("samplecorr_ebv").alias("shift")) for m in MODES]
+    shifted = [C.ebv_shift(rows, m, SEED + 2) for m in MODES]
+    shifted = [r if "target" in r.columns else r.withColumn("target", F.col("peakcol")) for r in shifted]
+    parts = [r.select(F.lit(m).alias("mode"), "draw", "nth", "id", "model", "z", "sf", F.col("samplecorr_ebv").alias("shift"), *also) for m, r in zip(MODES, shifted)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -53,6 +55,44 @@ def served_spectra(spark, d):
     return by.select("mode", "draw", "nth", "id", "model", "phase", "n", F.round("t", 6).alias("total"), F.round(F.col("w") / F.col("t"), 4).alias("mean_wave"))
 
 
+# colours of the served models themselves, at their own peaks in the bands of their class, next to what was asked for
+MEASURED = f"""{RECOLORED}, sb AS (SELECT mode, draw, nth, sp.id, sp.model, cb.class, side, phase, sum(sp.flux * b.trans * sp.wave * 100 / ab.ab) AS f FROM sp JOIN cb ON cb.id = sp.id AND cb.model = sp.model JOIN rest_bands b ON b.band = cb.band AND b.wave = sp.wave JOIN ab ON ab.band = cb.band GROUP BY ALL),
+    sc AS (SELECT mode, draw, nth, id, model, class, side, max(f) AS f FROM sb GROUP BY ALL),
+    se AS (SELECT a.mode, a.draw, a.nth, a.class, -2.5::DOUBLE * log10(a.f / b.f) AS color, CASE a.mode WHEN 'none' THEN peakcol ELSE x + peakcol END AS target FROM sc a JOIN sc b ON a.mode = b.mode AND a.draw = b.draw AND a.nth = b.nth AND a.side = 1 AND b.side = 2
+    JOIN (SELECT mx.mode, mx.draw, mx.nth, mx.x, e.peakcol FROM mx JOIN (SELECT id, model, peakcol FROM en) e USING (id, model)) t ON t.mode = a.mode AND t.draw = a.draw AND t.nth = a.nth)"""
+
+
+def measured(spark, d):
+    """mode, draw, nth, class, color, target of the rows that are served."""
+    rows = recolored(spark, d, "class", "target").checkpoint()
+    spectra = row_spectra(spark, rows, "mode", "draw", "nth")
+    one, two = T.color_bands("class")
+    sides = rows.select("mode", "draw", "nth", F.inline(F.array(F.struct(F.lit(1).alias("side"), one.alias("band")), F.struct(F.lit(2).alias("side"), two.alias("band")))))
+    bands = A.rest_bands(spark)
+    lit = bands.join(S.ab_scale(bands), "band").select("band", "wave", (F.col("trans") * F.col("wave") * S.WAVE_STEP / F.col("ab")).alias("photons"))
+    flux = spectra.join(sides, ["mode", "draw", "nth"]).join(F.broadcast(lit), ["band", "wave"]).groupBy("mode", "draw", "nth", "side", "phase").agg(F.sum(F.col("flux") * F.col("photons")).alias("f"))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("f")))
+    color = flux.groupBy("mode", "draw", "nth").agg((-2.5 * F.log10(of(1) / of(2))).alias("color"))
+    return rows.select("mode", "draw", "nth", "class", "target").join(color, ["mode", "draw", "nth"])
+
+
+@query(A.with_ctes(RECOLORED_TABLES, f"{MEASURED} SELECT mode, draw, nth, class, round(color, 5) AS color, round(target, 5) AS target, abs(color - target) > 0.05 AS missed FROM se"))
+def served_colors(spark, d):
+    """Peak colour of each served model, as it is, harmonised or drawn, measured on its spectra; and whether it misses what the mode
+    asked for by over 0.05 (a class's cubic gives a target's dust on the average of its models)."""
+    m = measured(spark, d)
+    return m.select("mode", "draw", "nth", "class", F.round("color", 5).alias("color"), F.round("target", 5).alias("target"), (F.abs(F.col("color") - F.col("target")) > 0.05).alias("missed"))
+
+
+@query(A.with_ctes(RECOLORED_TABLES, f"""{MEASURED}, sh AS (SELECT mode, class, CAST(floor((color + 1) / 0.2::DOUBLE) AS INTEGER) AS bin, count(*) AS n FROM (SELECT mode, class, round(color, 7) AS color FROM se) GROUP BY 1, 2, 3) SELECT mode, class, bin, n, round(n / max(n) OVER (PARTITION BY mode, class), 6) AS height, round(n / sum(n) OVER (PARTITION BY mode, class) / 0.2, 6) AS share FROM sh"""))
+def served_color_histogram(spark, d):
+    """Distribution of those colours by class and mode, to hold against the class's density."""
+    m = measured(spark, d).withColumn("bin", F.floor((F.round("color", 7) + 1) / 0.2).cast("int")).groupBy("mode", "class", "bin").agg(F.count("*").alias("n"))
+    own = F.sum("n").over(C.Window.partitionBy("mode", "class"))
+    h = C.peak_normalised(m, "mode", "class")
+    return h.select("mode", "class", "bin", "n", F.round("height", 6).alias("height"), F.round(F.col("n") / own / 0.2, 6).alias("share"))
+
+
 SEEN = """, sn AS (SELECT *, lead(flux) OVER (PARTITION BY draw, nth, phase ORDER BY wave) AS nx, CAST(round((wave - 3000) / 100) AS INTEGER) AS node FROM sp WHERE mode = 'draw'),
     sl AS (SELECT draw, nth, band, trans, wave AS seen, wave / (1 + z) AS rest, z, (id % 4) * 0.1::DOUBLE AS host, (draw % 5) * 0.02::DOUBLE AS mw FROM bandpass, (SELECT DISTINCT draw, nth, id, z FROM sp WHERE mode = 'draw')),
     sx AS (SELECT *, CAST(floor((rest - 3000) / 100) AS INTEGER) AS node, (rest - 3000) / 100 - floor((rest - 3000) / 100) AS part FROM sl)"""
