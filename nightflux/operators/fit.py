@@ -18,7 +18,7 @@ PARTS, ROUNDS, MARGIN = 4, 2, 5.0
 
 
 def shifts(spark, z_values: DataFrame, ebv=None) -> DataFrame:
-    """z, ebv: the different redshifts (rounded, so a few hundred at most) with each dust node."""
+    """z, ebv: the different redshifts with each dust node. Models are made for each of them: round the redshifts of a large catalogue first."""
     return z_values.select("z").distinct().withColumn("ebv", F.explode(F.array(*(F.lit(float(e)) for e in (ebv or EBV_NODES)))))
 
 
