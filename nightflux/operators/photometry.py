@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import hot
+
 
 def light_curves(phot: DataFrame, cat: DataFrame, ids: DataFrame | None = None, min_sigma: float = 0.0) -> DataFrame:
     """Points of the objects with their catalogue data, in order of time within each object."""
@@ -18,11 +20,19 @@ def phase(time="time", t0="t0", z="z") -> Column:
     return (F.col(time) - F.col(t0)) / (1 + F.col(z))
 
 
-def error_floor(phot: DataFrame, mean_fraction: float = 0.05, own_fraction: float = 0.0, key: str = "object_id") -> DataFrame:
-    """fluxerr with a share of the object's mean flux and of the point's own flux added in quadrature."""
-    mean = F.avg("flux").over(Window.partitionBy(key))
-    first = F.sqrt((F.lit(mean_fraction) * mean) * (F.lit(mean_fraction) * mean) + F.col("fluxerr") * F.col("fluxerr"))
-    out = phot.withColumn("fluxerr", first)
+def error_floor(phot: DataFrame, mean_fraction: float = 0.05, own_fraction: float = 0.0, key: str = "object_id", hot_rows: int = hot.ROWS) -> DataFrame:
+    """fluxerr with a share of the object's mean flux and of the point's own flux added in quadrature. The points of hot objects (see
+    hot) stay where they lie and get their mean by a broadcast of those few."""
+    groups = hot.hot_groups(phot, [key], hot_rows)
+    if groups is None:
+        withed = phot.withColumn("__mean", F.avg("flux").over(Window.partitionBy(key)))
+    else:
+        cold, rest = hot.split(phot, groups, [key])
+        mean = rest.groupBy(key).agg(F.avg("flux").alias("__mean"))
+        columns = [*phot.columns, "__mean"]
+        withed = cold.withColumn("__mean", F.avg("flux").over(Window.partitionBy(key))).select(columns).unionByName(rest.join(F.broadcast(mean), key).select(columns))
+    floor = F.lit(mean_fraction) * F.col("__mean")
+    out = withed.withColumn("fluxerr", F.sqrt(floor * floor + F.col("fluxerr") * F.col("fluxerr"))).drop("__mean")
     return out.withColumn("fluxerr", F.sqrt((F.lit(own_fraction) * F.col("flux")) * (F.lit(own_fraction) * F.col("flux")) + F.col("fluxerr") * F.col("fluxerr")))
 
 
