@@ -63,13 +63,22 @@ PATTERNS = [
     ("iban", r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     ("ip", r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,5}){2,5}(?!\w)|(?<![\w(])\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\w)"),
+    ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-]?\d{2,5}){2,5}(?!\w)|(?<![\w(])\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-/])0\d(?P<gap>[ .\-])\d\d(?:(?P=gap)\d\d){3}(?![\w\-/])|(?<![\w.\-/+])555-\d{4}(?![\w\-/])"),
     ("card", r"(?<![\w])(?:\d{4}[ \-]){3}\d{4}(?!\w)|(?<!\w)\d{13,19}(?!\w)"),
 ]
 _FIND = re.compile("|".join(f"(?P<{n}>{p})" for n, p in PATTERNS))
 _SAID = re.compile(_KEYWORD + r"([0-9A-Za-z_\-/+.]{8,})")
 _LETTER = r"[^\W\d_]"
-_NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES.split())})\.?[ ]+)?(?P<first>{'|'.join(_NAMES)})(?:[ ]+(?P<last>(?-i:[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]){_LETTER}+(?:-{_LETTER}+)?))(?!\w)|(?<!\w)(?:{'|'.join(TITLES.split())})\.?[ ]+(?P<alone>[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]{_LETTER}+)(?!\w)")
+_CAPITAL = "[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯЁ]"
+_WORD = rf"{_CAPITAL}{_LETTER}+(?:-{_LETTER}+)?"
+_LISTED = "|".join([*_NAMES, *(n.upper() for n in _NAMES)])
+_TITLE = rf"(?:{'|'.join([*TITLES.split(), *TITLES.upper().split()])})\.?"
+#: A title with one or two names behind it, or a listed first name with a last name.
+_NAME = re.compile(rf"(?<!\w){_TITLE}[ ]+(?P<first>{_WORD})(?:[ ]+(?P<last>{_WORD}))?(?!\w)|(?<!\w)(?P<known>{_LISTED})[ ]+(?P<after>{_WORD})(?!\w)")
+#: Two capitalised words beside a name that is known already: "and Wei Chen", "Priya Patel and".
+_JOINED = re.compile(rf"(?<!\w)(?P<one>{_WORD}) (?P<two>{_WORD})(?!\w)")
+_AND = r"(?:and|or|und|oder|et|ou|y|o|и|или|και|&|,)"
+_BEFORE, _AFTER = re.compile(rf"{_AND} $"), re.compile(rf" ?{_AND} ")
 #: Bytes without which a text can hold no entity but names: digits, @, = and :.
 _MARKS = np.zeros(256, bool)
 _MARKS[[*b"0123456789@=:_"]] = True
@@ -77,6 +86,46 @@ _MARKS[[*b"0123456789@=:_"]] = True
 _HEADS = re.compile(rb"AKIA|(?:sk|pk|ghp|gho|xox[bap])-")
 
 
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """Names of a text: those with a title or a listed first name, pairs of capitalised words that a conjunction joins to
+    one of them, and wherever else a name of these stands by itself, as written, possessive or in capitals. A word of a
+    found name that is an ordinary word too is replaced at each of its places in that text."""
+    found = []
+    for m in _NAME.finditer(text):
+        if m["known"]:
+            found += [(*m.span("known"), "first_name"), (*m.span("after"), "last_name")]
+        elif m["last"]:
+            found += [(*m.span("first"), "first_name"), (*m.span("last"), "last_name")]
+        else:
+            found.append((*m.span("first"), "last_name"))
+    if not found:
+        return found
+    begins, ends = {a for a, _, _ in found}, {z for _, z, _ in found}
+    pairs = [m for m in _JOINED.finditer(text) if m.start() not in begins and m.end() not in ends]
+    joined = {}
+    for m in pairs:
+        before = _BEFORE.search(text, max(m.start() - 6, 0), m.start())
+        if before and before.start() - (text[max(before.start() - 1, 0)] == " ") in ends:
+            joined[m.start()] = m
+            ends.add(m.end())
+    for m in reversed(pairs):
+        after = _AFTER.match(text, m.end())
+        if after and after.end() in begins:
+            joined[m.start()] = m
+        if m.start() in joined:
+            begins.add(m.start())
+    for m in joined.values():
+        found += [(*m.span("one"), "first_name"), (*m.span("two"), "last_name")]
+    kinds: dict[str, str] = {}
+    for a, z, kind in sorted(found):
+        kinds.setdefault(text[a:z], kind)
+    for value, kind in list(kinds.items()):
+        kinds.setdefault(value.upper(), kind)
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(kinds, key=lambda v: (-len(v), v))))})(?!\w)")
+    known = {a for a, _, _ in found}
+    return found + [(*m.span(), kinds[m[0]]) for m in again.finditer(text) if m.start() not in known]
+
+
 def detect(text: str, marked: bool = True, named: bool = True) -> list[tuple[int, int, str]]:
     """Entities of a text as (start, end, type), from the left, without overlaps."""
     found = []
@@ -84,12 +133,7 @@ def detect(text: str, marked: bool = True, named: bool = True) -> list[tuple[int
         found += [(m.start(), m.end(), m.lastgroup) for m in _FIND.finditer(text)]
         found += [(m.start(1), m.end(1), "secret") for m in _SAID.finditer(text) if any(map(str.isalnum, m[1]))]
     if named:
-        for m in _NAME.finditer(text):
-            if m["alone"]:
-                found.append((m.start("alone"), m.end("alone"), "last_name"))
-            else:
-                found.append((m.start("first"), m.end("first"), "first_name"))
-                found.append((m.start("last"), m.end("last"), "last_name"))
+        found += _names(text)
     out, done = [], 0
     for a, z, kind in sorted(found, key=lambda x: (x[0], -x[1])):
         if a >= done:
@@ -172,6 +216,8 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
     if kind == "phone" and value.startswith("+"):
         code = re.match(r"\+\d{1,3}(?=[ .\-(])|\+\d", value)[0]
         return code + same_format(value[len(code) :], key, f"{t}|{code}")
+    if kind == "phone" and re.match(r"0\d\D", value):
+        return "0" + same_format(value[1:], key, t + "|0")
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         if _check_digit(digits[:-1]) == digits[-1]:
@@ -187,6 +233,8 @@ def surrogate(kind: str, value: str, key: bytes, tweak: int = 0) -> str:
         return "".join(ch if ch == " " else next(new) for ch in value)
     if kind == "secret":
         return same_format(value, key, t, _HEX if set(value) <= set(_HEX) else None)
+    if kind.endswith("_name") and len(value) > 1 and value.isupper():
+        return surrogate(kind, value.title(), key, tweak).upper()
     if kind == "first_name" and value in _NAMES:
         group, i = _NAMES[value]
         names = FIRST_NAMES[group].split()
@@ -202,7 +250,7 @@ def _kept(kind: str, value: str, key: bytes) -> str:
 
 def _hints() -> np.ndarray:
     """Slots of the hashes of first names and titles."""
-    h = np.array([C.hash_word(w) for w in [*_NAMES, *TITLES.split()]], C.U64)
+    h = np.array([C.hash_word(w) for n in [*_NAMES, *TITLES.split()] for w in (n, n.upper())], C.U64)
     table = np.zeros(1 << 20, bool)
     table[(h >> C.U64(44)).astype(np.int64)] = True
     return table
@@ -296,6 +344,10 @@ def session_key(spark) -> str:
 def replace(docs: DataFrame, key: str, column: str = "entities") -> DataFrame:
     """docs with the entities of text replaced, and listed in column (type, start and length in the new text).
 
+    No original of a name found in a text stays in that text: bare and possessive mentions get the surrogate of the full
+    one, those in capitals the same surrogate in capitals (unless a collision had one of the forms drawn again). Other
+    forms of a name, as initials or nicknames, aren't tied to it.
+
     All columns stay, but one of that name. Null texts stay null and empty ones empty. Rows without
     doc_id and rows that are repeated are handled like all others: a surrogate depends on key, type and value alone.
     """
@@ -342,6 +394,7 @@ def replace(docs: DataFrame, key: str, column: str = "entities") -> DataFrame:
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
+    """All documents with their entities replaced: doc_id, n_entities, types, text, text_sha256."""
     done = replace(C.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda x: x.type))), ",")
     return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), kinds.alias("types"), "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
