@@ -17,16 +17,34 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Identity terms by kind; a term is swapped for another of its kind (fixed values).
+#: Identity terms by language and kind; a term is swapped for another of its kind (fixed values).
 IDENTITY = {
     "faith": "muslim christian jewish hindu buddhist sikh atheist catholic protestant islam judaism christianity",
     "faithful": "muslims christians jews hindus buddhists sikhs atheists catholics protestants",
     "gender": "man woman male female boy girl men women boys girls transgender nonbinary",
+    "pronoun": "he she",
+    "pronoun, object": "him her",
+    "pronoun, own": "his hers",
     "orientation": "gay lesbian bisexual straight queer heterosexual homosexual",
     "origin": "black white asian latino african american european arab mexican chinese indian immigrant refugee",
     "origins": "blacks whites asians latinos africans americans europeans arabs mexicans immigrants refugees",
     "ability": "deaf blind disabled autistic",
     "age": "old young elderly teenage",
+    "de faith": "muslim christ jude hindu buddhist atheist katholik protestant",
+    "de gender": "mann frau junge mädchen männer frauen",
+    "de pronoun": "er sie",
+    "de pronoun, object": "ihn ihm ihr",
+    "de origin": "deutscher türke araber afrikaner europäer ausländer flüchtling",
+    "fr faith": "musulman chrétien juif hindou bouddhiste athée catholique protestant",
+    "fr gender": "homme femme garçon fille hommes femmes",
+    "fr pronoun": "il elle",
+    "fr pronouns": "ils elles",
+    "fr origin": "français arabe africain européen asiatique étranger réfugié",
+    "es faith": "musulmán cristiano judío hindú budista ateo católico protestante",
+    "es gender": "hombre mujer niño niña hombres mujeres",
+    "es pronoun": "él ella",
+    "es pronouns": "ellos ellas",
+    "es origin": "español árabe africano europeo asiático extranjero refugiado",
 }
 #: Rows of the sample, words of the model, weights of the penalties.
 SAMPLE, WORDS, PENALTY, SHRINK = 12_000, 2048, 1.0, 1e-3
@@ -134,19 +152,26 @@ def counterfactuals(row, col, n: int, kinds: list) -> tuple[np.ndarray, np.ndarr
     return np.array(rows), np.array(cols), np.array(by)
 
 
+def objective(w, y, row, col, change_row, change_col, change, penalty: float) -> tuple[float, np.ndarray]:
+    """Mean log loss + penalty times the mean squared counterfactual change + a small ridge, and the gradient. The last
+    of w is the intercept; row, col: the words of the texts; change_row, change_col, change: what a swap adds to them."""
+    n, width = len(y), len(w) - 1
+    z = np.bincount(row, w[col], minlength=n) + w[-1]
+    err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
+    moved = np.bincount(change_row, change * w[change_col], minlength=n)
+    value = (np.logaddexp(0, z) - y * z).mean() + penalty * (moved**2).mean() + SHRINK / 20 * (w[:-1] ** 2).sum()
+    g = np.append(np.bincount(col, err[row], minlength=width) + SHRINK / 10 * w[:-1], err.sum())
+    g[:-1] += 2 * penalty / n * np.bincount(change_col, change * moved[change_row], minlength=width)
+    return value, g
+
+
 def descend(y, row, col, change_row, change_col, change, width: int, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Minimise log loss + penalty times the squared counterfactual change + a small ridge (Adam)."""
-    n = len(y)
-    w, g = np.zeros(width + 1), np.zeros(width + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
+    """Weights and intercept of the least objective (Adam)."""
+    w = np.zeros(width + 1)
+    w[-1] = np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col], minlength=n) + w[-1]
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g[:-1] = np.bincount(col, err[row], minlength=width) + SHRINK * w[:-1] / 10
-        g[-1] = err.sum()
-        moved = np.bincount(change_row, change * w[change_col], minlength=n)
-        g[:-1] += 2 * penalty / n * np.bincount(change_col, change * moved[change_row], minlength=width)
+        _, g = objective(w, y, row, col, change_row, change_col, change, penalty)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
