@@ -3,8 +3,8 @@
 Method: corners at several scales, each with a binary code of brightness tests turned to the corner's orientation. Codes
 are cut into keys; corners of two images with an equal key are candidates (Hamming tables), those whose codes differ in
 few bits are matches, and matches that agree on one scale, turn and shift are a copy. Images with equal pixels are one
-node, so groups of exact copies cost one image. A key that too many corners share says little and would pair them all:
-such keys are made longer by other parts of the code, twice at most, and what is common even then is joined whole.
+node, so groups of exact copies cost one image. Query images and all images are dealt in chunks, each chunk of the one
+meets each of the other in a task, and there every pair of corners with an equal key is compared, however many have it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from . import common as C
 SCALES, CORNERS, BITS, HALF, KEYS = (1.0, 0.75, 0.5), (16, 10, 6), 256, 9, 6
 #: How many times longer a test is across a corner's direction than along it, and its least length across.
 ACROSS, LEAST = 4, 2
-#: Bits that may differ, corners that must agree, corners with one key at most before it is made longer.
-FAR, AGREE, COMMON = 52, 6, 64
-#: Tasks over which the corners of a key that stays common are dealt.
-SALTS = 16
+#: Bits that may differ, corners that must agree.
+FAR, AGREE = 52, 6
+#: Images of a chunk at most, image pairs of two chunks that are worth a task, and corner pairs that are held at a time.
+CHUNK, WORTH, HELD = 1 << 14, 100_000, 1 << 20
 
 
 @functools.lru_cache(1)
@@ -134,30 +134,132 @@ def corners(images: DataFrame) -> DataFrame:
     return C.per_batch(images.select("image_id", "pixel_key", F.col("height").cast("int"), F.col("width").cast("int"), "pixels"), work, CORNERS_OF)
 
 
-def shared_keys(rows: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Corner keys (node, corner, asks, nth, key) that a query's corner has and that more than one corner has: those of
-    keys that few corners share, and the rest. rows: node, corner, asks, nth (which key of the code), key; codes: node,
-    corner, code, which only corners with common keys are joined with.
+SIDE = ("node", "y", "x", "turn", "scale", "code")
+LINKS = "node_a long, node_b long, agree int"
 
-    A key that more than COMMON corners have gets three more bytes of the code, in two versions that read different
-    parts, so that close codes still meet; twice at most. What is common even then is the rest, of any size.
+
+def _side(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Nodes, and for each corner its image (a place in nodes), y, x, turn, scale and code as four numbers."""
+    table = table.combine_chunks()
+    lists = [table.column(c).combine_chunks() for c in SIDE]
+    image = np.repeat(np.arange(table.num_rows), lists[1].value_lengths().to_numpy(zero_copy_only=False))
+    code = C.text_bytes(lists[5].flatten())[0].reshape(-1, BITS // 8)
+    return lists[0].to_numpy(), image, *(c.flatten().to_numpy() for c in lists[1:5]), np.ascontiguousarray(code).view(np.uint64)
+
+
+def _part(side: tuple[np.ndarray, ...], a: int, z: int) -> tuple[np.ndarray, ...]:
+    """The images from a to z of a side."""
+    i, j = np.searchsorted(side[1], (a, z))
+    return side[0][a:z], side[1][i:j] - a, *(c[i:j] for c in side[2:])
+
+
+def _keys(code: np.ndarray) -> np.ndarray:
+    """The KEYS keys of three bytes of each code."""
+    b = code.view(np.uint8).reshape(-1, BITS // 8)[:, : 3 * KEYS].reshape(-1, KEYS, 3).astype(np.int32)
+    return (b[:, :, 0] << 16 | b[:, :, 1] << 8 | b[:, :, 2]).T
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """For each row the number of its combination of values."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in order, by sorting: np.unique hashes, which takes several times as long here."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def agreement(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Images of a and b, and the corners that agree, of image pairs with enough of the matches (corner i of a, j of b)."""
+    i, j = np.divmod(_distinct(i * len(b[1]) + j), len(b[1]))
+    pair = a[1][i] * len(b[0]) + b[1][j]
+    pairs, pair, count = np.unique(pair, return_inverse=True, return_counts=True)
+    enough = count[pair] >= AGREE
+    i, j, pair = i[enough], j[enough], pair[enough]
+    # each match proposes a scale and a turn, and with them where the origin of one image lies in the other
+    (ya, xa, ta, sa), (yb, xb, tb, sb) = ([c[k] for c in side[2:6]] for side, k in ((a, i), (b, j)))
+    s, t = sa.astype(float) / sb, (tb - ta).astype(float)
+    dx, dy = xb - s * (np.cos(t) * xa - np.sin(t) * ya), yb - s * (np.sin(t) * xa + np.cos(t) * ya)
+    scale = np.rint(np.log2(s) * 2).astype(np.int64)
+    best = np.zeros(len(pairs), np.int64)
+    for o, p in ((0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)):
+        cell = _numbered(pair, scale, np.floor(dx / 12 + o), np.floor(dy / 12 + p))
+        sides = [np.bincount(_distinct(cell * len(side[1]) + k) // len(side[1]), minlength=1) for side, k in ((a, i), (b, j))]
+        np.maximum.at(best, pair, np.minimum(*sides)[cell])
+    good = np.flatnonzero(best >= AGREE)
+    return *np.divmod(pairs[good], len(b[0])), best[good]
+
+
+def links(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]):
+    """Nodes of a and b and the corners that agree, for the image pairs of two sides that are copies: every pair of corners
+    with an equal key is compared, about HELD of them at a time."""
+    keys, begin, size = _keys(b[6]), [], []
+    order = [np.argsort(k, kind="stable") for k in keys]
+    images = [b[1][o] for o in order]
+    for own, k, o in zip(_keys(a[6]), keys, order):
+        begin.append(np.searchsorted(k[o], own))
+        size.append(np.searchsorted(k[o], own, side="right") - begin[-1])
+    held = np.cumsum(np.bincount(a[1], sum(size), len(a[0])))
+    first = 0
+    while first < len(a[0]):
+        done = held[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(held, done + HELD, side="right")))
+        if held[last - 1] - done > HELD and len(b[0]) > 1:
+            half = len(b[0]) // 2
+            for part in (_part(b, 0, half), _part(b, half, len(b[0]))):
+                yield from links(_part(a, first, last), part)
+        else:
+            own = slice(*np.searchsorted(a[1], (first, last)))
+            at = np.arange(own.start, own.stop)
+            row = (a[1][own] - first) * len(b[0])
+            spans = [(s[own], n[own]) for s, n in zip(begin, size)]
+            pair = np.concatenate([np.repeat(row, n) + image[C.spread(s, n)] for image, (s, n) in zip(images, spans)])
+            count = np.bincount(pair, minlength=(last - first) * len(b[0]))
+            kept = np.flatnonzero((count >= AGREE)[pair])  # fewer equal keys than corners that must agree: no link
+            i = np.concatenate([np.repeat(at, n) for _, n in spans])[kept]
+            j = np.concatenate([o[C.spread(s, n)] for o, (s, n) in zip(order, spans)])[kept]
+            far = np.bitwise_count(a[6][i] ^ b[6][j]).sum(1)
+            close = (far <= FAR) & (a[0][a[1][i]] != b[0][b[1][j]])
+            pair = pair[kept]
+            close &= (np.bincount(pair[close], minlength=len(count)) >= AGREE)[pair]
+            one, two, agree = agreement(a, b, i[close], j[close])
+            yield a[0][one], b[0][two], agree
+        first = last
+
+
+def compared(images: DataFrame) -> DataFrame:
+    """node_a, node_b, agree of each query image and each other image that is a copy. images: node, asks and by corner
+    y, x, turn, scale, code; a table, as it is read twice.
+
+    Queries are dealt to a few chunks and images to more, so that both sides are sent about as often; the work is that
+    of all pairs of chunks.
     """
-    out = None
-    for level in range(3):
-        counts = rows.groupBy("key").agg(F.count("*").alias("c"), F.max("asks").alias("asked")).filter("c > 1 and asked").select("key", (F.col("c") > COMMON).alias("many"))
-        found = C.written(rows.join(C.written(counts, "counts"), "key"), "keys")
-        rare, many = (found.filter(c).select("node", "corner", "asks", "nth", "key") for c in ("not many", "many"))
-        out = rare if out is None else out.unionByName(rare)
-        if level == 2:
-            return out, many
-        more = F.array(*(F.xxhash64("key", F.lit(2 * level + i), F.substring(F.hex("code"), 1 + F.pmod(F.col("nth") * 6 + 6 * step, F.lit(BITS // 4 - 6)).cast("int"), F.lit(6))) for i, step in enumerate((1 + level, 5 + level))))
-        rows = many.join(codes, ["node", "corner"]).select("node", "corner", "asks", "nth", F.explode(more).alias("key"))
+    n, asked = images.agg(F.count("*"), F.count_if("asks")).first()
+    tasks = max(1, min(8 * images.sparkSession.sparkContext.defaultParallelism, n * asked // WORTH))
+    few = max(-(-asked // CHUNK), round((tasks * asked / max(n, 1)) ** 0.5), 1)
+    many = max(-(-n // CHUNK), -(-tasks // few))
+    chunk = lambda parts: F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asking = images.filter("asks").select(chunk(few).alias("ask"), every(many).alias("chunk"), *SIDE)
+    others = images.select(every(few).alias("ask"), chunk(many).alias("chunk"), *SIDE)
 
+    def work(left, right):
+        if not (left.num_rows and right.num_rows):
+            return pa.schema([("node_a", pa.int64()), ("node_b", pa.int64()), ("agree", pa.int32())]).empty_table()
+        one, two, agree = (np.concatenate(c) for c in zip(*links(_side(left), _side(right))))
+        return pa.table({"node_a": one, "node_b": two, "agree": agree.astype(np.int32)})
 
-def differing(a: str, b: str) -> F.Column:
-    """How many bits of two codes differ."""
-    bits = lambda c: [F.conv(F.substring(F.hex(c), 1 + 15 * i, 15 if i < 4 else 4), 16, 10).cast("long") for i in range(5)]
-    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits(a), bits(b))), F.lit(0))
+    dealt = [df.repartition(few * many, "ask", "chunk").groupBy("ask", "chunk") for df in (asking, others)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(work, LINKS)
 
 
 def copies(images: DataFrame, queries) -> DataFrame:
@@ -167,9 +269,7 @@ def copies(images: DataFrame, queries) -> DataFrame:
     rows that are repeated fall in one class and get a row each. Different pictures under one image_id are classes with
     one number; of those the picture with the least pixel hash is compared.
 
-    Only numbers of corners are joined by key; image pairs that share too few of them to agree are dropped before codes
-    and places are read, which loses none. Keys that stay common are joined with the codes, so that only close codes
-    become rows; their corners are dealt over SALTS tasks and the queries' repeated, so no key falls to one task.
+    Images are compared in pairs of chunks, see compared; no key is too common to be looked at.
     """
     images = images.select(F.col("image_id").cast("long").alias("image_id"), "height", "width", "pixels")
     named = images.filter("image_id is not null")
@@ -180,35 +280,7 @@ def copies(images: DataFrame, queries) -> DataFrame:
     classes = C.written(named_keys.groupBy("pixel_key").agg(F.min("image_id").alias("node"), F.max(queries("image_id")).alias("asks")), "classes")
     every = drawn.filter(F.size("corners") > 0).join(classes, ["pixel_key"]).filter("image_id = node")
     least = every.groupBy("node").agg(F.max("asks").alias("asks"), F.min_by("corners", "pixel_key").alias("corners"))
-    found = C.written(least.select("node", "asks", F.inline("corners")), "corners")
-    codes = found.select("node", "corner", "code")
-    parts = F.array(*(F.conv(F.substring(F.hex("code"), 1 + 6 * i, 6), 16, 10).cast("long") + F.lit(i << 24) for i in range(KEYS)))
-    rare, rest = shared_keys(found.select("node", "corner", "asks", F.posexplode(parts).alias("nth", "key")), codes)
-    side = lambda df, s, *cols: df.select(*(c for c in ("key", "salt") if c in df.columns), *(F.col(c).alias(f"{c}_{s}") for c in cols))
-    pair = ("node_a", "corner_a", "node_b", "corner_b")
-    met = side(rare.filter("asks"), "a", "node", "corner").join(side(rare, "b", "node", "corner"), "key").filter("node_a <> node_b").select(*pair)
-    rest = C.written(rest.join(codes, ["node", "corner"]), "rest")
-    dealt = rest.withColumn("salt", F.pmod(F.xxhash64("node", "corner"), F.lit(SALTS)).cast("int"))
-    repeated = rest.filter("asks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    close = (F.col("node_a") != F.col("node_b")) & (differing("code_a", "code_b") <= FAR)
-    hot = side(repeated, "a", "node", "corner", "code").join(side(dealt, "b", "node", "corner", "code"), ["key", "salt"]).filter(close).select(*pair)
-    met = C.written(met.unionByName(hot).distinct(), "met")
-    enough = met.groupBy("node_a", "node_b").agg(F.count_distinct("corner_a").alias("p"), F.count_distinct("corner_b").alias("q")).filter((F.col("p") >= AGREE) & (F.col("q") >= AGREE)).select("node_a", "node_b")
-    place = ("node", *PLACE)
-    pairs = met.join(C.written(enough, "enough"), ["node_a", "node_b"]).join(side(found, "a", *place), ["node_a", "corner_a"]).join(side(found, "b", *place), ["node_b", "corner_b"])
-    far = differing("code_a", "code_b")
-    # each match proposes a scale and a turn, and with them where the origin of one image lies in the other
-    s = F.col("scale_a") / F.col("scale_b")
-    t = F.col("turn_b") - F.col("turn_a")
-    vote = pairs.filter(far <= FAR).select(
-        "node_a", "node_b", "corner_a", "corner_b",
-        F.round(F.log2(s) * 2).cast("int").alias("v_scale"),
-        (F.col("x_b") - s * (F.cos(t) * F.col("x_a") - F.sin(t) * F.col("y_a"))).alias("dx"),
-        (F.col("y_b") - s * (F.sin(t) * F.col("x_a") + F.cos(t) * F.col("y_a"))).alias("dy"),
-    )
-    cells = F.array(*(F.struct(F.floor(F.col("dx") / 12 + o).alias("cx"), F.floor(F.col("dy") / 12 + p).alias("cy"), F.lit(n).alias("grid")) for n, (o, p) in enumerate(((0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)))))
-    agreed = vote.withColumn("cell", F.explode(cells)).groupBy("node_a", "node_b", "v_scale", "cell").agg(F.least(F.count_distinct("corner_a"), F.count_distinct("corner_b")).alias("agree"))
-    good = agreed.groupBy("node_a", "node_b").agg(F.max("agree").alias("agree")).filter(F.col("agree") >= AGREE)
+    good = compared(C.written(least.select("node", "asks", *(F.col(f"corners.{c}").alias(c) for c in SIDE[1:])), "corners"))
     lists = good.groupBy("node_a").agg(F.array_sort(F.collect_list(F.struct(F.col("node_b").alias("class_id"), F.col("agree").alias("corners")))).alias("matches"))
     per_class = classes.join(C.written(lists, "matches"), F.col("node") == F.col("node_a"), "left").select("pixel_key", F.col("node").alias("class_id"), "matches")
     out = named_keys.join(per_class, "pixel_key").select("image_id", "class_id", "matches")
