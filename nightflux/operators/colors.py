@@ -190,57 +190,100 @@ def color_lines(at_peak: DataFrame, bandpass: DataFrame, *keys: str) -> DataFram
     return lit.groupBy(*keys).agg(F.collect_list(line).alias("lines"))
 
 
-def colors_behind(w, k, one, first, of, ebv) -> tuple[np.ndarray, np.ndarray]:
-    """Colour of each row behind dust of its ebv, and the change of it by ebv. w, k, one: the lines of all rows in a row (photons,
-    dust ratio, whether of side 1); first: where a row's lines begin; of: the row of each line."""
-    y = w * np.exp(-DIM * ebv[of] * k)
-    s1, s2 = (np.add.reduceat(np.where(side, y, 0.0), first) for side in (one, ~one))
-    t1, t2 = (np.add.reduceat(np.where(side, y * k, 0.0), first) for side in (one, ~one))
+def colors_behind(w: list, k: list, ebv: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Colour of each row behind dust of its ebv, and the change of it by ebv. w, k: for side 1 and side 2, a row's photons and dust
+    ratios by line."""
+    y = [a * np.exp(-DIM * ebv[:, None] * b) for a, b in zip(w, k, strict=True)]
+    s1, s2 = (v.sum(axis=1) for v in y)
+    t1, t2 = (np.einsum("ij,ij->i", v, b) for v, b in zip(y, k, strict=True))
     return -2.5 * np.log10(s1 / s2), 2.5 / math.log(10.0) * DIM * (t1 / s1 - t2 / s2)
 
 
+def dust_behind(w: list, k: list, of: np.ndarray, target: np.ndarray, bounds=(-5.0, 5.0), rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """E(B-V) at which the colour of row of is the target, and the colour there; NaN where none within bounds gives it to 1e-6. Newton
+    steps within a bracket (colours get redder with dust); targets that are met take no part in further rounds."""
+    n = len(target)
+    lo, hi, e, color = np.full(n, bounds[0]), np.full(n, bounds[1]), np.zeros(n), np.full(n, np.nan)
+    left = np.flatnonzero(np.isfinite(target))
+    with np.errstate(all="ignore"):
+        for _ in range(rounds):
+            if not len(left):
+                break
+            at, mine = e[left], of[left]
+            c, slope = colors_behind([x[mine] for x in w], [x[mine] for x in k], at)
+            color[left] = c
+            off = c - target[left]
+            low, high = np.where(off <= 0, at, lo[left]), np.where(off >= 0, at, hi[left])
+            newton = at - off / slope
+            to = np.where((newton >= low) & (newton <= high), newton, (low + high) / 2)
+            lo[left], hi[left] = low, high
+            going = np.abs(to - at) >= 1e-13
+            left = left[going]
+            e[left] = to[going]
+        color[left] = colors_behind([x[of[left]] for x in w], [x[of[left]] for x in k], e[left])[0] if len(left) else color[left]
+    miss = ~(np.abs(color - target) < 1e-6)
+    return np.where(miss, np.nan, e), np.where(miss, np.nan, color)
+
+
+def dense(n: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Rows of n values each, filled up with 0."""
+    out = np.zeros((len(n), int(n.max(initial=1))))
+    out[np.arange(out.shape[1]) < n[:, None]] = values
+    return out
+
+
 def ebv_for(lines: DataFrame, targets: DataFrame, *keys: str, bounds=(-5.0, 5.0), rounds: int = 60) -> DataFrame:
     """keys, target, ebv_fit, color: the E(B-V) within bounds at which a model's colour is the target, and the colour there; null
-    where no such dust gives it. lines: of color_lines, targets: keys, target.
-
-    Each row's colour is evaluated at its own E(B-V), by Newton steps that stay within a bracket (colours get redder with dust),
-    for the rows of an Arrow batch at a time.
+    where no such dust gives it. lines: of color_lines, targets: keys, target. Rows are solved an Arrow batch at a time (dust_behind).
     """
     both = targets.select(*keys, "target").join(lines.select(*keys, "lines"), list(keys)).filter("target is not null and size(lines) > 0")
 
-    def solved(batch):
-        column = batch.column("lines")
-        n = np.asarray(column.value_lengths())
-        each = column.flatten()
-        w, k, one = np.asarray(each.field("w"), float), np.asarray(each.field("k"), float), np.asarray(each.field("side")) == 1
-        first, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-        target = np.asarray(batch.column("target"), float)
-        lo, hi, e = np.full(len(n), bounds[0]), np.full(len(n), bounds[1]), np.zeros(len(n))
-        with np.errstate(all="ignore"):
-            for _ in range(rounds):
-                color, slope = colors_behind(w, k, one, first, of, e)
-                off = color - target
-                lo, hi = np.where(off <= 0, e, lo), np.where(off >= 0, e, hi)
-                newton = e - off / slope
-                to = np.where((newton >= lo) & (newton <= hi), newton, (lo + hi) / 2)
-                if np.nanmax(np.abs(to - e), initial=0.0) < 1e-13:
-                    break
-                e = to
-            color = colors_behind(w, k, one, first, of, e)[0]
-        miss = ~(np.abs(color - target) < 1e-6)
-        return pa.array(e, mask=miss), pa.array(color, mask=miss)
-
     def work(batches):
         for batch in batches:
             if batch.num_rows:
-                e, color = solved(batch)
+                column = batch.column("lines")
+                rows = np.repeat(np.arange(batch.num_rows), np.asarray(column.value_lengths()))
+                each = column.flatten()
+                side = np.asarray(each.field("side"))
+                part = lambda f, i: dense(np.bincount(rows[side == i], minlength=batch.num_rows), np.asarray(each.field(f), float)[side == i])  # noqa: B023, E731
+                e, color = dust_behind([part("w", 1), part("w", 2)], [part("k", 1), part("k", 2)], np.arange(batch.num_rows), np.asarray(batch.column("target"), float), bounds, rounds)
                 kept = [batch.column(c) for c in (*keys, "target")]
-                yield pa.RecordBatch.from_arrays([*kept, e, color], [*keys, "target", "ebv_fit", "color"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(e, mask=np.isnan(e)), pa.array(color, mask=np.isnan(color))], [*keys, "target", "ebv_fit", "color"])
 
     fields = [*(both.schema[c] for c in (*keys, "target")), T.StructField("ebv_fit", T.DoubleType()), T.StructField("color", T.DoubleType())]
     return both.mapInArrow(work, T.StructType(fields))
 
 
+def warped_ebv(rows: DataFrame, factors, lines: dict, *keys: str) -> DataFrame:
+    """keys, target, ebv_fit for each of a row's targets, as ebv_for gives them. rows: of synphot.warped_peaks, with targets (an array); factors and lines
+    as there. A model's lines are made where they are needed and never leave their task."""
+    from .synphot import by_lines
+
+    told = rows.sparkSession.sparkContext.broadcast(lines)
+
+    def work(batches):
+        for batch in batches:
+            n = np.asarray(batch.column("targets").value_lengths())
+            ends = np.concatenate([[0], np.cumsum(n)])
+            target = np.asarray(batch.column("targets").flatten(), float)
+            e = np.full(len(target), np.nan)
+            for at, part, sides in by_lines(batch, told.value):
+                w, k = [], []
+                for i, (phases, v, ratio, weights) in enumerate(sides, 1):
+                    phase = np.asarray(part.column(f"phase_{i}"), float)
+                    f = factors(part, phase[:, None])[:, 0]
+                    w.append(v[np.searchsorted(phases, phase)] * np.maximum(f @ weights.T, 0.0))
+                    k.append(np.broadcast_to(ratio, w[-1].shape))
+                mine = np.concatenate([np.arange(ends[x], ends[x + 1]) for x in at])
+                e[mine] = dust_behind(w, k, np.repeat(np.arange(len(at)), n[at]), target[mine])[0]
+            lists = (pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(target), pa.array(e, mask=np.isnan(e))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), *lists], [*keys, "target", "ebv_fit"])
+
+    array = T.ArrayType(T.DoubleType())
+    solved = rows.mapInArrow(work, T.StructType([*(rows.schema[c] for c in keys), T.StructField("target", array), T.StructField("ebv_fit", array)]))
+    return solved.select(*keys, F.inline(F.arrays_zip("target", "ebv_fit")))
+
+
 def ebv_shift(df: DataFrame, mode: str = "none", seed: int = 0, formula: str = "difference", key: str = "model"):
     """samplecorr_ebv: none; harmonize to the class's loc; draw from its ex-Gaussian. formula: the cubic of target less
     peak colour ('difference'), or the cubic of the target less the peak colour ('served')."""
