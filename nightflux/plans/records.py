@@ -49,11 +49,11 @@ SEEDED = f"""{PEAK}{flux_sql()}{NODES}{POINTS}{flux_sql(zs="SELECT 0.0::DOUBLE A
 SEED_TABLES = "photometry catalog template_flux bandpass"
 
 
-def seeded(spark, d):
-    """Seeded fits of all objects and templates, the points and the bands' peaks."""
+def seeded(spark, d, bands=("ztfg", "ztfr")):
+    """Seeded fits of all objects and templates, the points and the peaks of bands."""
     checkpoints(spark)
     p = points(spark, d).checkpoint()
-    found = P.peak_flux(A.photometry(spark, d), "twa", n_grid=N_GRID).checkpoint()
+    found = P.peak_flux(A.photometry(spark, d).filter(F.col("band").isin(*bands)), "twa", n_grid=N_GRID).checkpoint()
     phases = Syn.peak_phases(rest_fluxes(spark).filter("band in ('ztfg', 'ztfr')"), "template").groupBy("template").agg(F.avg("peak_phase").alias("peak_phase"))
     red = found.filter("band = 'ztfr'").select("object_id", "peak_time")
     seeds = p.select("object_id").distinct().join(F.broadcast(phases)).join(red, "object_id", "left")  # a row for each template
@@ -64,7 +64,7 @@ def seeded(spark, d):
 @query(A.with_ctes(SEED_TABLES, f"{SEEDED} SELECT object_id, template, round(t0guess, 5) AS t0guess, round(t0, 5) AS t0, round(t0diff, 5) AS t0diff, ebv, round(chisq, 3) AS chisq, (n - 3)::INTEGER AS ndof FROM sfit"))
 def seeded_fit(spark, d):
     """Fits that begin at the expected time as well as all over the data, with up to three minima followed."""
-    f = seeded(spark, d)[2].select("object_id", "template", "t0guess", "t0", "t0diff", "ebv", "chisq", "ndof")
+    f = seeded(spark, d, ("ztfr",))[2].select("object_id", "template", "t0guess", "t0", "t0diff", "ebv", "chisq", "ndof")
     return rounded(rounded(f, "t0guess", "t0", "t0diff", digits=5), "chisq", digits=3)
 
 
