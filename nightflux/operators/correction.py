@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,24 +84,96 @@ def evaluate(u, f, m, at):
     return np.where(at < u[0], f[0] + slope_lo * (at - u[0]), np.where(at > u[-1], f[-1] + slope_hi * (at - u[-1]), inner))
 
 
-CURVE = T.StructType([T.StructField("object_id", T.LongType()), T.StructField("template", T.StringType()), T.StructField("band", T.StringType()), T.StructField("wave", T.DoubleType()), T.StructField("tphase", T.DoubleType()), T.StructField("tcorr", T.DoubleType()), T.StructField("terr", T.DoubleType())])
+#: Nodes up to which splines are solved side by side.
+SIDE_BY_SIDE = 1000
+
+
+def padded(n: np.ndarray, values: np.ndarray, fill: float) -> np.ndarray:
+    out = np.full((len(n), int(n.max(initial=1))), fill)
+    out[np.arange(out.shape[1]) < n[:, None]] = values
+    return out
+
+
+def splines(n: np.ndarray, x: np.ndarray, ys: list, w: np.ndarray, lam: float, at: np.ndarray) -> list:
+    """smoothing_spline of many groups of n points each (one after the other, x ascending in each) for each of ys, evaluated at at: the same
+    equations, each step of which is taken for all groups together."""
+    group = np.repeat(np.arange(len(n)), n)
+    new = np.r_[True, (np.diff(x) > 0) | (np.diff(group) > 0)]
+    back = np.cumsum(new) - 1
+    weight, n = np.bincount(back, w), np.bincount(group[new], minlength=len(n))
+    u = padded(n, x[new], np.inf)
+    pull = padded(n, lam / weight, 0.0)
+    y = np.stack([padded(n, np.bincount(back, w * v) / weight, 0.0) for v in ys])
+    j = np.arange(u.shape[1])
+    with np.errstate(invalid="ignore"):
+        h = np.where(j[:-1] < n[:, None] - 1, np.diff(u, axis=1), 1.0)
+    a, c = 1 / h[:, :-1], 1 / h[:, 1:]
+    b = -a - c
+    inner = lambda k: j[: u.shape[1] - 2 - k] < n[:, None] - 2 - k
+    d = np.where(inner(0), (h[:, :-1] + h[:, 1:]) / 3 + pull[:, :-2] * a * a + pull[:, 1:-1] * b * b + pull[:, 2:] * c * c, 1.0)
+    one, two = np.zeros_like(d), np.zeros_like(d)
+    one[:, :-1] = np.where(inner(1), h[:, 1:-1] / 6 + pull[:, 1:-2] * b[:, :-1] * a[:, 1:] + pull[:, 2:-1] * c[:, :-1] * b[:, 1:], 0.0)
+    two[:, :-2] = np.where(inner(2), pull[:, 2:-2] * c[:, :-2] * a[:, 2:], 0.0)
+    right = np.where(inner(0), a * y[:, :, :-2] + b * y[:, :, 1:-1] + c * y[:, :, 2:], 0.0)
+    m = d.shape[1]
+    for i in range(m - 1):
+        l1, l2 = one[:, i] / d[:, i], two[:, i] / d[:, i]
+        d[:, i + 1] -= l1 * one[:, i]
+        right[:, :, i + 1] -= l1 * right[:, :, i]
+        if i + 2 < m:
+            one[:, i + 1] -= l1 * two[:, i]
+            d[:, i + 2] -= l2 * two[:, i]
+            right[:, :, i + 2] -= l2 * right[:, :, i]
+    for i in range(m - 1, -1, -1):
+        right[:, :, i] = (right[:, :, i] - (one[:, i] * right[:, :, i + 1] if i + 1 < m else 0.0) - (two[:, i] * right[:, :, i + 2] if i + 2 < m else 0.0)) / d[:, i]
+    bend = np.zeros_like(y)
+    bend[:, :, :-2] += a * right
+    bend[:, :, 1:-1] += b * right
+    bend[:, :, 2:] += c * right
+    f, gamma = y - pull * bend, np.concatenate([np.zeros((*y.shape[:2], 1)), right, np.zeros((*y.shape[:2], 1))], axis=2)
+    k = np.clip((u[:, :, None] <= at).sum(axis=1) - 1, 0, (n - 2)[:, None])
+    rows = np.arange(len(n))[:, None]
+    step, lo, hi = h[rows, k], at - u[rows, k], u[rows, k + 1] - at
+    last = (np.arange(len(n)), n - 1)
+    out = []
+    for v, g in zip(f, gamma, strict=True):
+        inside = (g[rows, k] * hi**3 + g[rows, k + 1] * lo**3) / (6 * step) + (v[rows, k] / step - g[rows, k] * step / 6) * hi + (v[rows, k + 1] / step - g[rows, k + 1] * step / 6) * lo
+        h0, h1 = h[:, 0], h[np.arange(len(n)), n - 2]
+        slope_lo = (v[:, 1] - v[:, 0]) / h0 - h0 * (2 * g[:, 0] + g[:, 1]) / 6
+        slope_hi = (v[last] - v[last[0], n - 2]) / h1 + h1 * (g[last[0], n - 2] + 2 * g[last]) / 6
+        before, after = at < u[:, :1], at > u[last][:, None]
+        out.append(np.where(before, v[:, :1] + slope_lo[:, None] * (at - u[:, :1]), np.where(after, v[last][:, None] + slope_hi[:, None] * (at - u[last][:, None]), inside)))
+    return out
 
 
 def correction_curves(points: DataFrame, phases: list[float], lam: float = 0.1) -> DataFrame:
     """The smoothed factor and its error at the template's phases, for bands with at least 5 points. A group is the points
-    of one object in one band, so it is small."""
-    at = np.array(phases)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        if pdf["phase"].nunique() < 5:
-            return pd.DataFrame([], columns=CURVE.names)
-        pdf = pdf.sort_values(["phase", "frac"])
-        x, e = pdf["phase"].to_numpy(), pdf["err"].to_numpy()
-        w = 1 / e**2
-        return pd.DataFrame({"object_id": first["object_id"], "template": first["template"], "band": first["band"], "wave": first["wave"], "tphase": at, "tcorr": evaluate(*smoothing_spline(x, pdf["frac"].to_numpy(), w, lam), at), "terr": evaluate(*smoothing_spline(x, e, w, lam), at)})
-
-    return points.groupBy(*KEYS, "band").applyInPandas(solve, CURVE)
+    of one object in one band, a row here, so it is small; an Arrow batch of them is solved side by side."""
+    at, keys = np.array(phases), [*KEYS, "band"]
+    each = points.groupBy(*keys).agg(F.first("wave").alias("wave"), F.array_sort(F.collect_list(F.struct("phase", "frac", "err"))).alias("p"))
+    each = each.filter(F.size(F.array_distinct(F.transform("p", lambda x: x["phase"]))) >= 5)
+
+    def work(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
+                p = batch.column("p")
+                n, p = np.asarray(p.value_lengths()), p.flatten()
+                x, y, e = (np.asarray(p.field(c), float) for c in ("phase", "frac", "err"))
+                t, error = np.zeros((2, len(n), len(at)))
+                big, ends = n > SIDE_BY_SIDE, np.cumsum(n)
+                of = np.repeat(~big, n)
+                if of.any():
+                    t[~big], error[~big] = splines(n[~big], x[of], [y[of], e[of]], 1 / e[of] ** 2, lam, at)
+                for i in np.flatnonzero(big):
+                    own = slice(ends[i] - n[i], ends[i])
+                    t[i], error[i] = (evaluate(*smoothing_spline(x[own], v[own], 1 / e[own] ** 2, lam), at) for v in (y, e))
+                offsets = pa.array(np.arange(len(n) + 1) * len(at), pa.int32())
+                lists = (pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in (np.tile(at, len(n)), t, error))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keys, "wave")), *lists], [*keys, "wave", "tphase", "tcorr", "terr"])
+
+    kinds = [*(each.schema[c] for c in (*keys, "wave")), *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("tphase", "tcorr", "terr"))]
+    return each.mapInArrow(work, T.StructType(kinds)).select(*keys, "wave", F.inline(F.arrays_zip("tphase", "tcorr", "terr")))
 
 
 def surface(curves: DataFrame, first_wave: float, last_wave: float, bands=("ztfg", "ztfr", "ztfi"), least: int = 2) -> DataFrame:
